@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import scratch, tokens
+from slipcoach.llm import dense, scratch, tokens
 from slipcoach.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -77,11 +77,9 @@ def _profile(shingle: int) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n), tokens.binary16(high, low), *(pa.array(lanes[:, k]) for k in range(LANES)), none.cast(pa.int32()), none.cast(pa.binary())], names=_PROFILE
             )
-        parts = np.split(cells, SLICES)
-        used = [k for k in range(SLICES) if parts[k].any()]
-        if used:
-            gone = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([gone, gone, pa.nulls(len(used), pa.binary()), *[gone] * LANES, pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=_PROFILE)
+        blobs = dense.parts(cells, SLICES)
+        gone = pa.nulls(len(blobs), pa.int64())
+        yield pa.RecordBatch.from_arrays([gone, gone, pa.nulls(len(blobs), pa.binary()), *[gone] * LANES, *blobs.columns], names=_PROFILE)
 
     return run
 
@@ -90,21 +88,9 @@ _PROFILE = ["id", "n", "node", *(f"lane{k}" for k in range(LANES)), "slice", "ce
 _PROFILE_TYPES = "id long, n long, node binary, " + "".join(f"lane{k} long, " for k in range(LANES)) + "slice int, cells binary"
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, cells in zip(batch.column("slice").to_pylist(), batch.column("cells"), strict=True):
-            more = np.frombuffer(cells.as_buffer(), np.uint32)
-            total[k] = total[k] + more if k in total else more.astype(np.uint64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.uint64).tobytes() for v in total.values()], pa.binary())], names=["slice", "cells"])
-
-
 def _frequencies(blobs: DataFrame) -> np.ndarray:
     """The sketch summed over all documents; its size is fixed, whatever the input."""
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
-    for row in blobs.repartition("slice").mapInArrow(_added, "slice int, cells binary").collect():
-        out[row["slice"]] += np.frombuffer(row["cells"], np.uint64)
-    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+    return np.minimum(dense.total(blobs, 1 << SKETCH_BITS, SLICES), 2**32 - 1).astype(np.uint32)
 
 
 def _leading(shingle: int, percent: int, sketch) -> Callable:
@@ -218,7 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, profile: DataFrame, shingle: i
     sets = scratch.save(texts.select("text", slot.alias("slot")).mapInArrow(_wanted_sets(shingle, shared), "node binary, grams binary"), "sets")
     one = sets.groupBy("node").agg(F.first("grams").alias("grams"))
     full = pairs.join(one.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(one.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    links = scratch.save(full.select("a", "b", "ga", "gb").mapInArrow(_overlapping(percent), "a binary, b binary"), "links")
+    links = scratch.save(full.select("a", "b", "ga", "gb").mapInArrow(_overlapping(percent), "a binary, b binary"), "links", batch_rows=256)
     shared.destroy()
     scratch.drop(pairs, sets)
     return links

@@ -4,18 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipcoach.llm import jaccard
+from slipcoach.llm import jaccard, mixing, oracles, quality, sharding, tiling, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.score(table(spark, sf_dir, "documents")).select(names)
+
+
+def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.manifest(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
+
+
+def op9_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_quality_divergence": op2_quality_divergence,
+    "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op8_url_rules": op8_url_rules,
+    "op9_benchmark_tiling": op9_benchmark_tiling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_source_mixing": oracles.MIXING,
+    "op8_url_rules": oracles.URL_RULES,
+}

@@ -1,38 +1,5 @@
 """Tables written once into the shared folder, so that a lost executor costs no recomputation."""
 
-from __future__ import annotations
+from slipcoach.plans.shared import drop, folder, numbered, place, remove, save
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-slipcoach-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def place(spark: SparkSession, label: str) -> str:
-    return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet and returns the table read back: the lineage ends here."""
-    path = place(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by save() that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "folder", "numbered", "place", "remove", "save"]
