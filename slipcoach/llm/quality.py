@@ -30,8 +30,8 @@ COMMON = tuple(dict.fromkeys(COMMON))
 CLASSES = (r"[a-z]+", r"[A-Z]+", r"[\x20\x09-\x0D]+", r"[0-9]+", r"[.,;:!?'\"()\-]+", r"[#*$%&|<>]+", r"\p{L}+")
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
-#: Least length for the distances, and the largest distances that pass.
-SURE_WORDS, CHAR_LIMIT, WORD_LIMIT = 50, 0.30, 0.55
+#: Least length for the distances, and the largest distances that pass. A histogram of n words is off by about 1 / sqrt(n).
+SURE_WORDS, CHAR_LIMIT, WORD_LIMIT, WORD_NOISE = 50, 0.23, 0.18, 1.4
 
 
 def _words(text: str) -> Column:
@@ -111,7 +111,7 @@ def judge(histograms: DataFrame, refs: DataFrame, lang_col: str = "lang") -> Dat
     """Rows of with_base and with_histograms, with char_distance, word_distance and kept."""
     out = histograms.join(refs, F.col(lang_col).cast("string").eqNullSafe(F.col("__lang")))
     out = out.withColumn("char_distance", distance("__chars", "__of_chars")).withColumn("word_distance", distance("__common", "__of_common"))
-    near = (F.col("n_words") < SURE_WORDS) | ((F.col("char_distance") <= CHAR_LIMIT) & (F.col("word_distance") <= WORD_LIMIT))
+    near = (F.col("n_words") < SURE_WORDS) | ((F.col("char_distance") <= CHAR_LIMIT) & (F.col("word_distance") <= WORD_LIMIT + WORD_NOISE / F.sqrt("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & near).drop("__lang", "__of_chars", "__of_common", "__chars", "__common")
 
 
