@@ -1,12 +1,42 @@
-"""A corpus pipeline: each stage works on all that the one before it kept."""
+"""A corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, sharding.
+
+Each stage works on all that the one before it kept. ORACLE_SQL is None: connected components of near copies and string
+tilings have no SQL; tests/llm holds the pipeline against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipcoach.llm import scratch
+from slipcoach.llm import jaccard, mixing, quality, scratch, sharding, tiling
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return tiling.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    return mixing.emit(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its shard."""
+    return sharding.assign(docs)
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mix), ("sharding", shard)]
 ORACLE_SQL = None
 
 
