@@ -226,7 +226,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     postings = texts.mapInArrow(_leading(shingle, percent, sketch), "gram long, node binary, n int, place int").repartition("gram")
     postings = postings.groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
     # the columns that more than one node leads with, and of each the node with fewest rarer columns
-    heads = postings.groupBy("gram").agg(F.min(F.struct("place", "node", "n")).alias("head"), F.count("*").alias("held")).filter("held > 1").select("gram", "head")
+    heads = postings.groupBy("gram").agg(F.min(F.struct("place", "node", "n")).alias("head"), F.count("*").alias("held")).filter("held > 1")
     blocks = scratch.save(postings.join(heads, "gram"), "blocks")
 
     met = blocks.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"), F.col("place").alias("pa"), F.col("head.place").alias("pb"))
@@ -234,7 +234,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     links = _verified(first, texts, profile, shingle, percent)
     joined = scratch.save(components(links), "joined")
 
-    labelled = blocks.select("gram", "node", "n", "place").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # the pair of a block of two has met; of larger ones those with more than one component are open
+    labelled = blocks.filter("held > 2").select("gram", "node", "n", "place").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("gram")
     mixed = labelled.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("gram")
     open_ = scratch.save(labelled.join(mixed, "gram", "left_semi"), "open")
     side = lambda x: open_.select("gram", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}"))

@@ -75,10 +75,13 @@ def with_histograms(docs: DataFrame, text_col: str = "text") -> DataFrame:
         out = out.withColumn(f"__r{k + 1}", F.regexp_replace(f"__r{k}", kind, ""))
     left = [F.length(f"__r{k}") for k in range(len(CLASSES) + 1)]
     out = out.withColumn("__chars", F.array(*(a - b for a, b in zip(left, left[1:], strict=False)), left[-1]))
+    # each common word of the text becomes one letter, so that counting is cutting letters out of a short string
     spelled = [w for c in COMMON for w in dict.fromkeys((c, c.capitalize(), c.upper()))]
-    out = out.withColumn("__hits", F.transform(F.filter("__w", lambda w: w.isin(spelled)), F.lower))
-    known = F.array(*(F.size("__hits") - F.size(F.array_remove("__hits", F.lit(c))) for c in COMMON))
-    out = out.withColumn("__common", F.array_append(known, F.size("__w") - F.size("__hits")))
+    letters = [chr(0x100 + k) for k in range(len(COMMON))]
+    letter = lambda w: F.substring(F.lit("".join(letters)), F.array_position(F.array(*map(F.lit, COMMON)), F.lower(w)).cast("int"), F.lit(1))
+    out = out.withColumn("__hits", F.array_join(F.transform(F.filter("__w", lambda w: w.isin(spelled)), letter), ""))
+    known = F.array(*(F.length("__hits") - F.length(F.replace("__hits", F.lit(x), F.lit(""))) for x in letters))
+    out = out.withColumn("__common", F.array_append(known, F.size("__w") - F.length("__hits")))
     return out.drop("__t", "__w", "__hits", *(f"__r{k}" for k in range(len(CLASSES) + 1)))
 
 
@@ -123,8 +126,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that pass, with their own columns."""
-    refs = references(with_histograms(docs.select(text_col, lang_col), text_col), lang_col)
+    """The documents that pass, with their own columns. The texts are read once: rows and histograms are saved side by side."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__of"))
-    judged = judge(with_histograms(with_base(whole, "__text"), "__text"), refs, "__of")
-    return judged.filter("kept").select("__row.*")
+    seen = scratch.save(with_histograms(with_base(whole, "__text"), "__text").select("__row", "__of", "n_words", "base_failed", "__chars", "__common"), "judged")
+    return judge(seen, references(seen, "__of"), "__of").filter("kept").select("__row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipcoach.llm import jaccard, mixing, oracles, quality, sharding, tiling, urlrules
+from slipcoach.llm import brown, jaccard, langid, licenses, mixing, oracles, quality, sharding, tiling, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,26 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents")).select(names)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.fit(table(spark, sf_dir, "documents")))
+
+
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
 
@@ -39,7 +55,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_divergence": op2_quality_divergence,
+    "op3_license_scan": op3_license_scan,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_language_evidence": op5_language_evidence,
+    "op6_warc_index": op6_warc_index,
+    "op7_brown_scoring": op7_brown_scoring,
     "op8_url_rules": op8_url_rules,
     "op9_benchmark_tiling": op9_benchmark_tiling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
