@@ -18,7 +18,7 @@ from slipcoach.plans.schemas import UPSERT, with_missing
 
 
 def _names(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     at, store = _names(spark, path)
     if not store.exists(at):
         return None
-    version = spark.read.text(f"{path}/_current").first()[0]
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
     return spark.read.parquet(f"{path}/{version}")
 
 
@@ -41,8 +41,10 @@ def write_version(df: DataFrame, path: str, sort: Sequence[str] = ()) -> DataFra
     stream = store.create(new, True)
     stream.write(bytearray(version.encode()))
     stream.close()
-    store.delete(at, False)
-    store.rename(new, at)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(new, at, over)
     return spark.read.parquet(f"{path}/{version}")
 
 
