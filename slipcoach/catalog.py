@@ -37,6 +37,20 @@ _BASE = (
 ).split()
 for _name in _BASE:
     _register(_name, lambda t, f=getattr(dashboard, _name): f(dashboard.analytics_base(t)))
+
+
+def _rounded(make: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[schemas.Tables], DataFrame]:
+    """Sums of fractions depend on their order in the last digits."""
+    return lambda t: make(dashboard.analytics_base(t)).withColumns({c: F.round(c, 4) for c in columns})
+
+
+_register("total_co2", _rounded(dashboard.total_co2, "total_co2_kg"))
+_register("long_distance_co2", _rounded(dashboard.long_distance_co2, "avg_co2", "total_co2"))
+_register("night_corridors", _rounded(dashboard.night_corridors, "avg_co2", "avg_distance"))
+_register("night_shift_candidates", _rounded(dashboard.night_shift_candidates, "avg_co2", "avg_dist"))
+_register("classification_summary", _rounded(dashboard.classification_summary, "mean_confidence"))
+_register("segment_night_share", _rounded(dashboard.segment_night_share, "night_pct"))
+_register("distance_segments", _rounded(dashboard.distance_segments, "night_pct"))
 _register("day_night_comparison", lambda t: views.day_night_comparison(t, country="FRANCE"))
 _register("data_quality", views.data_quality)
 _register("list_trains", lambda t: views.list_trains(t, train_type="night", category="STEEL", limit=50, offset=5))

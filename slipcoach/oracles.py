@@ -124,14 +124,14 @@ _PLAIN = {
     "country_breakdown": "SELECT operator_country AS country, kind AS train_type, count(*) AS count FROM base WHERE operator_country IN (SELECT operator_country FROM base GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) GROUP BY 1, 2",
     "long_distance_base": "SELECT train_id, dep AS departure_station, arr AS arrival_station, distance_km, duration_min FROM base WHERE distance_km >= 500",
     "long_distance_kpis": "SELECT count(*) AS services, round_even(count(*) FILTER (kind = 'night') * 100.0 / count(*), 1) AS night_pct, round_even(count(*) FILTER (kind = 'day') * 100.0 / count(*), 1) AS day_pct, round_even(avg(co2) FILTER (kind = 'night'), 1) AS avg_co2_night, round_even(avg(co2) FILTER (kind = 'day'), 1) AS avg_co2_day FROM base WHERE distance_km >= 500",
-    "distance_segments": "SELECT segment, count(*) FILTER (kind = 'day') AS day, count(*) FILTER (kind = 'night') AS night, count(*) FILTER (kind = 'night') * 100.0 / count(*) AS night_pct FROM base WHERE segment IS NOT NULL GROUP BY 1",
-    "long_distance_co2": "SELECT kind AS train_type, avg(co2) AS avg_co2, sum(co2) AS total_co2 FROM base WHERE distance_km >= 500 GROUP BY 1",
-    "night_corridors": f"SELECT route, count(train_id) AS services, avg(co2) AS avg_co2, avg(distance_km) AS avg_distance FROM base WHERE kind = 'night' AND distance_km >= 500 AND duration_min >= 360 AND {_OK} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "night_shift_candidates": f"SELECT route, count(train_id) AS services, avg(distance_km) AS avg_dist, avg(co2) AS avg_co2 FROM base WHERE kind = 'day' AND distance_km >= 400 AND duration_min >= 240 AND {_OK} AND route NOT IN (SELECT route FROM base WHERE kind = 'night' AND distance_km >= 400 AND {_OK}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "total_co2": "SELECT sum(co2) AS total_co2_kg FROM base",
-    "classification_summary": "SELECT classification_method, method_count, total_trains, review_count, mean_confidence, median_confidence, min_confidence, max_confidence, round_even(review_count * 100.0 / total_trains, 1) AS review_pct FROM (SELECT classification_method, count(*) AS method_count FROM (SELECT DISTINCT train_id, classification_method FROM base) WHERE classification_method IS NOT NULL GROUP BY 1), (SELECT count(*) AS total_trains, count(*) FILTER (needs_manual_review) AS review_count, avg(classification_confidence) AS mean_confidence, median(classification_confidence) AS median_confidence, min(classification_confidence) AS min_confidence, max(classification_confidence) AS max_confidence FROM (SELECT DISTINCT train_id, needs_manual_review, classification_confidence FROM base))",
+    "distance_segments": "SELECT segment, count(*) FILTER (kind = 'day') AS day, count(*) FILTER (kind = 'night') AS night, round(count(*) FILTER (kind = 'night') * 100.0 / count(*), 4) AS night_pct FROM base WHERE segment IS NOT NULL GROUP BY 1",
+    "long_distance_co2": "SELECT kind AS train_type, round(avg(co2), 4) AS avg_co2, round(sum(co2), 4) AS total_co2 FROM base WHERE distance_km >= 500 GROUP BY 1",
+    "night_corridors": f"SELECT route, count(train_id) AS services, round(avg(co2), 4) AS avg_co2, round(avg(distance_km), 4) AS avg_distance FROM base WHERE kind = 'night' AND distance_km >= 500 AND duration_min >= 360 AND {_OK} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "night_shift_candidates": f"SELECT route, count(train_id) AS services, round(avg(distance_km), 4) AS avg_dist, round(avg(co2), 4) AS avg_co2 FROM base WHERE kind = 'day' AND distance_km >= 400 AND duration_min >= 240 AND {_OK} AND route NOT IN (SELECT route FROM base WHERE kind = 'night' AND distance_km >= 400 AND {_OK}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "total_co2": "SELECT round(sum(co2), 4) AS total_co2_kg FROM base",
+    "classification_summary": "SELECT classification_method, method_count, total_trains, review_count, round(mean_confidence, 4) AS mean_confidence, median_confidence, min_confidence, max_confidence, round_even(review_count * 100.0 / total_trains, 1) AS review_pct FROM (SELECT classification_method, count(*) AS method_count FROM (SELECT DISTINCT train_id, classification_method FROM base) WHERE classification_method IS NOT NULL GROUP BY 1), (SELECT count(*) AS total_trains, count(*) FILTER (needs_manual_review) AS review_count, avg(classification_confidence) AS mean_confidence, median(classification_confidence) AS median_confidence, min(classification_confidence) AS min_confidence, max(classification_confidence) AS max_confidence FROM (SELECT DISTINCT train_id, needs_manual_review, classification_confidence FROM base))",
     "segment_type_counts": "SELECT segment, kind AS train_type_normalized, count(*) AS count FROM base WHERE segment IS NOT NULL GROUP BY 1, 2",
-    "segment_night_share": "SELECT segment, count(*) FILTER (kind = 'night') * 100.0 / count(*) AS night_pct FROM base WHERE segment IS NOT NULL GROUP BY 1",
+    "segment_night_share": "SELECT segment, round(count(*) FILTER (kind = 'night') * 100.0 / count(*), 4) AS night_pct FROM base WHERE segment IS NOT NULL GROUP BY 1",
     "day_night_pair": "SELECT count(DISTINCT train_id) FILTER (kind = 'day') AS day, count(DISTINCT train_id) FILTER (kind = 'night') AS night, round_even(count(DISTINCT train_id) FILTER (kind = 'night') * 100.0 / count(DISTINCT train_id), 1) AS night_pct FROM base",
     "trains_by_country_top10": "SELECT operator_country, kind AS train_type_normalized, count(DISTINCT train_id) AS trains FROM base WHERE operator_country IN (SELECT operator_country FROM base GROUP BY 1 ORDER BY count(DISTINCT train_id) DESC, 1 LIMIT 10) GROUP BY 1, 2",
     "operators_top10": "SELECT operator, kind AS train_type_normalized, count(DISTINCT train_id) AS trains FROM base WHERE operator IN (SELECT operator FROM base GROUP BY 1 ORDER BY count(DISTINCT train_id) DESC, 1 LIMIT 10) GROUP BY 1, 2",
