@@ -260,7 +260,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     found = cluster(docs, id_col, text_col, shingle, percent)
     stay = scratch.save(found.filter(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows")), "stay")
-    held = docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]))
+    # the same plan at every size: a table of ids grows with the documents, so it is merged, not broadcast
+    held = docs.join(stay.hint("merge"), docs[id_col].eqNullSafe(stay["__id"]))
     plain = held.filter("__rows = 1")
     # few rows: ids that occur more than once; each set of shingles under such an id stays once
     again = held.filter("__rows > 1").select(docs.columns)
