@@ -30,6 +30,7 @@ for _name in _PLAIN:
     _register(_name, getattr(views, _name))
 for _name in "cmp_basic_counts cmp_frequency cmp_distance_segment cmp_international cmp_connectivity".split():
     _register(_name, getattr(compare, _name))
+_register("cmp_all", compare.cmp_table)
 _BASE = (
     "overview_kpis train_type_counts country_train_counts top_operators_summary day_night_country_summary operator_summary network_kpis od_coverage service_km "
     "top_operators_by_type country_breakdown long_distance_kpis distance_segments long_distance_co2 night_corridors night_shift_candidates total_co2 "
@@ -145,6 +146,7 @@ _feed("classification_stats", lambda f: classify.classification_stats(classify.c
 _feed("classify_gtfs_trips", lambda f: classify.classify_gtfs_trips(f["stop_times"], f["trips"], f["routes"]).select("trip_id", "train_type", "classification_method"))
 _feed("ml_features", lambda f: ml.ml_features(_evidence(f)).select("trip_id", *(f"f_{c}" for c in ml.FEATURES)))
 _feed("ml_support_predict", lambda f: ml.support(_evidence(f)).select("trip_id", "train_type_ml", "ml_night_probability"))
+_feed("ml_support_fit", lambda f: _fitted(_evidence(f)))
 _feed("reference_night_labels", lambda f: classify.reference_night_labels(f["routes"], f["trips"])[1].select("trip_id", "train_type", "classification_method", "night_percentage"))
 _feed("default_day_labels", lambda f: classify.default_day_labels(f["trips"]).select("trip_id", "train_type", "classification_reason", "needs_manual_review"))
 
@@ -153,6 +155,12 @@ def _evidence(f: dict[str, DataFrame]) -> DataFrame:
     return classify.evidence(f["stop_times"], f["trips"], f["routes"])
 
 
+def _fitted(trips: DataFrame) -> DataFrame:
+    """What the forest's features weigh; no rows if there is no forest."""
+    model = ml.ml_support_fit(trips)
+    return ml.importances(model, trips, ml.FEATURES) if model else trips.sparkSession.createDataFrame([], "feature string, importance double")
+
+
 def _two(f: dict[str, DataFrame]) -> merge.Feeds:
     """The feed as two sources: one whole, one with the even trips."""
     even = F.col("trip_id").cast("long") % 2 == 0
@@ -170,6 +178,7 @@ _feed("merge_operators", lambda f: merge.merge_operators(_two(f)).select("operat
 _feed("merge_stations", lambda f: merge.merge_stations(_two(f)).select("station_id", "stop_id", "country", "source_name"))
 _feed("merge_trains", lambda f: _merged(f)[2].select("train_id", "trip_id", "operator_id", "train_type", "source_name"))
 _feed("merge_schedules", lambda f: _merged(f)[3].select("trip_id", "source_name", "duration_min").withColumn("duration_min", F.col("duration_min").cast("long")))
+_feed("merge_summary", lambda f: merge.merge_summary_table(_two(f)))
 _feed("coalesce_columns", lambda f: merge.coalesce_columns(f["routes"], "shown", ["route_long_name", "route_short_name", "absent"]).select("route_id", "shown"))
 _feed("parse_duration_minutes", lambda f: f["stop_times"].select("trip_id", "stop_id", "stop_sequence", merge.parse_duration_minutes("departure_time").alias("minutes")))
 _feed("process_source", lambda f: merge.process_source("renfe", f, "ES", enable_ml=False)["trips"].groupBy("train_type", "classification_method").agg(F.count("*").alias("trips")))
@@ -245,6 +254,19 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["write_canonical_upsert"] = _upsert
 
 
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stations' updated_at the second of two batches has set."""
+    path, old = place(spark, "touched"), F.lit("2000-01-01").cast("timestamp")
+    rows = lens.canonical(spark, sf_dir).stations.drop("station_id").withColumn("updated_at", old)
+    number = F.substring("name", -6, 6).cast("long")
+    store.write_canonical_upsert(rows.filter(number % 3 != 0), path, "stations")
+    out = store.write_canonical_upsert(rows.filter(number % 2 == 0), path, "stations")
+    return out.groupBy("source_name", (F.col("updated_at") > old).alias("touched")).agg(F.count("*").alias("rows"))
+
+
+QUERIES["touch_updated_at"] = _touched
+
+
 def _loads(table: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         merged = dict(zip(schemas.SCHEMAS, _merged(lens.feed(spark, sf_dir)), strict=True))[table]

@@ -58,3 +58,15 @@ def cmp_connectivity(t: Tables) -> DataFrame:
 
 def cmp_all(t: Tables) -> dict[str, DataFrame]:
     return {"basic_counts": cmp_basic_counts(t), "frequency": cmp_frequency(t), "distance": cmp_distance_segment(t), "international": cmp_international(t), "connectivity": cmp_connectivity(t)}
+
+
+def cmp_table(t: Tables) -> DataFrame:
+    """The five comparisons in one long table: analysis, train_type, part (country or distance band), measure and value."""
+    out = None
+    for name, df in cmp_all(t).items():
+        part = next((F.col(c) for c in ("country", "distance_segment") if c in df.columns), F.lit(None).cast("string"))
+        measures = [c for c in df.columns if c not in ("train_type", "country", "distance_segment")]
+        wide = df.select(F.lit(name).alias("analysis"), "train_type", part.alias("part"), *(F.col(c).cast("double").alias(c) for c in measures))
+        long = wide.unpivot(["analysis", "train_type", "part"], measures, "measure", "value")
+        out = long if out is None else out.union(long)
+    return out

@@ -8,6 +8,7 @@ dense numbers are dealt after the last de-duplication.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,13 @@ def merge_summary(feeds: Feeds) -> dict[str, int]:
     return {"total_sources": len(feeds), "operators": has("agency", "agencies"), "stations": has("stops"), "routes": has("routes")}
 
 
+def merge_summary_table(feeds: Feeds) -> DataFrame:
+    """How many sources have rows of each entity."""
+    names = {"operators": ("agency", "agencies"), "stations": ("stops",), "routes": ("routes",)}
+    held = [f[n].agg(F.count("*").alias("n")).select(F.lit(kind).alias("entity"), F.lit(source).alias("source"), "n") for source, f in feeds.items() for kind, own in names.items() for n in own if n in f]
+    return reduce(DataFrame.union, held).filter("n > 0").groupBy("entity").agg(F.countDistinct("source").alias("sources"))
+
+
 def process_source(source: str, feed: Mapping[str, DataFrame], country: str | None = None, enable_ml: bool = True) -> dict[str, DataFrame]:
     """Cleaning, rail filter and classification of one feed; the night catalogue's trains are night trains."""
     out: dict[str, DataFrame] = {}

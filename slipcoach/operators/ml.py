@@ -97,9 +97,9 @@ def class_metrics(pairs: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
 
 
-def importances(model: RandomForestClassificationModel, like: DataFrame) -> DataFrame:
+def importances(model: RandomForestClassificationModel, like: DataFrame, names: tuple[str, ...] = SIMPLE) -> DataFrame:
     values = [float(x) for x in model.featureImportances.toArray()]
-    return like.sparkSession.createDataFrame(list(zip(SIMPLE, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"))
+    return like.sparkSession.createDataFrame(list(zip(names, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"))
 
 
 def ml_validate_known_night(t: Tables, model: RandomForestClassificationModel, source: str = "back_on_track", limit: int = 100) -> DataFrame:

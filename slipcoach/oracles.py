@@ -197,4 +197,38 @@ _FEEDS = {
     "merge_trains": "SELECT row_number() OVER (ORDER BY pr, trip_id) AS train_id, trip_id, operator_id, 'day' AS train_type, source_name FROM merged_trains",
     "merge_schedules": "SELECT trip_id, source_name, duration_min FROM merged_rides",
 }
+_LONG = {
+    "basic_counts": ("cmp_basic_counts", "NULL", "nb_trains nb_schedules avg_duration_min avg_distance_km"),
+    "frequency": ("cmp_frequency", "country", "nb_unique_routes total_services avg_services_per_route services_per_day"),
+    "distance": ("cmp_distance_segment", "distance_segment", "nb_services avg_distance_km avg_speed_kmh"),
+    "international": ("cmp_international", "NULL", "international_routes total_services avg_distance_km"),
+    "connectivity": ("cmp_connectivity", "NULL", "origin_stations destination_stations unique_connections"),
+}
+_PLAIN["cmp_all"] = " UNION ALL ".join(f"SELECT '{a}' AS analysis, train_type, CAST({part} AS VARCHAR) AS part, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ({_PLAIN[q]})" for a, (q, part, ms) in _LONG.items() for m in ms.split())
+_PLAIN["validate_all"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name, valid_rows AS rows FROM ({_PLAIN[f'validate_{n}']})" for n in ("operators", "stations", "trains", "schedules"))
+_HOURLY = f"({_F.format(x='h * 60 + m')} - {_F.format(x='h * 60')}) * 100.0 / m"
+_PLAIN["night_pct_hourly"] = f"SELECT train_id, h AS departure_hour, m AS duration_min, round(CAST(CASE WHEN m > 0 THEN {_HOURLY} ELSE 0 END AS DOUBLE), 6) AS night_percentage FROM (SELECT s.train_id, CAST(hour(departure_time) AS INT) AS h, duration_min AS m FROM schedules s JOIN trains t ON s.train_id = t.train_id)"
+_PLAIN["touch_updated_at"] = "SELECT source_name, station_id % 2 = 1 AS touched, count(*) AS rows FROM stations WHERE station_id % 2 = 1 OR (station_id - 1) % 3 <> 0 GROUP BY 1, 2"
+_CATALOG = "(SELECT CAST(operator_id AS VARCHAR) AS mdb_source_id, CASE WHEN operator_id % 5 = 0 THEN 'gtfs-rt' ELSE 'gtfs' END AS data_type, name AS provider, website AS urls_direct_download, ['FR', 'DE', 'US', 'UK'][operator_id % 4 + 1] AS location_country_code FROM operators)"
+_PLAIN["read_feed_catalog"] = f"SELECT * FROM {_CATALOG}"
+_PLAIN["catalog_european_feeds"] = f"SELECT * FROM {_CATALOG} WHERE data_type = 'gtfs' AND location_country_code <> 'US'"
+_PLAIN["catalog_feeds_by_country"] = f"SELECT * FROM {_CATALOG} WHERE data_type = 'gtfs' AND location_country_code = 'DE'"
+_PLAIN["catalog_feeds_by_operator"] = f"SELECT * FROM {_CATALOG} WHERE contains(lower(provider), 'supplier#00000001')"
+_FILES = {"agency": "agencies", "stops": "stops", "routes": "routes", "trips": "trips", "stop_times": "stop_times"}
+_SAYS_ANY = lambda words: "(" + " OR ".join(f"contains(txt, '{w}')" for w in words) + ")"
+_BERTH, _SLEEPER = _SAYS_ANY(BERTH_WORDS), "coalesce(route_type = '105', false)"
+_FEEDS |= {
+    "read_gtfs_feed": " UNION ALL ".join(f"SELECT '{k}' AS endpoint, count(*) AS rows FROM {v}" for k, v in _FILES.items()),
+    "gtfs_validate": " UNION ALL ".join(f"SELECT '{k}' AS file, true AS present, count(*) = 0 AS empty, count(*) > 0 AS ok FROM {v}" for k, v in _FILES.items()),
+    "read_keyed_json": "SELECT route_id AS id_from_key, agency_id, route_id, route_long_name, route_short_name, route_type FROM routes",
+    "keyed_json_validate": "SELECT *, n_agencies > 0 AND n_routes > 0 AND n_stops > 0 AND n_trips > 0 AS valid FROM (SELECT (SELECT count(*) FROM routes WHERE agency_id NOT IN (SELECT agency_id FROM agencies)) AS orphan_agencies, (SELECT count(*) FROM routes WHERE agency_id NOT IN (SELECT agency_id FROM agencies)) AS orphan_stops, (SELECT count(*) FROM agencies) AS n_agencies, (SELECT count(*) FROM routes) AS n_routes, (SELECT count(*) FROM agencies) AS n_stops, (SELECT count(*) FROM routes) AS n_trips)",
+    "ml_features": "SELECT trip_id, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS f_{c}" for c in ("duration_hours", "night_percentage", "departure_hour", "arrival_hour", "overnight_flag"))
+    + f", CAST({_BERTH} AS DOUBLE) AS f_has_couchette, CAST({_BERTH} OR {_SLEEPER} AS DOUBLE) AS f_has_sleeper, CAST({_SLEEPER} AS DOUBLE) AS f_is_sleeper_route, CAST({_SAYS_ANY(NIGHT_WORDS)} AS DOUBLE) AS f_has_keyword_night FROM evidence",
+    "merge_summary": " UNION ALL ".join(f"SELECT '{k}' AS entity, count(*) AS sources FROM sources WHERE EXISTS (SELECT 1 FROM {v})" for k, v in (("operators", "agencies"), ("stations", "stops"), ("routes", "routes"))),
+    "load_operators": "SELECT source_name, count(*) AS rows FROM merged_ops GROUP BY 1",
+    "load_stations": "SELECT source_name, count(DISTINCT trim(stop_name)) AS rows FROM stops, sources GROUP BY 1",
+    "load_trains": "SELECT source_name, count(*) AS rows FROM merged_trains GROUP BY 1",
+    "load_schedules": "SELECT source_name, count(*) AS rows FROM merged_rides GROUP BY 1",
+    "night_schedules_rebuild": "SELECT * FROM (SELECT CAST(substring(t.route_id, 2) AS BIGINT) AS train_id, CAST(o AS BIGINT) AS origin_id, CAST(e AS BIGINT) AS destination_id, CAST((CASE WHEN a % 86400 <= d % 86400 THEN a % 86400 - d % 86400 + 86400 ELSE a % 86400 - d % 86400 END) // 60 AS INT) AS duration_min FROM merged_ends m JOIN trips t ON m.trip_id = t.trip_id WHERE o IN (SELECT stop_id FROM stops) AND e IN (SELECT stop_id FROM stops)) WHERE origin_id <> destination_id AND duration_min > 0",
+}
 ORACLE = {k: _sql(v) for k, v in _PLAIN.items()} | {k: _sql(v, _FEED) for k, v in _FEEDS.items()}
