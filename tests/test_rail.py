@@ -182,3 +182,16 @@ def test_plans_hold_no_python_and_no_single_task_window(spark):
     for df in (dashboard.top_operators_by_type(dashboard.analytics_base(t)), classify.classify_gtfs_trips(f["stop_times"], f["trips"], f["routes"], enable_ml=False)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "SinglePartition" not in plan.split("Window")[0]
+
+
+def test_merge_summary_table_counts_sources_with_rows(spark):
+    full, empty = spark.createDataFrame([("a",)], "stop_id string"), spark.createDataFrame([], "stop_id string")
+    found = merge.merge_summary_table({"x": {"stops": full, "agency": full}, "y": {"stops": empty, "agencies": full}})
+    assert {r.entity: r.sources for r in found.collect()} == {"stations": 1, "operators": 2}
+
+
+def test_upsert_touches_only_what_the_batch_names(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").withColumn("updated_at", F.lit("2000-01-01").cast("timestamp"))
+    store.write_canonical_upsert(rows, str(tmp_path), conflict_columns=["id"], update_columns=["v"])
+    out = store.write_canonical_upsert(rows.filter("id = 2"), str(tmp_path), conflict_columns=["id"], update_columns=["v"])
+    assert {r.id: r.updated_at.year > 2000 for r in out.collect()} == {1: False, 2: True}
