@@ -1,13 +1,17 @@
 """Class-based n-gram language model (Brown et al., 1992) with classes by exchange clustering (Martin et al., 1998).
 
-log P(text) = sum over tokens of log P(class | class before) + log P(word | class). Counts of every word of every training
-text are kept exactly, in a table. The clustering works on a fixed number of units: the most frequent words are units of
-their own, every other word belongs to the unit of its last letters and length, so each word, seen or not, has a class
-that a task can tell without a lookup. The unit bigrams of all training texts form one matrix of fixed size; the exchange
-moves one unit at a time to the class that most raises the likelihood.
+log P(text) = sum over tokens of log P(class | class before) + log P(word | class). Counts and classes of every word of
+every training text are kept exactly, in a table that grows with the vocabulary.
 
-Scoring reads the texts once. Counts of the frequent words go along with the tasks (a table of at most HEAD rows);
-each other occurrence meets the count table in a join by word and comes back as a sum by document.
+First classes come from a fixed number of units: the most frequent words are units of their own, every other word belongs
+to the unit of its last letters and length; an exchange on the driver moves one unit at a time to the class that most
+raises the likelihood. Then sweeps over the whole vocabulary, as Spark jobs, move every word by itself: the classes before
+and after all its occurrences are counted, and it goes to the class in which the model of the other words finds them most
+likely (all words of a sweep at once, as Uszkoreit and Brants, 2008). Only words that no training text has get the class
+that most training words of their last letters and length have.
+
+Counts and classes of the frequent words go along with the tasks (a table of at most HEAD rows); each other occurrence
+meets the table in a join by word, and comes back to its document.
 
 Probabilities are smoothed and sum to 1: an unseen word takes one place in its class, a class before another is mixed
 with the classes' own shares.
@@ -31,6 +35,10 @@ from slipcoach.llm import dense, scratch, tokens
 #: Most words whose counts go along with the tasks (16 bytes each), most words that are units, units of other words, classes.
 HEAD, OWN_UNITS, TAIL_UNITS, CLASSES = 1 << 18, 512, 256, 48
 ROUNDS, PRIOR, ADD = 6, 5.0, 0.5
+#: Sweeps over all words; codes of a context: the class before, CLASSES + the class after, then the word itself and what marks it.
+SWEEPS = 2
+SELF, CLASS, TAIL, LOW, HIGH = range(2 * CLASSES, 2 * CLASSES + 5)
+_CONTEXT = np.dtype([("code", "u1"), ("n", "<u4")])
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text: a token with its own unit and class.
 END = tokens.word_hash("\n")
@@ -179,100 +187,393 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarr
     return of
 
 
+def _sequence(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of whole texts that follow one another, and of each token the number of the word before it and its own."""
+    word, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return word, np.concatenate([[np.searchsorted(word, _U(END))], at[:-1]]), at
+
+
+def _in_turn(make: Callable) -> Callable:
+    """make(sequence) for bounded runs of whole texts; each text ends with END, so that the one after it begins after an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for w in tokens.words(batch.column("text")):
+                row = np.concatenate([w.doc, np.arange(w.rows)])
+                parts.append(np.concatenate([w.hash, np.full(w.rows, END, _U)])[np.argsort(row, kind="stable")])
+                held += len(row)
+                if held > 1 << 20:
+                    yield make(*_sequence(parts))
+                    parts, held = [], 0
+        if held:
+            yield make(*_sequence(parts))
+
+    return run
+
+
+def _known(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted words, whether it is there) of each hash."""
+    if not len(words):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return at, words[at] == hashes
+
+
+def _packed(word: np.ndarray, at: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(word, contexts): equal codes of a word added up, in order; at: number of the word of each entry."""
+    key = at * 128 + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    out = np.empty(len(first), _CONTEXT)
+    out["code"], out["n"] = key[first] & 127, np.add.reduceat(n[order], first) if len(key) else 0
+    of = key[first] >> 7
+    used = np.unique(of)
+    offsets = (np.concatenate([np.searchsorted(of, used), [len(of)]]) * _CONTEXT.itemsize).astype(np.int32)
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(word[used].view(np.int64)), blobs], names=["word", "contexts"])
+
+
+def _entries(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n) of packed contexts."""
+    _, offsets, data = blobs.buffers()
+    at = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // _CONTEXT.itemsize
+    flat = np.frombuffer(data, _CONTEXT)[at[0] : at[-1]] if len(blobs) else np.zeros(0, _CONTEXT)
+    return np.repeat(np.arange(len(blobs)), np.diff(at)), flat["code"].astype(np.int64), flat["n"].astype(np.int64)
+
+
+def _contexts(shared) -> Callable:
+    """Classes before and after each word, as far as the neighbour is among the frequent words."""
+
+    def make(word: np.ndarray, before: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        words, of = shared.value
+        place, known = _known(words, word)
+        kind = np.where(known, of[place] if len(of) else 0, -1)
+        other = before != at
+        left, right = np.flatnonzero(other & (kind[before] >= 0)), np.flatnonzero(other & (kind[at] >= 0))
+        whose = np.concatenate([at[left], before[right], at[~other]])
+        code = np.concatenate([kind[before[left]], CLASSES + kind[at[right]], np.full(int((~other).sum()), SELF)])
+        return _packed(word, whose, code, np.ones(len(code), np.int64))
+
+    return _in_turn(make)
+
+
+def _rare_neighbours(shared) -> Callable:
+    """(word, of, after): each occurrence of a word that is not frequent as a neighbour of another word."""
+
+    def make(word: np.ndarray, before: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        rare = ~_known(shared.value[0], word)[1]
+        left, right = np.flatnonzero((before != at) & rare[before]), np.flatnonzero((before != at) & rare[at])
+        cols = [np.concatenate([before[left], at[right]]), np.concatenate([at[left], before[right]])]
+        after = np.repeat(np.array([0, CLASSES], np.int32), [len(left), len(right)])
+        return pa.RecordBatch.from_arrays([*(pa.array(word[c].view(np.int64)) for c in cols), pa.array(after)], names=["word", "of", "after"])
+
+    return _in_turn(make)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs (word, code) rows."""
+    parts, held = [], 0
+
+    def packed() -> pa.RecordBatch:
+        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return _packed(word, at, np.concatenate([p[1] for p in parts]).astype(np.int64), np.ones(len(at), np.int64))
+
+    for batch in batches:
+        parts.append((batch.column("word").to_numpy().view(_U), batch.column("code").to_numpy()))
+        held += len(batch)
+        if held > 1 << 20:
+            yield packed()
+            parts, held = [], 0
+    if held:
+        yield packed()
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is known of each word, as contexts."""
+    for batch in batches:
+        if m := len(batch):
+            n = batch.column("n").to_numpy()
+            value = np.concatenate([batch.column("class").to_numpy(), batch.column("tail").to_numpy(), n & 0xFFFFFFFF, n >> 32])
+            yield _packed(batch.column("word").to_numpy().view(_U), np.tile(np.arange(m), 4), np.repeat([CLASS, TAIL, LOW, HIGH], m), value)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per word of rows sorted by word: (word, tail, n, class, contexts)."""
+
+    def rows(table: pa.RecordBatch) -> pa.RecordBatch:
+        word = table.column("word").to_numpy()
+        change = np.concatenate([[True], word[1:] != word[:-1]])
+        row, code, n = _entries(table.column("contexts"))
+        at = (np.cumsum(change) - 1)[row]
+        mark = np.zeros((int(change.sum()), 4), np.int64)
+        marked = code >= CLASS
+        mark[at[marked], code[marked] - CLASS] = n[marked]
+        # a word without another word beside it has no contexts: its mark stays as an entry that counts nothing
+        keep = ~marked | (code == CLASS)
+        packed = _packed(word[change].view(_U), at[keep], code[keep], np.where(marked, 0, n)[keep])
+        cols = [packed.column("word"), pa.array(mark[:, 1].astype(np.int32)), pa.array(mark[:, 2] + (mark[:, 3] << 32)), pa.array(mark[:, 0].astype(np.int32)), packed.column("contexts")]
+        return pa.RecordBatch.from_arrays(cols, names=["word", "tail", "n", "class", "contexts"])
+
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        word = batch.column("word").to_numpy()
+        last = int(np.searchsorted(word, word[-1]))
+        if last:
+            yield rows(batch.slice(0, last))
+        rest = batch.slice(last)
+    if rest is not None:
+        yield rows(rest)
+
+
+def _class_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        of = batch.column("class").to_numpy()
+        row, code, n = _entries(batch.column("contexts"))
+        before = np.where(code == SELF, of[row], code)
+        use = (code < CLASSES) | (code == SELF)
+        cells += np.bincount((before * CLASSES + of[row])[use], n[use], len(cells)).astype(np.int64)
+    yield dense.parts(cells, SLICES)
+
+
+def moves(table: np.ndarray, of: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndarray, home: np.ndarray | None = None) -> np.ndarray:
+    """The class in which the smoothed model without the word finds its occurrences most likely; table: class bigrams, with the word in it.
+
+    home: the class that each word's tail tells; any other has to be named, which costs log(classes) as in a description
+    length, so that a word that occurs once does not go wherever its two neighbours fit a little better.
+    The parameters stay as they are during a sweep: a class with few words draws nobody, whereas the gain of an exchange
+    (a word for itself in an empty class) would draw all words of a sweep at once.
+    """
+    size, every = len(table), np.arange(len(of))
+    share = PRIOR * (table.sum(0) + ADD) / (table.sum() + ADD * size)
+    left, right, own = np.zeros((len(of), size)), np.zeros((len(of), size)), np.zeros((len(of), 1))
+    for side, use in ((left, code < size), (right, (code >= size) & (code < 2 * size)), (own, code == 2 * size)):
+        side[row[use], code[use] % size] = n[use]
+    gain = np.zeros((len(of), size))
+    for side, other, cells in ((right, left, table.T), (left, right, table)):
+        at, c = np.nonzero(side)
+        if not len(at):
+            continue
+        x, old, entry = side[at, c], of[at], np.arange(len(at))
+        hit = c == old
+        base = cells[c]
+        base[hit] -= other[at[hit]]
+        base[entry, old] = cells[c, old] - x - np.where(hit, other[at, old] + own[at, 0], 0)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        base += share[c][:, None] if side is right else share
+        gain[at[first]] += np.add.reduceat(x[:, None] * np.log(base), first, axis=0)
+    diagonal = np.repeat(np.diag(table)[None, :], len(of), 0)
+    diagonal[every, of] -= right[every, of] + left[every, of] + own[:, 0]
+    gain += own * np.log(diagonal + share)
+    for side, sums, more in ((right, table.sum(1), PRIOR), (left, table.sum(0), ADD)):
+        mine = side.sum(1, keepdims=True) + own
+        without = np.repeat(sums[None, :], len(of), 0)
+        without[every, of] -= mine[:, 0]
+        gain -= mine * np.log(without + more)
+    if home is not None:
+        gain[every, home] += np.log(size - 1)
+    gain[:, 0] = -np.inf
+    best = np.argmax(gain, 1)
+    return np.where((of > 0) & (gain[every, best] > gain[every, of] + 1e-9), best, of)
+
+
+def _moved(table: np.ndarray, tails: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                of = moves(table, batch.column("class").to_numpy().astype(np.int64), *_entries(batch.column("contexts")), tails[batch.column("tail").to_numpy()])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "tail", "n")), pa.array(of.astype(np.int32))], names=["word", "tail", "n", "class"])
+
+    return run
+
+
+def _first_classes(own: np.ndarray, of: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column("word").to_numpy().view(_U)
+            at, known = _known(own, word)
+            unit = np.where(known, at, len(own) + batch.column("tail").to_numpy())
+            kind = np.where(word == _U(END), 0, of[unit]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "tail", "n")), pa.array(kind)], names=["word", "tail", "n", "class"])
+
+    return run
+
+
+def _frequent(classed: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the steps from least, sorted by hash, with their counts and classes."""
+    got = classed.filter(_step() >= least).select("word", "n", "class").toArrow()
+    word = got.column("word").to_numpy().view(_U)
+    order = np.argsort(word)
+    return word[order], got.column("n").to_numpy()[order], got.column("class").to_numpy()[order].astype(np.int64)
+
+
+def classes(words: DataFrame, texts: DataFrame, least: int, sweeps: int = SWEEPS) -> DataFrame:
+    """(word, tail, n, class) of all words (word, tail, n) of the texts; those of the steps from least go along with the tasks."""
+    context = words.sparkSession.sparkContext
+    kinds = "word long, tail int, n long, class int"
+    own, _, _ = _head(words.filter(F.col("word") != _signed(END)), OWN_UNITS)
+    units = len(own) + TAIL_UNITS + 1
+    size = -(-units * units // SLICES) * SLICES
+    bigrams = dense.total(scratch.save(texts.mapInArrow(_bigrams(context.broadcast(own), units), dense.SCHEMA), "bigrams"), size, SLICES)
+    of = exchange(bigrams[: units * units].reshape(units, units), CLASSES)
+    out = scratch.save(words.mapInArrow(_first_classes(own, of), kinds), "classes")
+    rare = None
+    for _ in range(sweeps):
+        word, _, kind = _frequent(out, least)
+        shared = context.broadcast((word, kind))
+        if rare is None:
+            rare = scratch.save(texts.mapInArrow(_rare_neighbours(shared), "word long, of long, after int"), "rare")
+        packed = "word long, contexts binary"
+        met = rare.join(out.filter(_step() < least).select("word", "class"), "word").select(F.col("of").alias("word"), (F.col("after") + F.col("class")).alias("code"))
+        parts = texts.mapInArrow(_contexts(shared), packed).union(met.mapInArrow(_met, packed)).union(out.mapInArrow(_marks, packed))
+        merged = parts.repartition("word").sortWithinPartitions("word").mapInArrow(_merged, f"{kinds}, contexts binary")
+        merged = scratch.save(merged, "contexts")
+        table = dense.total(merged.mapInArrow(_class_bigrams, dense.SCHEMA), CLASSES * CLASSES, SLICES).reshape(CLASSES, CLASSES).astype(float)
+        new = scratch.save(merged.mapInArrow(_moved(table, of[len(own) : -1]), kinds), "classes")
+        scratch.drop(merged, out)
+        out = new
+    if rare is not None:
+        scratch.drop(rare)
+    return out
+
+
 class Model:
-    """What a task needs to score: the frequent words, the units' classes, class transitions and class sizes; of fixed size."""
+    """What a task needs to tell classes: the frequent words with counts and classes, and the class of unseen words by tail; of fixed size."""
 
     def __init__(self, words: DataFrame, texts: DataFrame) -> None:
         """words: (word, tail, n) of the training texts."""
-        spark = words.sparkSession
         self.tokens, self.types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        self.own, _, _ = _head(words.filter(F.col("word") != _signed(END)), OWN_UNITS)
-        self.words, self.counts, self.least = _head(words, HEAD)
-        self.units = len(self.own) + TAIL_UNITS + 1
-        shared = spark.sparkContext.broadcast(self.own)
-        size = -(-self.units * self.units // SLICES) * SLICES
-        bigrams = dense.total(scratch.save(texts.mapInArrow(_bigrams(shared, self.units), dense.SCHEMA), "bigrams"), size, SLICES)
-        bigrams = bigrams[: self.units * self.units].reshape(self.units, self.units)
-        self.of = exchange(bigrams, CLASSES)
-        one = np.zeros((self.units, CLASSES))
-        one[np.arange(self.units), self.of] = 1
-        table = one.T @ bigrams.astype(float) @ one
-        share = (table.sum(0) + ADD) / (table.sum() + ADD * CLASSES)
-        self.transitions = np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
-        # class sizes: own units one by one, the others by tail
-        own = words.filter(F.col("word").isin([_signed(int(x)) for x in self.own])).select("word", "n").collect()
-        place = {int(x): k for k, x in enumerate(self.own)}
-        seen, types = np.zeros(CLASSES), np.zeros(CLASSES)
-        for r in own:
-            c = self.of[place[r["word"] % 2**64]]
-            seen[c], types[c] = seen[c] + r["n"], types[c] + 1
-        listed = words.filter(~F.col("word").isin([_signed(int(x)) for x in self.own] + [_signed(END)]))
-        for r in listed.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
-            c = self.of[len(self.own) + r["tail"]]
-            seen[c], types[c] = seen[c] + r["n"], types[c] + r["types"]
-        ends = words.filter(F.col("word") == _signed(END)).select("n").first()
-        seen[0], types[0] = (ends["n"], 1) if ends else (0, 0)
-        self.room = np.log10(seen + ADD * (types + 1))
+        _, _, self.least = _head(words, HEAD)
+        self.classed = classes(words, texts, self.least)
+        self.frequent = _frequent(self.classed, self.least)
+        self.seen, types = np.zeros(CLASSES), np.zeros((TAIL_UNITS, CLASSES))
+        ends = self.classed.filter(F.col("word") == _signed(END)).select("n").first()
+        self.ends = ends["n"] if ends else 0
+        for r in self.classed.filter(F.col("word") != _signed(END)).groupBy("tail", "class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+            self.seen[r["class"]] += r["n"]
+            types[r["tail"], r["class"]] += r["types"]
+        self.seen[0] = self.ends
+        every = types.sum(0)
+        # a tail that no training word has: the class of most words
+        self.unseen = np.where(types.sum(1) > 0, types[:, 1:].argmax(1), every[1:].argmax()) + 1
+        every[0] = self.ends > 0
+        self.room = np.log10(self.seen + ADD * (every + 1))
 
 
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _scored(shared) -> Callable:
-    """(row, id, held_out, n_tokens, path: class transitions less class sizes, seen: logs of counts of frequent words, n_known, rest: the other words)"""
+def _classed(shared) -> Callable:
+    """(row, id, held_out, learnt, n_tokens, seen: logs of counts of frequent words, known, kinds: a class a token, rest: the other words)
+
+    The byte of one of the rest is 128 and the class that it has if no training text has the word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        end = m.units - 1
-        counted = np.log10(m.counts + ADD)
-        at_end = np.searchsorted(m.words, _U(END))
-        has_end = at_end < len(m.words) and m.words[at_end] == _U(END)
+        (words, counts, of), unseen, ends = shared.value
+        counted = np.log10(counts + ADD)
         for batch in batches:
             for w in tokens.words(batch.column("text")):
-                row, unit = _with_ends(w, _units(w, m.own), end)
-                own = m.of[unit]
-                path = np.bincount(row, m.transitions[m.of[_before(row, unit, end)], own] - m.room[own], w.rows)
-                if len(m.words):
-                    at = np.minimum(np.searchsorted(m.words, w.hash), len(m.words) - 1)
-                    known = m.words[at] == w.hash
-                else:
-                    at, known = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), bool)
-                seen = np.bincount(w.doc[known], counted[at[known]], w.rows) + (counted[at_end] if has_end else 0.0)
-                n_known = np.bincount(w.doc[known], minlength=w.rows) + int(has_end)
-                others = [w.hash[~known], *[np.full(w.rows, END, _U)][: not has_end]]
-                whose = np.concatenate([w.doc[~known], *[np.arange(w.rows)][: not has_end]])
-                order = np.argsort(whose, kind="stable")
-                offsets = np.searchsorted(whose[order], np.arange(w.rows + 1)).astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(others)[order].view(np.int64)))
+                at, known = _known(words, w.hash)
+                seen = np.bincount(w.doc[known], counted[at[known]], w.rows) + np.log10(ends + ADD)
+                n_known = np.bincount(w.doc[known], minlength=w.rows) + int(ends > 0)
+                kind = 128 + unseen[_tails(w)]
+                kind[known] = of[at[known]]
+                row, kind = _with_ends(w, kind, 0)
+                others, whose = w.hash[~known], w.doc[~known]
+                cut = np.searchsorted(whose, np.arange(w.rows + 1)).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(cut), pa.array(others.view(np.int64)))
+                ends_at = np.searchsorted(row, np.arange(w.rows + 1)).astype(np.int32)
+                kinds = pa.BinaryArray.from_buffers(pa.binary(), w.rows, [None, pa.py_buffer(ends_at), pa.py_buffer(kind.astype(np.uint8).tobytes())])
                 part = batch.slice(w.first, w.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("id"), part.column("held_out"), pa.array(np.bincount(row, minlength=w.rows)), pa.array(path), pa.array(seen), pa.array(n_known), rest],
-                    names=["row", "id", "held_out", "n_tokens", "path", "seen", "known", "rest"],
+                    [*(part.column(c) for c in ("row", "id", "held_out", "learnt")), pa.array(np.diff(ends_at).astype(np.int64)), pa.array(seen), pa.array(n_known), kinds, rest],
+                    names=["row", "id", "held_out", "learnt", "n_tokens", "seen", "known", "kinds", "rest"],
                 )
 
     return run
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the classes found, 256 * place among the rest + class, into kinds; what is not found is unseen."""
+    for batch in batches:
+        out = []
+        for kinds, found in zip(batch.column("kinds"), batch.column("found"), strict=True):
+            kind = np.frombuffer(kinds.as_buffer(), np.uint8)
+            gaps = np.flatnonzero(kind >= 128)
+            kind = kind & 127
+            if found.is_valid and len(found.values):
+                found = found.values.to_numpy()
+                kind[gaps[found >> 8]] = found & 255
+            out.append(kind.tobytes())
+        cols = [c for c in batch.schema.names if c not in ("kinds", "found")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(out, pa.binary())], names=[*cols, "kinds"])
+
+
+def _kinds(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(class before, class) of all tokens of whole texts; class 0 is the end."""
+    kind = np.frombuffer(b"".join(batch.column("kinds").to_pylist()), np.uint8).astype(np.int64)
+    return np.concatenate([[0], kind[:-1]]), kind
+
+
+def _learnt_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        if len(batch):
+            before, kind = _kinds(batch)
+            cells += np.bincount(before * CLASSES + kind, minlength=len(cells))
+    yield dense.parts(cells, SLICES)
+
+
+def _paths(transitions: np.ndarray, room: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                before, kind = _kinds(batch)
+                first = np.concatenate([[0], np.cumsum(batch.column("n_tokens").to_numpy())[:-1]])
+                path = np.add.reduceat(transitions[before, kind] - room[kind], first)
+                cols = [c for c in batch.schema.names if c != "kinds"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(path)], names=[*cols, "path"])
+
+    return run
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams), score (the class model).
 
     train: which documents to learn from; by default those of the other folds.
     """
     spark = docs.sparkSession
-    learnt = docs.filter(~held_out(id_col) if train is None else train)
+    choice = ~held_out(id_col) if train is None else train
+    learnt = docs.filter(choice)
     counted = _texts(learnt, text_col).mapInArrow(_counted, "word long, tail int, n long")
     words = scratch.save(counted.groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n")), "words")
     model = Model(words, _texts(learnt, text_col))
-    rare = words.filter(_step() < model.least).select("word", "n")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(docs.dtypes)[id_col]
-    shared = spark.sparkContext.broadcast(model)
-    local = scratch.save(rows.mapInArrow(_scored(shared), f"row long, id {kind}, held_out boolean, n_tokens long, path double, seen double, known long, rest array<long>"), "scored")
-    met = local.select("row", F.explode("rest").alias("word")).join(rare, "word", "left")
+    rare = model.classed.filter((_step() < model.least) & (F.col("word") != _signed(END))).select("word", "n", "class")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.coalesce(choice, F.lit(False)).alias("learnt"), F.col(text_col).cast("string").alias("text")
+    )
+    shared = spark.sparkContext.broadcast((model.frequent, model.unseen, model.ends))
+    fixed = f"row long, id {dict(docs.dtypes)[id_col]}, held_out boolean, learnt boolean, n_tokens long, seen double, known long"
+    local = scratch.save(rows.mapInArrow(_classed(shared), f"{fixed}, kinds binary, rest array<long>"), "scored")
+    met = local.select("row", F.posexplode("rest").alias("at", "word")).join(rare, "word", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + ADD)
-    sums = met.groupBy(F.col("row").alias("of")).agg(F.sum(log).alias("more"), F.count("n").alias("more_known"))
-    out = local.drop("rest").join(sums, F.col("row") == F.col("of"), "left")
+    sums = met.groupBy(F.col("row").alias("of")).agg(F.sum(log).alias("more"), F.count("n").alias("more_known"), F.collect_list(F.col("at").cast("long") * 256 + F.col("class")).alias("found"))
+    found = local.drop("rest").join(sums, F.col("row") == F.col("of"), "left").drop("of")
+    fixed += ", more double, more_known long"
+    found = scratch.save(found.select("row", "id", "held_out", "learnt", "n_tokens", "seen", "known", "more", "more_known", "kinds", "found").mapInArrow(_filled, f"{fixed}, kinds binary"), "filled")
+    scratch.drop(local)
+    table = dense.total(found.filter("learnt").select("kinds").mapInArrow(_learnt_bigrams, dense.SCHEMA), CLASSES * CLASSES, SLICES).reshape(CLASSES, CLASSES).astype(float)
+    share = (table.sum(0) + ADD) / (table.sum() + ADD * CLASSES)
+    transitions = np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
+    out = found.mapInArrow(_paths(transitions, model.room), f"{fixed}, path double")
     logs = F.col("seen") + F.coalesce("more", F.lit(0.0))
     room = float(np.log10(model.tokens + ADD * (model.types + 1)))
     return out.select(

@@ -257,6 +257,52 @@ def test_exchange_finds_the_classes():
     assert of[30] == 0 and len({(int(k), int(c)) for k, c in zip(kinds, of, strict=False)}) == 3
 
 
+def test_every_word_is_clustered(spark):
+    rng = random.Random(11)
+    kind = {f"{k:05d}zzzz": k % 3 for k in range(1500)}  # one tail for all of them
+    of = [[w for w in kind if kind[w] == c] for c in range(3)]
+    texts = [" ".join(of[(k + j) % 3][int(500 * rng.random() ** 2)] for j in range(60)) for k in range(1200)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = docs.mapInArrow(brown._counted, "word long, tail int, n long").groupBy("word").agg({"tail": "first", "n": "sum"}).toDF("word", "tail", "n")
+    for most in (100, brown.HEAD):  # with and without the join
+        _, _, least = brown._head(words, most)
+        got = {r["word"] % 2**64: r["class"] for r in brown.classes(words, docs, least).collect()}
+        assert len(got) == words.count() and got[brown.END] == 0
+        held = {w: got[tokens.word_hash(w)] for w in kind if tokens.word_hash(w) in got}
+        share = Counter((c, kind[w]) for w, c in held.items())
+        assert sum(max(share[c, k] for k in range(3)) for c in set(held.values())) >= 0.95 * len(held) > 1400
+
+
+def test_moves_are_the_likeliest():
+    rng = np.random.default_rng(2)
+    counts, size = rng.poisson(2, (21, 21)), 5
+    of = np.concatenate([1 + np.arange(20) % (size - 1), [0]])
+    one = np.eye(size)[of]
+    table = one.T @ counts @ one
+    rest = counts - np.diag(np.diag(counts))
+    wide = np.concatenate([rest.T @ one, rest @ one, np.diag(counts)[:, None]], 1).astype(np.int64)
+    row, code = np.nonzero(wide)
+    got = brown.moves(table, of, row, code, wide[row, code])
+    share = brown.PRIOR * (table.sum(0) + brown.ADD) / (table.sum() + brown.ADD * size)
+
+    def likelihood(u, k):
+        less = counts.copy()
+        less[u], less[:, u] = 0, 0
+        t = one.T @ less @ one
+        # what a word before it or after it loses is its own, whatever class it goes to
+        rows, cols = table.sum(1) - (of[u] == np.arange(size)) * counts[u].sum(), table.sum(0) - (of[u] == np.arange(size)) * counts[:, u].sum()
+        pair = lambda a, b: math.log((t[a, b] + share[b]) / (rows[a] + brown.PRIOR))
+        # rows of the classes before are the same for every k
+        before = lambda a, b: math.log(t[a, b] + share[b])
+        out = sum(counts[u, v] * pair(k, of[v]) for v in range(21) if v != u) + sum(counts[v, u] * before(of[v], k) for v in range(21) if v != u)
+        return out + counts[u, u] * pair(k, k) - counts[:, u].sum() * math.log(cols[k] + brown.ADD)
+
+    for u in range(20):
+        at = [likelihood(u, k) for k in range(1, size)]
+        assert math.isclose(at[got[u] - 1], max(at))
+    assert got[20] == 0 and (got != of).any()
+
+
 def test_url_rules(spark):
     urls = [None, "no scheme", "http://www.Example.com/en/x?q#f", "http://example.com/en/", "http://example.com/english", "https://a.b.net/es/1", "http://net/fr/", "http://notexample.com/en/", "http://x.org/", "http://example.com", "ftp://evil.com?x=/en/", "http://www.example.com/en/http://a/", "http:///en/", "http://com./"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)] + [(2, urls[2], "h")], "page_id long, url string, host string")
