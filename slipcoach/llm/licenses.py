@@ -1,9 +1,10 @@
 """License scan by a positional rare-token index.
 
-Templates are short passages of well-known licences. Each file's licence words with the highest inverse document
-frequency (over all files) are looked up in the index of template postings; postings that agree on where the template
-would begin are one candidate, and a candidate holds if enough of the template stands in place there and its
-mandatory key phrase does. Besides, a few base phrases count wherever they stand.
+Templates are short passages of well-known licences. Of each template the words of its mandatory key phrase with the
+highest inverse document frequency (over all files) are looked up in a file, wherever they stand, so that no template
+depends on what else the file holds; postings that agree on where the template would begin are one candidate, and a
+candidate holds if enough of the template stands in place there and its mandatory key phrase does. A template that holds
+has all words of its key phrase in place, so none is lost. Besides, a few base phrases count wherever they stand.
 
 Words are runs of 0-9, letters a-z after lower-casing A-Z, and non-ASCII characters.
 
@@ -44,13 +45,13 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
 )
-#: Rarest licence words that are looked up in each file, votes for a candidate, and the part of a template that must stand in place.
-LOOKED_UP, VOTES, IN_PLACE = 6, 3, 0.7
+#: Places of each key phrase, those of its rarest words, that must all vote for a candidate, and the part of a template that must stand in place.
+VOTES, IN_PLACE = 3, 0.7
 _U = np.uint64
 
 
 class Index:
-    """Postings of the templates: for each word, by its number, (template, place)."""
+    """The templates as numbers of words, with the place of each key phrase."""
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES) -> None:
         self.words = sorted({w for _, passage, _ in templates for w in passage.split()})
@@ -61,8 +62,6 @@ class Index:
         self.labels = [label for label, _, _ in templates]
         self.bodies = [np.array([number[w] for w in passage.split()]) for _, passage, _ in templates]
         self.keys = [self._found(body, [number[w] for w in key.split()]) for body, (_, _, key) in zip(self.bodies, templates, strict=True)]
-        at = [(w, t, k) for t, body in enumerate(self.bodies) for k, w in enumerate(body)]
-        self.postings = {w: np.array([(t, k) for x, t, k in at if x == w]) for w in range(len(self.words))}
         self.phrases = [(np.array([tokens.word_hash(w) for w in phrase.split()], _U), label) for phrase, label in phrases]
 
     @staticmethod
@@ -70,6 +69,11 @@ class Index:
         at = next(k for k in range(len(body)) if list(body[k : k + len(key)]) == key)
         return slice(at, at + len(key))
 
+    def rarest(self, template: int, idf: np.ndarray) -> np.ndarray:
+        """The places in a template of the rarest words of its key phrase, rarest first."""
+        at = np.arange(len(self.bodies[template]))[self.keys[template]]
+        return at[np.argsort(-idf[self.bodies[template][at]], kind="stable")[:VOTES]]
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for others."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -90,21 +94,24 @@ def _frequencies(index: Index) -> Callable:
     return run
 
 
-def _templates(index: Index, idf: np.ndarray, number: np.ndarray) -> dict[str, float]:
-    """label -> part of the template in place, of one file whose words have these numbers."""
-    present = np.unique(number[number >= 0])
-    if len(present) < VOTES:
-        return {}
-    top = present[np.argsort(-idf[present], kind="stable")[:LOOKED_UP]]
-    votes = []
-    for word in top:
-        places = np.flatnonzero(number == word)
-        template, at = index.postings[word].T
-        votes.append(((template[:, None] << 40) + (places[None, :] - at[:, None] + (1 << 20))).ravel())
-    begin, n = np.unique(np.concatenate(votes), return_counts=True)
+def _templates(index: Index, looked_up: list[np.ndarray], number: np.ndarray) -> dict[str, float]:
+    """label -> part of the template in place, of one file whose words have these numbers. looked_up: places by template."""
+    has = np.zeros(len(index.words), bool)
+    has[number[number >= 0]] = True
+    found: dict[int, np.ndarray] = {}
+    begin = []
+    for t, at in enumerate(looked_up):
+        body = index.bodies[t]
+        if not has[body[at]].all():
+            continue
+        start = None
+        for k in at:
+            if (w := int(body[k])) not in found:
+                found[w] = np.flatnonzero(number == w)
+            start = found[w] - k if start is None else start[np.isin(start, found[w] - k, assume_unique=True)]
+        begin += [(t, int(x)) for x in start]
     out: dict[str, float] = {}
-    for code in begin[n >= VOTES]:
-        t, start = int(code >> 40), int(code & (1 << 40) - 1) - (1 << 20)
+    for t, start in begin:
         body = index.bodies[t]
         place = start + np.arange(len(body))
         inside = (place >= 0) & (place < len(number))
@@ -116,6 +123,9 @@ def _templates(index: Index, idf: np.ndarray, number: np.ndarray) -> dict[str, f
 
 
 def _scanned(index: Index, idf: np.ndarray) -> Callable:
+    looked_up = [index.rarest(t, idf) for t in range(len(index.bodies))]
+    least = min(map(len, looked_up))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in tokens.words(batch.column("text"), tokens.NON_ALNUM):
@@ -134,7 +144,7 @@ def _scanned(index: Index, idf: np.ndarray) -> Callable:
                 marked = np.bincount(w.doc[number >= 0], minlength=w.rows)
                 labels, score = [], []
                 for r in range(w.rows):
-                    found = _templates(index, idf, number[bound[r] : bound[r + 1]]) if marked[r] >= VOTES else {}
+                    found = _templates(index, looked_up, number[bound[r] : bound[r + 1]]) if marked[r] >= least else {}
                     labels.append(",".join(sorted(base[r] | set(found))))
                     score.append(max([1.0 if base[r] else 0.0, *found.values()]))
                 part = batch.slice(w.first, w.rows)

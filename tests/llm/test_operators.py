@@ -168,6 +168,31 @@ def test_licenses(spark):
     assert rows[-4].labels == "mit" and rows[-4].n_base == 0 and rows[-5].labels == "" and rows[-5].score == 0.0
 
 
+def test_several_licenses_in_a_file(spark):
+    rng = random.Random(13)
+    three = "Licensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License."
+    passages = [p for _, p, _ in licenses.TEMPLATES]
+    vocabulary = [w for p in passages for w in p.split()]
+    scattered = lambda n: " ".join(rng.choice(vocabulary) + " and so x" for _ in range(n))
+    texts = [three, f"{passages[1]}. {passages[10]}. Licensed under CC BY-SA 4.0.", ". ".join(passages)]
+    texts += [f"{scattered(3000)} {p} {scattered(3000)}" for p in passages] + [passages[5][6:], passages[2] + " x", "license version " + passages[3][8:], scattered(500), "common words of a file"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for k, text in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+        want = {label for phrase, label in licenses.PHRASES for j in range(len(w)) if w[j : j + len(phrase.split())] == phrase.split()}
+        for label, passage, key in licenses.TEMPLATES:
+            body, key = passage.split(), key.split()
+            at = next(j for j in range(len(body)) if body[j : j + len(key)] == key)
+            for j in range(len(w)):
+                if w[j] == key[0] and w[j : j + len(key)] == key:
+                    same = sum(0 <= j - at + i < len(w) and w[j - at + i] == b for i, b in enumerate(body))
+                    if same >= licenses.IN_PLACE * len(body):
+                        want.add(label)
+        assert rows[k].labels == ",".join(sorted(want))
+    assert rows[0].labels == "apache,apache-2.0,gpl,gpl-3.0,mit" and rows[1].labels == "bsd,cc-by,cc-by-sa-4.0,mit"
+
+
 def test_sharding(spark):
     docs = odd_docs(spark)
     rows = sharding.manifest(docs).collect()
