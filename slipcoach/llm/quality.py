@@ -35,7 +35,7 @@ SURE_WORDS, CHAR_LIMIT, WORD_LIMIT, WORD_NOISE = 50, 0.23, 0.18, 1.4
 
 
 def _words(text: str) -> Column:
-    body = F.expr(f"trim(BOTH '\\t\\n\\u000b\\f\\r ' FROM {text})")
+    body = F.expr(f"trim(BOTH '\\t\\n\\u000b\\u000c\\r ' FROM {text})")
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES))
 
 

@@ -140,6 +140,14 @@ def test_quality(spark):
     assert quality.score(documents.limit(0)).count() == 0
 
 
+def test_quality_at_the_border_of_a_text(spark):
+    body = "one two three four five six seven eight nine ten"
+    texts = ["for all of", "f", "fff", "\fa b\f", "\f", "f\f", f"of {body} if", f"f {body} f", f"\x0b\f\r\n\t {body}\f", f"of all of that of if {body} of all of that of if", "off f off"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.score(docs).collect()}
+    assert got == {(k, *base_metrics(t)) for k, t in enumerate(texts)}
+
+
 def test_quality_distance(spark):
     from pyspark.sql import functions as F
 
