@@ -44,3 +44,19 @@ def test_pipeline(spark):
             want[(r.doc_id, r.text, min(score, key=lambda k: (-score[k], k)))] += n
     assert Counter((r.doc_id, r.text, r.shard) for r in rows) == want
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_copies_by_five_words(spark):
+    words = [f"v{k}" for k in range(300)]
+    pairs = [(n, m) for n in (40, 46, 47, 48, 49, 54, 95, 99, 120) for m in (1, 2)]  # texts of n words, the copy with m words changed
+    rows = []
+    for k, (n, m) in enumerate(pairs):
+        text = [f"{k}{w}" for w in words[:n]]
+        copy = text.copy()
+        for j in range(m):
+            copy[n // 3 * (j + 1)] = "changed"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    of = components([shingles(t, 5) for _, t in rows], 80)
+    want = {k for k, _ in rows if of[k] == k}
+    assert got == want != {k for k, _ in rows if components([shingles(t) for _, t in rows])[k] == k}
