@@ -1,21 +1,26 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Documents are rows, shingles columns; two rows link when their overlap reaches the share `percent`
-of their union. The product is never formed: columns are ordered from rare to common, and for a pair of
-sizes (na, nb) at least alpha = ceil(percent * (na + nb) / (100 + percent)) columns must meet, so the
-rows must share a column among the first na - alpha + 1 and nb - alpha + 1 of theirs (size-derived bounds).
-Only these leading entries are shuffled; each column block yields its pairs, pairs below the bounds are
-discarded by size, by position and by a parity sketch (whose distance never exceeds the symmetric
-difference), and the overlap of what is left is counted exactly.
-
-Equal rows are one node from the start. Large groups of near copies are contracted before pairs are
-listed: in each column block every row first meets the row that has fewest rarer columns; what
-links is one component, and only then pairs of different components are listed.
+Documents are rows, shingles columns; two rows link when their overlap reaches the share `percent` of their union. Of a
+pair of sizes (na, nb) at least alpha = ceil(percent * (na + nb) / (100 + percent)) columns must meet, so only part of the
+product can count, and only that part is formed:
+
+1. The cells. Columns are ordered from rare to common, and the rows of a cell that can reach alpha share a column among the
+   first na - alpha + 1 and nb - alpha + 1 of theirs. These leading entries are joined by column; a cell whose sizes, places
+   or parity sketches (which differ in no more bits than the sets in shingles) leave less than alpha is discarded.
+2. The counts. The columns of the rows that are left are cut into blocks by their leading bits, so that a block of a row
+   holds about BLOCK columns at most. Each block adds its overlap to its cell, and a cell whose sum stays below alpha is
+   discarded.
+
+Equal rows are one row from the start. Large groups of near copies are contracted before cells are listed: in each column
+every row first meets the row with the fewest rarer columns; what links is one component, and only then cells of different
+components are listed. A column with many rows left is cut into squares of SQUARE x SQUARE rows, dealt over tasks, so no
+task holds all rows of a column; cells that the bounds exclude never leave the join.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a text of fewer words
 than the shingle length has one shingle, its whole sequence; rows that repeat an id keep one row each, and
-rows with a null id take part but never name a component (a component of such rows alone has a null id);
-other columns are ignored, whatever their names; an empty table gives an empty one.
+rows with a null id take part but never name a component (a component of such rows alone has a null id); an id that
+cannot be read as a number counts as null; other columns are ignored by `cluster` and pass through `keep_one`, whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,6 +40,10 @@ SHINGLE, PERCENT = 4, 85
 SKETCH_BITS, WANTED_BITS = 20, 23
 SLICES = 64
 LANES = 8
+#: Columns of a block of one row, about; rows on each side of a square of cells.
+BLOCK_BITS, SQUARE = 12, 1024
+#: Sets that a task remembers so as to hand on equal ones once; forgetting them costs rows, not results.
+REMEMBERED = 1 << 16
 _U = np.uint64
 
 
@@ -58,34 +67,41 @@ def _lanes(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _level(n: int) -> int:
+    """2 to this power blocks hold the columns of a row of n."""
+    return ((n - 1) >> BLOCK_BITS).bit_length()
+
+
 def _profile(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+        heap, held = [], 0
         for batch in batches:
             n, high, low = np.zeros(len(batch), np.int64), np.zeros(len(batch), _U), np.zeros(len(batch), _U)
-            lanes, heap, held = np.zeros((len(batch), LANES), np.int64), [], 0
+            lanes = np.zeros((len(batch), LANES), np.int64)
             for row, grams in _sets(batch, "text", shingle):
                 n[row], (high[row], low[row]), lanes[row] = len(grams), _node(grams), _lanes(grams)
-                heap.append(grams)
+                heap.append((grams >> _U(64 - SKETCH_BITS)).astype(np.int32))
                 held += len(grams)
                 if held > 1 << 19:
-                    cells += np.bincount((np.concatenate(heap) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+                    cells += np.bincount(np.concatenate(heap), minlength=len(cells)).astype(np.uint32)
                     heap, held = [], 0
-            if held:
-                cells += np.bincount((np.concatenate(heap) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
             none = pa.nulls(len(batch))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), tokens.binary16(high, low), *(pa.array(lanes[:, k]) for k in range(LANES)), none.cast(pa.int32()), none.cast(pa.binary())], names=_PROFILE
+                [batch.column("id"), pa.array(n), tokens.binary16(high, low), pa.array(low.view(np.int64)), *(pa.array(lanes[:, k]) for k in range(LANES)), none.cast(pa.int32()), none.cast(pa.binary())], names=_PROFILE
             )
+        if held:
+            cells += np.bincount(np.concatenate(heap), minlength=len(cells)).astype(np.uint32)
         blobs = dense.parts(cells, SLICES)
         gone = pa.nulls(len(blobs), pa.int64())
-        yield pa.RecordBatch.from_arrays([gone, gone, pa.nulls(len(blobs), pa.binary()), *[gone] * LANES, *blobs.columns], names=_PROFILE)
+        yield pa.RecordBatch.from_arrays([gone, gone, pa.nulls(len(blobs), pa.binary()), gone, *[gone] * LANES, *blobs.columns], names=_PROFILE)
 
     return run
 
 
-_PROFILE = ["id", "n", "node", *(f"lane{k}" for k in range(LANES)), "slice", "cells"]
-_PROFILE_TYPES = "id long, n long, node binary, " + "".join(f"lane{k} long, " for k in range(LANES)) + "slice int, cells binary"
+_LANE = [f"lane{k}" for k in range(LANES)]
+_PROFILE = ["id", "n", "node", "key", *_LANE, "slice", "cells"]
+_PROFILE_TYPES = "id long, n long, node binary, key long, " + "".join(f"{x} long, " for x in _LANE) + "slice int, cells binary"
 
 
 def _frequencies(blobs: DataFrame) -> np.ndarray:
@@ -99,17 +115,19 @@ def _leading(shingle: int, percent: int, sketch) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = sketch.value, set()
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int, int]] = []
+            out: list[tuple[np.ndarray, int]] = []
             held = 0
             for _, grams in _sets(batch, "text", shingle):
-                if not len(grams) or (node := _node(grams)) in seen:
+                if not len(grams) or (key := _node(grams)[1]) in seen:
                     continue
-                seen.add(node)
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
                 n = len(grams)
                 order = np.argsort(cells[(grams >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(_U) << _U(32) | grams >> _U(32), kind="stable")
-                out.append((grams[order[: n - -(-percent * n // 100) + 1]], *node, n))
+                out.append((grams[order[: n - -(-percent * n // 100) + 1]], key))
                 held += len(out[-1][0])
-                if held > 1 << 17:
+                if held > 1 << 16:
                     yield _postings(out)
                     out, held = [], 0
             if out:
@@ -118,11 +136,11 @@ def _leading(shingle: int, percent: int, sketch) -> Callable:
     return run
 
 
-def _postings(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+def _postings(rows: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
     each = [len(x[0]) for x in rows]
-    spread = lambda k, kind: np.repeat(np.array([x[k] for x in rows], kind), each)
     place = np.concatenate([np.arange(x, dtype=np.int32) for x in each])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in rows]).view(np.int64)), tokens.binary16(spread(1, _U), spread(2, _U)), pa.array(spread(3, np.int32)), pa.array(place)], names=["gram", "node", "n", "place"])
+    keys = np.repeat(np.array([x[1] for x in rows], _U).view(np.int64), each)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in rows]).view(np.int64)), pa.array(keys), pa.array(place)], names=["gram", "key", "place"])
 
 
 def _alpha(a: Column | str, b: Column | str, percent: int) -> Column:
@@ -130,88 +148,121 @@ def _alpha(a: Column | str, b: Column | str, percent: int) -> Column:
 
 
 def _possible(percent: int) -> Column:
-    """A pair that meets at places pa and pb can reach the threshold, and each place is in the part that the partner's size asks for."""
+    """A cell (na, nb, pa, pb, lanes) can reach alpha: by the sizes, by places that the partner's size asks for, by the parity sketches."""
     alpha = _alpha("na", "nb", percent)
-    return (F.least("na", "nb") >= alpha) & (F.col("pa") <= F.col("na") - alpha) & (F.col("pb") <= F.col("nb") - alpha)
+    apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in _LANE), F.lit(0))
+    return (F.least("na", "nb") >= alpha) & (F.col("pa") <= F.col("na") - alpha) & (F.col("pb") <= F.col("nb") - alpha) & (apart <= F.col("na") + F.col("nb") - 2 * alpha)
+
 
+def _side(rows: DataFrame, x: str, *more: Column) -> DataFrame:
+    """Columns of one side of a cell."""
+    return rows.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("id").alias(f"id{x}"), *(F.col(k).alias(f"{x}_{k}") for k in _LANE), *more)
 
-def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose parity sketches do not prove them too far apart."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(f"lane{k}").alias(f"{x}{k}") for k in range(LANES)))
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(LANES)), F.lit(0))
-    most = F.col("na") + F.col("nb") - 2 * _alpha("na", "nb", percent)
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= most).select("a", "b")
 
+_CELL = ["a", "b", "na", "nb", "ida", "idb"]
+
+
+def _wanted_blocks(shingle: int, percent: int, flags) -> Callable:
+    """(id, node, level, block, columns) of the rows that flags lets through, at each level that a partner may ask for."""
 
-def _wanted_sets(shingle: int, flags) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = flags.value, set()
+        bits = flags.value
         for batch in batches:
             slot = batch.column("slot").to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7) & 1)
-            batch = batch.take(pa.array(hit))
-            rows, held = [], 0
-            for _, grams in _sets(batch, "text", shingle):
-                if len(grams) and (node := _node(grams)) not in seen:
-                    seen.add(node)
-                    rows.append((node, grams.tobytes()))
-                    held += len(grams)
-                    if held > 1 << 20:
-                        yield _set_rows(rows)
+            batch = batch.take(pa.array(np.flatnonzero(bits[slot >> 3] >> (slot & 7) & 1)))
+            ids, rows, held = batch.column("id").to_pylist(), [], 0
+            for row, grams in _sets(batch, "text", shingle):
+                if not len(grams):
+                    continue
+                node, n = _node(grams), len(grams)
+                for level in range(_level(n), _level(100 * n // percent) + 1):
+                    block = (grams >> _U(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
+                    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                    rows += [(ids[row], node, level, int(block[b]), grams[b:e].tobytes()) for b, e in zip(first, [*first[1:], n], strict=True)]
+                    held += n
+                    if held > 1 << 18:
+                        yield _block_rows(rows)
                         rows, held = [], 0
             if rows:
-                yield _set_rows(rows)
+                yield _block_rows(rows)
 
     return run
 
 
-def _set_rows(rows: list) -> pa.RecordBatch:
-    high, low = (np.array([x[0][k] for x in rows], _U) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([tokens.binary16(high, low), pa.array([x[1] for x in rows], pa.binary())], names=["node", "grams"])
+def _block_rows(rows: list) -> pa.RecordBatch:
+    high, low = (np.array([x[1][k] for x in rows], _U) for k in (0, 1))
+    ids, levels, blocks, grams = (pa.array([x[k] for x in rows], t) for k, t in ((0, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.binary())))
+    return pa.RecordBatch.from_arrays([ids, tokens.binary16(high, low), levels, blocks, grams], names=["id", "node", "level", "block", "columns"])
 
 
-def _overlapping(percent: int) -> Callable:
-    """Counts the overlap of each pair; passes on those that link."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many columns of a block meet in each cell."""
+    for batch in batches:
+        met = np.zeros(len(batch), np.int64)
+        for k, (x, y) in enumerate(zip(batch.column("ca"), batch.column("cb"), strict=True)):
+            both = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), _U) for v in (x, y)]))
+            met[k] = int((both[1:] == both[:-1]).sum())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb", "block")), pa.array(met)], names=["a", "b", "na", "nb", "block", "met"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column("ga"), batch.column("gb"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                inter = int((both[1:] == both[:-1]).sum())
-                if 100 * inter >= percent * (len(x) + len(y) - inter):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return run
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, profile: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) among candidate pairs, by their whole sets."""
-    spark = pairs.sparkSession
-    pairs = scratch.save(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # the filter only spares work: rows it lets through by chance find no pair in the join below
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS))
-    wanted = profile.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    words = wanted.select(slot.alias("slot"))
+def _links(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The cells (a, b) that reach alpha, by the sum of the overlaps of their blocks."""
+    spark = cells.sparkSession
+    cells = scratch.save(cells.select(_CELL), "cells")
+    # the filter only spares work: rows it lets through by chance find no cell in the join below
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << WANTED_BITS))
+    words = cells.select(F.explode(F.array(slot("ida"), slot("idb"))).alias("slot"))
     words = words.groupBy((F.col("slot").bitwiseAND(F.lit(~63))).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
     flags = np.zeros((1 << WANTED_BITS) // 64, np.int64)
-    got = words.toArrow()
+    got = words.toArrow()  # at most 2^17 rows
     flags[got.column("at").to_numpy() >> 6] = got.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(flags.view(np.uint8))
-    sets = scratch.save(texts.select("text", slot.alias("slot")).mapInArrow(_wanted_sets(shingle, shared), "node binary, grams binary"), "sets")
-    one = sets.groupBy("node").agg(F.first("grams").alias("grams"))
-    full = pairs.join(one.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(one.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    links = scratch.save(full.select("a", "b", "ga", "gb").mapInArrow(_overlapping(percent), "a binary, b binary"), "links", batch_rows=256)
+    blocks = texts.select("id", "text", slot("id").alias("slot")).mapInArrow(_wanted_blocks(shingle, percent, shared), "id long, node binary, level int, block int, columns binary")
+    blocks = scratch.save(blocks, "blocks")
+    over = lambda n: F.when(F.col(n) > 1 << BLOCK_BITS, F.length(F.bin(F.shiftright(F.col(n) - 1, BLOCK_BITS)))).otherwise(0)
+    asked = cells.withColumn("level", F.greatest(over("na"), over("nb"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, level) - 1"))))
+    part = lambda x: blocks.select(F.col("node").alias(x), "level", "block", F.col("id").alias(f"_{x}"), F.col("columns").alias(f"c{x}"))
+    full = asked.join(part("a"), ["a", "level", "block"]).filter(F.col("ida").eqNullSafe(F.col("_a"))).drop("_a")
+    full = full.join(part("b"), ["b", "level", "block"]).filter(F.col("idb").eqNullSafe(F.col("_b")))
+    met = full.select("a", "b", "na", "nb", "block", "ca", "cb").mapInArrow(_met, "a binary, b binary, na long, nb long, block int, met long")
+    met = met.groupBy("a", "b", "na", "nb", "block").agg(F.max("met").alias("met"))  # a row that repeats its id counts once
+    out = met.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met")).filter(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met")))
+    out = scratch.save(out.select("a", "b"), "links", batch_rows=256)
     shared.destroy()
-    scratch.drop(pairs, sets)
-    return links
+    scratch.drop(cells, blocks)
+    return out
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _heads(postings: DataFrame) -> DataFrame:
+    """The columns that more than one row leads with (gram), their least and largest key, and of each the row with the fewest rarer columns."""
+    turn = F.shiftleft(F.col("place").cast("long"), 37).bitwiseOR(F.shiftrightunsigned("key", 27))
+    each = postings.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min_by("key", turn).alias("head"), F.min("place").alias("head_place"))
+    return each.filter("low != high")
+
+
+def _listed(blocks: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Cells of different components in columns of more than two rows (the only cell of two rows has met)."""
+    rooted = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = blocks.select("gram", "low", "high", "key", "place").join(rooted.select("key", "root"), "key")
+    third = F.max((F.col("key") != F.col("low")) & (F.col("key") != F.col("high")))
+    mixed = labelled.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), third.alias("third"), F.count("*").alias("held"))
+    mixed = scratch.save(mixed.filter("x != y AND third").select("gram", F.ceil(F.col("held") / SQUARE).cast("int").alias("stripes")), "mixed")
+    rows = blocks.select("gram", "key", "place").join(mixed, "gram").distinct().join(rooted, "key")
+    rows = scratch.save(rows.withColumn("stripe", F.pmod(F.xxhash64("node"), F.col("stripes")).cast("int")), "open")
+    place = lambda x: (F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}"), F.col("stripe").alias(f"s{x}"))
+    down = _side(rows, "a", *place("a"), "gram", F.explode(F.expr("sequence(stripe, stripes - 1)")).alias("other"))
+    across = _side(rows, "b", *place("b"), "gram", F.explode(F.expr("sequence(0, stripe)")).alias("other"))
+    # the square of stripes (sa, sb), sa <= sb: a is dealt to every later stripe, b to every earlier one
+    at = [down["gram"] == across["gram"], F.col("sa") == across["other"], down["other"] == F.col("sb")]
+    once = (F.col("sa") < F.col("sb")) | (F.col("a") < F.col("b"))
+    met = down.join(across, [*at, once, F.col("ra") != F.col("rb"), _possible(percent)])
+    turned = F.col("a") > F.col("b")
+    swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    return met.select(swap("a", "b"), swap("b", "a"), swap("na", "nb"), swap("nb", "na"), swap("ida", "idb"), swap("idb", "ida")).distinct()
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -221,50 +272,64 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     both = scratch.save(texts.mapInArrow(_profile(shingle), _PROFILE_TYPES), "profile")
     profile = both.filter("slice is null")
     sketch = spark.sparkContext.broadcast(_frequencies(both.filter("slice is not null").select("slice", "cells")))
-    nodes = profile.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), *(F.first(f"lane{k}").alias(f"lane{k}") for k in range(LANES)))
-
-    postings = texts.mapInArrow(_leading(shingle, percent, sketch), "gram long, node binary, n int, place int").repartition("gram")
-    postings = postings.groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
-    # the columns that more than one node leads with, and of each the node with fewest rarer columns
-    heads = postings.groupBy("gram").agg(F.min(F.struct("place", "node", "n")).alias("head"), F.count("*").alias("held")).filter("held > 1")
-    blocks = scratch.save(postings.join(heads, "gram"), "blocks")
-
-    met = blocks.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"), F.col("place").alias("pa"), F.col("head.place").alias("pb"))
-    first = _sketched(met.filter("a != b").filter(_possible(percent)).select("a", "b").distinct(), nodes, percent)
-    links = _verified(first, texts, profile, shingle, percent)
-    joined = scratch.save(components(links), "joined")
-
-    # the pair of a block of two has met; of larger ones those with more than one component are open
-    labelled = blocks.filter("held > 2").select("gram", "node", "n", "place").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("gram")
-    mixed = labelled.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("gram")
-    open_ = scratch.save(labelled.join(mixed, "gram", "left_semi"), "open")
-    side = lambda x: open_.select("gram", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}"))
-    listed = side("a").join(side("b"), "gram").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _possible(percent))
-    second = _sketched(listed.select("a", "b").distinct(), nodes, percent)
-    more = _verified(second, texts, profile, shingle, percent)
+    nodes = profile.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", "key", *_LANE)))
+    nodes = scratch.save(nodes, "nodes")
+
+    # keys are 64 bits of the rows' names; a cell of keys stands for the cells of all rows with them
+    postings = texts.mapInArrow(_leading(shingle, percent, sketch), "gram long, key long, place int").repartition("gram")
+    blocks = scratch.save(postings.join(_heads(postings), "gram"), "columns")
+    met = blocks.filter("key != head").groupBy(F.col("key").alias("ka"), F.col("head").alias("kb")).agg(F.min("place").alias("pa"), F.min("head_place").alias("pb"))
+    first = met.join(_side(nodes, "a", F.col("key").alias("ka")), "ka").join(_side(nodes, "b", F.col("key").alias("kb")), "kb").filter(_possible(percent))
+    links = _links(first, texts, shingle, percent)
+    more = _links(_listed(blocks, nodes, scratch.save(components(links), "joined"), percent), texts, shingle, percent)
+    scratch.drop(blocks)
     roots = components(links.union(more))
 
     found = profile.select("id", "n", "node").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    alone = found.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("group"))
+    alone = found.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("group"), F.lit(None).cast("binary").alias("node"))
     linked = found.filter("n > 0")
     least = linked.groupBy("group").agg(F.min("id").alias("component_id"))
-    out = linked.join(least, "group").select("id", F.col("n").alias("n_shingles"), "component_id", "group")
+    out = linked.join(least, "group").select("id", F.col("n").alias("n_shingles"), "component_id", "group", "node")
     return out.union(alone).withColumnRenamed("id", id_col)
 
 
+def _named(shingle: int) -> Callable:
+    """(id, digest, node) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, low = np.zeros(len(batch), _U), np.zeros(len(batch), _U)
+            for row, grams in _sets(batch, "text", shingle):
+                high[row], low[row] = _node(grams)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), tokens.binary16(high, low)], names=["id", "digest", "node"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without all but one of each component: that with the smallest id stays.
+    """The documents without all but one of each component: that with the smallest id stays, as it is.
 
-    Rows that repeat such an id with an equal text stay once; rows of null ids alone stay once for each text;
-    documents without words stay.
+    Documents without words stay. Where several rows have that id, one row of the component stays: of the set of shingles,
+    then of the text, with the smallest hash; the other rows of that id stand for their own components. A component without
+    any id keeps one row in the same way.
     """
-    found = cluster(docs, id_col, text_col, shingle, percent)
-    stay = scratch.save(found.filter(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows")), "stay")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").try_cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = scratch.save(cluster(whole, "id", "text", shingle, percent).filter("n_shingles > 0"), "found")
+    chosen = found.filter(F.col("component_id").eqNullSafe(F.col("id"))).groupBy("id", "group").agg(F.min("node").alias("node"))
+    total = found.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("total"))
+    chosen = scratch.save(chosen.join(total.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select("of", "node", "total"), "chosen")
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # the same plan at every size: a table of ids grows with the documents, so it is merged, not broadcast
-    held = docs.join(stay.hint("merge"), docs[id_col].eqNullSafe(stay["__id"]))
-    plain = held.filter("__rows = 1")
-    # few rows: ids that occur more than once; each set of shingles under such an id stays once
-    again = held.filter("__rows > 1").select(docs.columns)
-    once = again.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").dropDuplicates([id_col, text_col])
-    empty = again.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) == "")
-    return plain.select(docs.columns).union(once).union(empty)
+    stay = chosen.filter("total = 1").select("of", F.lit(True).alias("stays")).hint("merge")
+    out = whole.join(stay, F.col("id").eqNullSafe(F.col("of")), "left").filter(~words | F.col("stays")).select("row.*")
+    again = chosen.filter("total > 1")
+    if again.isEmpty():
+        return out
+    # ids of several rows: which of their texts has the set that was chosen
+    digest = F.md5(F.col("text").cast("binary"))
+    twice = whole.filter(words).join(again.select("of").distinct(), F.col("id").eqNullSafe(F.col("of"))).select("id", "text", digest.alias("digest"))
+    named = scratch.save(twice.mapInArrow(_named(shingle), "id long, digest string, node binary"), "named")
+    named = named.join(again.withColumnRenamed("node", "_node"), F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("_node")))
+    texts = named.groupBy("of", "node").agg(F.min("digest").alias("digest")).select("of", F.col("digest").alias("_digest"))
+    rows = whole.withColumn("digest", digest).filter(words).join(texts, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("_digest")))
+    return out.union(rows.dropDuplicates(["id", "digest"]).select("row.*"))

@@ -61,8 +61,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; the columns stay as they are."""
-    totals = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size(text_col)).alias("source_size"))
-    rates = scratch.save(targets(totals, weights, cap).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), "rates")
-    joined = docs.join(rates, docs[source_col].cast("string").eqNullSafe(F.col("__source")))
-    times = joined.withColumn("__copies", copies(id_col, "__rate")).filter("__copies > 0")
-    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), size(F.col(f"`{text_col}`")).alias("size"))
+    totals = whole.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = scratch.save(targets(totals, weights, cap).select(F.col("source").alias("of"), "rate"), "rates")
+    joined = whole.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies("id", "rate"))
+    return joined.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

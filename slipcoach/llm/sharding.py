@@ -4,8 +4,9 @@ Every shard draws a number in (0, 1) for a key from the hash of both, and the sh
 holds the key. A shard more or less moves only the keys that it gains or gives up, and nothing else is remembered.
 
 Defined results: the key is the id as text; a null id has a key of its own, so all such rows share a shard; rows with
-equal ids share a shard whatever their texts; a null text has no bytes (checksum 0); an empty table gives an empty one;
-other columns pass through, whatever their names.
+equal ids share a shard whatever their texts, and rows alike in id, size and checksum follow one another in any order; a
+null text has no bytes (checksum 0); shards that draw the same score: the lower number holds the key; an empty table gives
+an empty one; other columns pass through `assign`, one that has the name of the new column under that name with `_` added.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from slipcoach.llm import scratch
 
-SHARDS, OVERHEAD, BUCKETS, SEED = 40, 16, 32, "shard"
+SHARDS, OVERHEAD, SEED = 40, 16, "shard"
 
 
 def _draw(key: Column, shard: int, seed: str) -> Column:
@@ -26,14 +27,23 @@ def _draw(key: Column, shard: int, seed: str) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
+def _score(key: Column, shard: int, weight: float, seed: str) -> Column:
+    return F.struct((-F.log(_draw(key, shard, seed)) / float(weight)).alias("score"), F.lit(shard).alias("shard"))
+
+
+def _best(key: Column, weights: Sequence[float], seed: str) -> Column:
+    """(score, shard) of the shard that holds the key; weights: one positive number a shard."""
+    scores = [_score(key, k, w, seed) for k, w in enumerate(weights)]
+    return F.least(*scores) if len(scores) > 1 else scores[0]
+
+
 def shard_of(key: Column, weights: Sequence[float], seed: str = SEED) -> Column:
-    """The number of the shard that holds the key; weights: one positive number a shard."""
-    if len(set(weights)) == 1:
-        # equal weights: the largest draw has the smallest score
-        scores = [F.struct(-_draw(key, k, seed), F.lit(k).alias("shard")) for k in range(len(weights))]
-    else:
-        scores = [F.struct(-F.log(_draw(key, k, seed)) / float(w), F.lit(k).alias("shard")) for k, w in enumerate(weights)]
-    return F.least(*scores)["shard"] if len(scores) > 1 else F.lit(0)
+    """The number of the shard that holds the key."""
+    return _best(key, weights, seed)["shard"]
+
+
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\\N"))
 
 
 def text_bytes(text: str) -> Column:
@@ -42,30 +52,34 @@ def text_bytes(text: str) -> Column:
 
 def assign(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, seed: str = SEED, name: str = "shard") -> DataFrame:
     """The rows with their shard in the column `name`."""
-    return docs.withColumn(name, shard_of(F.coalesce(F.col(id_col).cast("string"), F.lit("\\N")), weights, seed).cast("int"))
+    shard = shard_of(_key(id_col), weights, seed).cast("int").alias(name)
+    taken = set(docs.columns)
+    other = name
+    while other in taken:
+        other += "_"
+    return docs.select(*(F.col(f"`{c}`").alias(other if c == name else c) for c in docs.columns), shard)
 
 
-def slots(rows: DataFrame, order: Sequence[str], shard: str = "shard", buckets: int = BUCKETS) -> DataFrame:
-    """Gapless numbers from 0 within each shard.
+def slots(rows: DataFrame, order: Sequence[str], shard: str = "shard") -> DataFrame:
+    """Gapless numbers from 0 within each shard, in the given order.
 
-    A shard is numbered in `buckets` parts by the hash of the order columns, each after the ones before it, so no task
-    holds a whole shard; rows that agree in all order columns are alike and follow one another.
+    All rows are numbered through, by ranges of shard and order that grow in number with the rows; a shard's slots count from
+    its first number. Rows alike are told apart by where they stood, so that many of them do not share one range.
     """
-    parts = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    parts = scratch.save(parts.selectExpr("*", f"row_number() OVER (PARTITION BY {shard}, __part ORDER BY {', '.join(order)}) AS __row"), "slots")
-    held = parts.groupBy(shard, "__part").agg(F.count("*").alias("__held"))
-    before = held.selectExpr(f"{shard} AS __shard", "__part AS __of", f"sum(__held) OVER (PARTITION BY {shard} ORDER BY __part) - __held AS __before")
-    # shards x buckets rows, a bound that the caller sets
-    joined = parts.join(F.broadcast(before), (F.col(shard) == F.col("__shard")) & (F.col("__part") == F.col("__of")))
-    return joined.withColumn("slot", F.col("__before") + F.col("__row") - 1).drop("__part", "__row", "__shard", "__of", "__before")
-
-
-def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """One row per document: id, size, text_crc32, law, shard, slot, and the shard it would have with one shard more."""
-    rows = docs.select(F.col(id_col), (text_bytes(text_col) + OVERHEAD).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = assign(rows, id_col, (1.0,) * shards)
-    rows = assign(rows, id_col, (1.0,) * (shards + 1), name="grown_shard")
-    return slots(rows.withColumn("law", F.lit("key")), [id_col, "text_crc32", "size"])
+    placed = scratch.save(rows.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    through = scratch.save(scratch.numbered(placed, [F.col(c) for c in (shard, *order, "_at")], "_number", 0), "numbers")
+    first = through.groupBy(F.col(shard).alias("_shard")).agg(F.min("_number").alias("_first"))  # a row a shard
+    return through.join(F.broadcast(first), F.col(shard) == F.col("_shard")).withColumn("slot", F.col("_number") - F.col("_first")).drop("_number", "_shard", "_first", "_at")
+
+
+def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, weights: Sequence[float] | None = None, seed: str = SEED) -> DataFrame:
+    """One row per document: id, size, text_crc32, law, shard, slot, and the shard it would have with one shard more (of weight 1)."""
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), (text_bytes(text_col) + OVERHEAD).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("_best", _best(_key(id_col), weights or (1.0,) * shards, seed))
+    # a new shard can only win keys for itself: one more draw tells
+    grown = F.least("_best", _score(_key(id_col), shards, 1.0, seed))["shard"].cast("int")
+    rows = rows.withColumn("grown_shard", grown).withColumn("shard", F.col("_best.shard").cast("int")).withColumn("law", F.lit("key")).drop("_best")
+    return slots(rows, [id_col, "text_crc32", "size"])
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, seed: str = SEED) -> None:

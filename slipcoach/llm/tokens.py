@@ -2,6 +2,9 @@
 
 A word is a run of bytes that are no separators. Every class of separators used here is ASCII,
 so a run of UTF-8 bytes is the same as the run of code points that the contracts speak of.
+
+Defined results: a null or empty text has no words; equal rows give equal hashes, whatever batch or piece they come in; a
+text, or a single word, longer than what is taken at once is cut by pieces with the same result; no rows give nothing.
 """
 
 from __future__ import annotations
@@ -53,8 +56,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to n; n never exceeds what words() takes at once."""
     if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.concatenate([[_U(1)], np.multiply.accumulate(np.full(max(n, 1 << 20), _U(b), _U))]) for b in (_BASE, _UNBASE)]
+        _powers[:] = [np.concatenate([[_U(1)], np.multiply.accumulate(np.full(max(n, 1 << 16), _U(b), _U))]) for b in (_BASE, _UNBASE)]
     return _powers[0], _powers[1]
 
 
@@ -68,8 +72,58 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
-def words(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = True, at_once: int = 2 << 20) -> Iterator[Words]:
-    """Whole rows, so many bytes at once (or one longer row). fold: A-Z count as a-z."""
+def _cut(data: np.ndarray, edges: np.ndarray, separators: np.ndarray, of_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of data; no word crosses an edge."""
+    inside = ~separators[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[edges] = True
+    before = np.concatenate([[False], inside])
+    after = np.concatenate([inside, [False]])
+    start = np.flatnonzero(after & (~before | edge))
+    end = np.flatnonzero(before & (~after | edge))
+    power, unpower = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum(of_byte[data] * power[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * unpower[start] + (end - start).astype(_U) * _SHORT), start, end
+
+
+def _giant(data: np.ndarray, of_byte: np.ndarray, at_once: int) -> int:
+    """The hash of one word, by pieces."""
+    power, total = _tables(at_once + 1)[0], 0
+    for k in range(0, len(data), at_once):
+        piece = data[k : k + at_once]
+        total += int((of_byte[piece] * power[: len(piece)]).sum()) * pow(_BASE, k, 2**64)
+    return int(mix(np.array([total % 2**64], _U) + np.array([len(data)], _U) * _SHORT)[0])
+
+
+def _long_row(data: np.ndarray, separators: np.ndarray, of_byte: np.ndarray, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of one long text, by pieces that end at a separator."""
+    parts, at = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    while at < len(data):
+        stop = min(len(data), at + at_once)
+        if stop < len(data):
+            gaps = np.flatnonzero(separators[data[at:stop]])
+            if len(gaps):
+                stop = at + int(gaps[-1]) + 1
+            else:  # a word of more than at_once bytes
+                while stop < len(data) and not len(gaps := np.flatnonzero(separators[data[stop : stop + at_once]])):
+                    stop = min(len(data), stop + at_once)
+                stop += int(gaps[0]) if stop < len(data) else 0
+                parts.append((np.array([_giant(data[at:stop], of_byte, at_once)], _U), np.array([at]), np.array([stop])))
+                at = stop
+                continue
+        hashed, start, end = _cut(data[at:stop], np.array([0, stop - at]), separators, of_byte)
+        parts.append((hashed, start + at, end + at))
+        at = stop
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def words(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = True, at_once: int = 256 << 10) -> Iterator[Words]:
+    """Whole rows, about so many bytes at once. fold: A-Z count as a-z.
+
+    A longer row comes alone: it is cut into words by pieces of so many bytes, so besides its bytes only its words (32 bytes
+    each) are held.
+    """
     of_byte = _OF_BYTE.copy()
     if fold:
         of_byte[0x41:0x5B] = of_byte[0x61:0x7B]
@@ -79,17 +133,7 @@ def words(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = True, a
         stop = min(n, max(row + 1, int(np.searchsorted(at, at[row] + at_once, "right")) - 1))
         data = everything[at[row] : at[stop]]
         inner = at[row : stop + 1] - at[row]
-        inside = ~separators[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[inner] = True
-        before = np.concatenate([[False], inside])
-        after = np.concatenate([inside, [False]])
-        start = np.flatnonzero(after & (~before | edge))
-        end = np.flatnonzero(before & (~after | edge))
-        power, unpower = _tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, _U)
-        np.cumsum(of_byte[data] * power[: len(data)], out=total[1:])
-        hashed = mix((total[end] - total[start]) * unpower[start] + (end - start).astype(_U) * _SHORT)
+        hashed, start, end = _cut(data, inner, separators, of_byte) if len(data) <= at_once else _long_row(data, separators, of_byte, at_once)
         doc = np.searchsorted(inner, start, "right") - 1
         yield Words(row, stop - row, doc.astype(np.int64), hashed, start, end, data)
         row = stop
