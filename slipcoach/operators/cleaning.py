@@ -87,7 +87,8 @@ def normalize_stop_times(stop_times: DataFrame) -> DataFrame:
 
 
 def add_country_code(df: DataFrame, source_country: str, agency_df: DataFrame | None = None) -> DataFrame:
-    return df.withColumn("country", F.lit(source_country))
+    """The source's country as country_code; agency_df is accepted and not used."""
+    return df.withColumn("country_code", F.lit(source_country))
 
 
 def normalize_coordinates(df: DataFrame, lat: str = "stop_lat", lon: str = "stop_lon") -> DataFrame:

@@ -42,9 +42,12 @@ def _mean(total: str, of: str, digits: int = 0) -> Column:
 
 def overview_kpis(df: DataFrame) -> DataFrame:
     """Distinct trains, stations of either end, operators, and schedules."""
-    whole = df.groupBy("train_id", "operator").agg(F.count("*").alias("n")).agg(F.countDistinct("train_id").alias("total_trains"), F.countDistinct("operator").alias("total_operators"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_schedules"))
-    stations = df.select("departure_station").distinct().union(df.select("arrival_station").distinct()).distinct().agg(F.count("departure_station").alias("total_stations"))
-    return whole.crossJoin(stations).select("total_trains", "total_stations", "total_operators", "total_schedules")  # single rows
+    # one pass: each row says four things, counted once for each distinct one
+    said = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("name")) for k, c in (("train", "train_id"), ("operator", "operator"), ("station", "departure_station"), ("station", "arrival_station"))))
+    names = df.select(F.posexplode(said).alias("at", "said")).select("said.*", (F.col("at") == 0).cast("long").alias("ride"))
+    each = names.groupBy("kind", "name").agg(F.sum("ride").alias("rides"))
+    count = lambda kind, name: F.count(F.when(F.col("kind") == kind, F.col("name"))).alias(name)
+    return each.agg(count("train", "total_trains"), count("station", "total_stations"), count("operator", "total_operators"), F.coalesce(F.sum("rides"), F.lit(0)).cast("long").alias("total_schedules"))
 
 
 def train_type_counts(df: DataFrame) -> DataFrame:
@@ -168,12 +171,18 @@ def total_co2(df: DataFrame) -> DataFrame:
 
 def classification_summary(df: DataFrame) -> DataFrame:
     """On distinct trains: counts by method, reviews, and the spread of confidence. One row per method, the rest repeated."""
-    trains = df.select("train_id", "classification_method", "needs_manual_review", "classification_confidence").groupBy("train_id").agg(*(F.first(c).alias(c) for c in ("classification_method", "needs_manual_review", "classification_confidence")))
-    sure = F.col("classification_confidence").cast("double")
-    whole = trains.agg(F.count("*").alias("total_trains"), F.count(F.when(F.col("needs_manual_review"), 1)).alias("review_count"), F.avg(sure).alias("mean_confidence"), F.median(sure).alias("median_confidence"), F.min(sure).alias("min_confidence"), F.max(sure).alias("max_confidence"))
-    whole = whole.withColumn("review_pct", F.bround(F.col("review_count") * 100.0 / F.nullif("total_trains", F.lit(0)), 1))
-    methods = trains.filter("classification_method is not null").groupBy("classification_method").agg(F.count("*").alias("method_count"))
-    return methods.crossJoin(whole)  # a row for each method
+    # one aggregate by train, one of the few distinct verdicts; the median is read off their running counts
+    names = ("classification_method", "needs_manual_review", "classification_confidence")
+    trains = df.groupBy("train_id").agg(*(F.min(c).alias(c) for c in names))
+    kinds = trains.groupBy(*names).agg(F.count("*").alias("n")).withColumn("sure", F.col("classification_confidence").cast("double"))
+    every = kinds.agg(
+        F.sum("n").alias("total_trains"), F.coalesce(F.sum(F.when(F.col("needs_manual_review"), F.col("n"))), F.lit(0)).alias("review_count"), (F.sum(F.col("sure") * F.col("n")) / F.sum(F.when(F.col("sure").isNotNull(), F.col("n")))).alias("mean_confidence"),
+        F.expr("percentile(sure, 0.5, n)").alias("median_confidence"), F.min("sure").alias("min_confidence"), F.max("sure").alias("max_confidence"), F.collect_list(F.struct("classification_method", "n")).alias("verdicts"),
+    )
+    every = every.withColumn("review_pct", F.bround(F.col("review_count") * 100.0 / F.nullif("total_trains", F.lit(0)), 1))
+    out = every.select("*", F.explode("verdicts").alias("v")).select("v.*", *(c for c in every.columns if c != "verdicts")).filter("classification_method is not null")
+    shown = ("total_trains", "review_count", "mean_confidence", "median_confidence", "min_confidence", "max_confidence", "review_pct")
+    return out.groupBy("classification_method", *shown).agg(F.sum("n").alias("method_count")).select("classification_method", "method_count", *shown)
 
 
 def segment_type_counts(df: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def process_source(source: str, feed: Mapping[str, DataFrame], country: str | No
             out["stop_times"] = feed["trip_stop"]
         return out
     if "agency" in feed:
-        out["agency"] = cleaning.add_country_code(feed["agency"], country)
+        out["agency"] = cleaning.add_country_code(feed["agency"], country).withColumn("country", F.lit(country))
     if "routes" in feed:
         out["routes"] = cleaning.filter_rail_routes(cleaning.standardize_route_types(feed["routes"]))
     if "trips" in feed:

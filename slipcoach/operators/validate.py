@@ -29,7 +29,7 @@ def _country(letters: str) -> Column:
     return ~_blank("country") & ~F.trim("country").rlike(f"^[A-Z]{{{letters}}}$")
 
 
-#: For each table: reason and the condition under which a row is rejected, with the columns that it reads.
+#: The reasons. For each table: reason and the condition under which a row is rejected, with the columns that it reads.
 RULES: dict[str, dict[str, tuple[tuple[str, ...], object]]] = {
     "operators": {"nom vide ou manquant": (("name",), lambda: _blank("name")), "code pays invalide": (("country",), lambda: _country("2"))},
     "stations": {
@@ -92,13 +92,19 @@ def validate_all(t: Tables) -> Tables:
     return Tables(*(validate(df, name)[0] for name, df in t._asdict().items()))
 
 
+def _mismatches(df: DataFrame, schema_name: str) -> list[str]:
+    """Columns whose type is of another family than the canonical one."""
+    family = lambda kind: "number" if kind.split("(")[0] in ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal") else "time" if kind.startswith("timestamp") else kind
+    have = dict(df.dtypes)
+    return [f.name for f in SCHEMAS[schema_name] if f.name in have and family(have[f.name]) != family(f.dataType.simpleString())]
+
+
 def schema_report(df: DataFrame, schema_name: str, exclude_technical_ids: bool = True) -> DataFrame:
     """One row: valid, row_count, missing and extra columns, null violations and type mismatches."""
     fields = [f for f in SCHEMAS[schema_name] if not (exclude_technical_ids and f.metadata["role"] == "technical_id")]
     have = dict(df.dtypes)
     missing, extra = sorted({f.name for f in fields} - set(have)), sorted(set(have) - {f.name for f in fields})
-    family = lambda kind: "number" if kind.split("(")[0] in ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal") else "time" if kind.startswith("timestamp") else kind
-    wrong = [f.name for f in fields if f.name in have and family(have[f.name]) != family(f.dataType.simpleString())]
+    wrong = [c for c in _mismatches(df, schema_name) if c in {f.name for f in fields}]
     strict = [f.name for f in fields if f.name in have and not f.nullable]
     nulls = [F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in strict]
     counted = df.agg(F.count("*").alias("row_count"), *(x.alias(f"__{c}") for x, c in zip(nulls, strict, strict=True)))
@@ -114,17 +120,29 @@ METRICS = "source_name string, entity string, stage string, metric string, value
 def quality_metrics_record(extracted: Mapping[str, DataFrame], loaded: Mapping[str, DataFrame]) -> DataFrame:
     """A long table (source_name, entity, stage, metric, value) of what each table lost on the way.
 
-    extracted: tables as read, with source_name; loaded: as stored. One aggregate for each table and side.
+    extracted: tables as read, with source_name; loaded: as stored. Five stages: extraction, cleaning (distinct rows stay),
+    transformation (rows that break a rule go, a missing country is filled), loading and validation (of what is loaded,
+    against the canonical schema). One aggregate for each table and side.
     """
     out = None
     for entity, df in extracted.items():
         strict = [f.name for f in SCHEMAS[entity] if f.name in df.columns and not f.nullable]
         flagged = with_reasons(df, entity)
         nulls = sum((F.count(F.when(F.col(c).isNull(), 1)) for c in strict), F.lit(0))
-        first = flagged.groupBy("source_name").agg(F.count("*").alias("extraction.rows_extracted"), nulls.alias("cleaning.nulls_found"), F.count(F.when(F.size("reasons") > 0, 1)).alias("transformation.rows_rejected"))
-        kept = df.dropDuplicates().groupBy("source_name").agg(F.count("*").alias("__distinct"))
-        stored = loaded[entity].groupBy("source_name").agg(F.count("*").alias("loading.rows_loaded"))
-        wide = first.join(kept, "source_name").join(stored, "source_name", "left").withColumn("cleaning.duplicates_removed", F.col("`extraction.rows_extracted`") - F.col("__distinct")).drop("__distinct").na.fill(0)
+        # equal rows side by side, so that the distinct ones and all of them are counted together
+        each = flagged.groupBy(*df.columns).agg(F.count("*").alias("__n"), F.first(F.size("reasons")).alias("__reasons"), nulls.alias("cleaning.nulls_found"))
+        filled = F.sum(F.col("country").isNull().cast("long")) if "country" in df.columns else F.lit(0)
+        first = each.groupBy("source_name").agg(
+            F.sum("__n").alias("extraction.rows_extracted"), F.sum(F.col("__n") - 1).alias("cleaning.duplicates_removed"), F.sum("`cleaning.nulls_found`").alias("cleaning.nulls_found"), F.count("*").alias("cleaning.rows_after"),
+            F.count("*").alias("transformation.rows_before"), filled.alias("transformation.nulls_filled"), F.sum((F.col("__reasons") > 0).cast("long")).alias("transformation.rows_rejected"), F.sum((F.col("__reasons") == 0).cast("long")).alias("transformation.rows_after"),
+        )
+        held = [f.name for f in SCHEMAS[entity] if f.name in loaded[entity].columns and not f.nullable]
+        broken = sum((F.count(F.when(F.col(c).isNull(), 1)) for c in held), F.lit(0))
+        stored = loaded[entity].groupBy("source_name").agg(F.count("*").alias("loading.rows_loaded"), broken.alias("validation.null_violations"))
+        wide = first.join(stored, "source_name", "left").na.fill(0).withColumns({
+            "loading.rows_attempted": F.col("`transformation.rows_after`"), "loading.rows_failed": F.greatest(F.col("`transformation.rows_after`") - F.col("`loading.rows_loaded`"), F.lit(0)),
+            "validation.type_mismatches": F.lit(len(_mismatches(loaded[entity], entity))),
+        })
         names = [c for c in wide.columns if c != "source_name"]
         pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"`{c}`").cast("long") for c in names)))).alias("name", "value")
         part = wide.select("source_name", pairs).select("source_name", F.lit(entity).alias("entity"), F.split_part("name", F.lit("."), F.lit(1)).alias("stage"), F.split_part("name", F.lit("."), F.lit(2)).alias("metric"), "value")
@@ -137,7 +155,8 @@ def quality_summary(metrics: DataFrame) -> DataFrame:
     total = lambda m: F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0)).cast("long")
     return metrics.agg(
         F.countDistinct("source_name").alias("total_sources"), F.countDistinct("source_name", "entity").alias("total_entities"), total("rows_extracted").alias("total_extracted"), total("duplicates_removed").alias("total_duplicates_removed"),
-        total("nulls_found").alias("total_nulls_found"), total("rows_rejected").alias("total_rows_rejected"), total("rows_loaded").alias("total_rows_loaded"),
+        total("nulls_found").alias("total_nulls_found"), total("nulls_filled").alias("total_nulls_filled"), total("rows_rejected").alias("total_rows_rejected"), total("rows_loaded").alias("total_rows_loaded"),
+        total("rows_failed").alias("total_rows_failed"), total("null_violations").alias("total_null_violations"), total("type_mismatches").alias("total_type_mismatches"),
     )
 
 

@@ -48,20 +48,22 @@ def v_operator_summary(t: Tables) -> DataFrame:
     )
 
 
-def _by_country(t: Tables) -> DataFrame:
-    trains = _trains(t).join(by_train(t.schedules), "train_id", "left").join(t.operators.select("operator_id", "country"), "operator_id")
-    each = trains.groupBy("country").agg(F.count("*").alias("trains"), _of_type("day").alias("day"), _of_type("night").alias("night"), *(F.sum(c).alias(c) for c in ("rides", "minutes", "timed", "km", "measured")))
-    operators = t.operators.groupBy("country").agg(F.count("*").alias("nb_operators"))
-    return operators.join(each.withColumnRenamed("country", "of"), F.col("country").eqNullSafe(F.col("of")), "left").drop("of")
-
-
-def _stations_used(t: Tables, end: str, name: str) -> DataFrame:
-    pairs = t.schedules.select("train_id", end).distinct().join(_trains(t).join(t.operators.select("operator_id", "country"), "operator_id").select("train_id", "country"), "train_id")
-    return pairs.groupBy(F.col("country").alias("of")).agg(F.countDistinct(end).alias(name))
-
-
-def _with_used(countries: DataFrame, used: DataFrame, name: str) -> DataFrame:
-    return countries.join(used, F.col("country").eqNullSafe(F.col("of")), "left").drop("of").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+def _by_country(t: Tables, **ends: str) -> DataFrame:
+    """Sums over every operators' country; ends: name of a count and the station column whose distinct values it counts.
+
+    One aggregate of the schedules by train and the stations asked for serves all sums and counts of theirs; trains are
+    counted from their own table.
+    """
+    rides = t.schedules.groupBy("train_id", *ends.values()).agg(
+        F.count("*").alias("rides"), F.sum("duration_min").alias("minutes"), F.count("duration_min").alias("timed"), F.sum("distance_km").alias("km"), F.count("distance_km").alias("measured")
+    )
+    trains = _trains(t).join(t.operators.select("operator_id", F.col("country").alias("of")), "operator_id")
+    held = trains.groupBy("of").agg(F.count("*").alias("trains"), _of_type("day").alias("day"), _of_type("night").alias("night"))
+    ridden = rides.join(trains.select("train_id", "of"), "train_id").groupBy("of").agg(*(F.sum(c).alias(c) for c in ("rides", "minutes", "timed", "km", "measured")), *(F.countDistinct(end).alias(name) for name, end in ends.items()))
+    out = t.operators.groupBy("country").agg(F.count("*").alias("nb_operators"))
+    for part in (held, ridden):
+        out = out.join(part, F.col("country").eqNullSafe(F.col("of")), "left").drop("of")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ends})
 
 
 def _country_columns(*ends: str) -> list[Column]:
@@ -72,13 +74,12 @@ def _country_columns(*ends: str) -> list[Column]:
 
 def v_country_stats(t: Tables) -> DataFrame:
     """Operators, trains, stations at both ends and averages of every operators' country."""
-    out = _with_used(_by_country(t), _stations_used(t, "origin_id", "nb_origin_stations"), "nb_origin_stations")
-    out = _with_used(out, _stations_used(t, "destination_id", "nb_destination_stations"), "nb_destination_stations")
+    out = _by_country(t, nb_origin_stations="origin_id", nb_destination_stations="destination_id")
     return out.select(*_country_columns("nb_origin_stations", "nb_destination_stations")).orderBy(F.desc_nulls_first("nb_trains"), F.asc_nulls_last("country"))
 
 
 def stats_by_country(t: Tables) -> DataFrame:
-    out = _with_used(_by_country(t), _stations_used(t, "origin_id", "nb_stations"), "nb_stations").withColumn("nb_schedules", F.coalesce("rides", F.lit(0)).cast("long"))
+    out = _by_country(t, nb_stations="origin_id").withColumn("nb_schedules", F.coalesce("rides", F.lit(0)).cast("long"))
     return out.select(*_country_columns("nb_stations", "nb_schedules")).orderBy(F.desc_nulls_first("nb_trains"), F.asc_nulls_last("country"))
 
 
@@ -120,7 +121,16 @@ def _like(column: str, part: str) -> Column:
     return F.col(column).ilike(f"%{part}%")
 
 
-def _page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+#: The largest pages of listings, of a station's calls, and of the routes with most services.
+MOST, MOST_CALLS, MOST_ROUTES = 1000, 500, 50
+
+
+def _page(df: DataFrame, limit: int | None, offset: int = 0, most: int = MOST) -> DataFrame:
+    """Rows offset+1 to offset+limit; None is no limit. Other limits than 1 to most, or an offset below 0, are errors."""
+    if limit is not None and not 1 <= limit <= most:
+        raise ValueError(f"limit {limit} is not within 1 and {most}")
+    if offset < 0:
+        raise ValueError(f"offset {offset} is below 0")
     out = df.offset(offset) if offset else df
     return out if limit is None else out.limit(limit)
 
@@ -225,7 +235,7 @@ def _calls(t: Tables, station_id: int, here: str, there: str, at: str, train_typ
     trains = t.trains if train_type is None else t.trains.filter(F.col("train_type") == train_type)
     side = t.stations.select(F.col("station_id").alias(f"{there}_id"), F.col("name").alias(there), F.col("city").alias(f"{there}_city"))
     out = t.schedules.filter(F.col(f"{here}_id") == station_id).join(trains.select("train_id", "train_number", "train_type"), "train_id").join(side, f"{there}_id")
-    return _page(out.select("schedule_id", "train_number", "train_type", there, f"{there}_city", "departure_time", "arrival_time", "duration_min").orderBy(F.asc_nulls_last(at), "schedule_id"), limit)
+    return _page(out.select("schedule_id", "train_number", "train_type", there, f"{there}_city", "departure_time", "arrival_time", "duration_min").orderBy(F.asc_nulls_last(at), "schedule_id"), limit, most=MOST_CALLS)
 
 
 def station_departures(t: Tables, station_id: int, train_type: str | None = None, limit: int | None = 50) -> DataFrame:
@@ -282,7 +292,7 @@ def top_routes(t: Tables, limit: int | None = 10) -> DataFrame:
     pairs = t.schedules.groupBy("origin_id", "destination_id").agg(F.count("*").alias("rides"), F.sum("duration_min").alias("minutes"), F.count("duration_min").alias("timed"), F.sum("distance_km").alias("km"), F.count("distance_km").alias("measured"))
     named = _ends(t._replace(schedules=pairs), "name", "city").groupBy(F.col("origin_name").alias("origin"), "origin_city", F.col("destination_name").alias("destination"), "destination_city")
     out = named.agg(F.sum("rides").alias("frequency"), _mean("minutes", "timed").alias("avg_duration"), _mean("km", "measured").alias("avg_distance"))
-    return _page(out.orderBy(F.desc("frequency"), "origin", F.asc_nulls_last("origin_city"), "destination", F.asc_nulls_last("destination_city")), limit)
+    return _page(out.orderBy(F.desc("frequency"), "origin", F.asc_nulls_last("origin_city"), "destination", F.asc_nulls_last("destination_city")), limit, most=MOST_ROUTES)
 
 
 def v_data_quality(t: Tables) -> DataFrame:

@@ -8,68 +8,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {
-    "long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampNTZType(),
-    "lat": T.DecimalType(10, 8), "lon": T.DecimalType(11, 8), "share": T.DecimalType(5, 2), "sure": T.DecimalType(4, 2), "km": T.DecimalType(10, 2),
-}
-
-
-def _schema(text: str) -> T.StructType:
-    """Lines 'name kind role', with ! behind the kind of a column that must not be null."""
-    fields = []
-    for line in text.strip().splitlines():
-        name, kind, role = line.split()
-        fields.append(T.StructField(name, _KINDS[kind.rstrip("!")], not kind.endswith("!"), {"role": role}))
-    return T.StructType(fields)
-
-
+#: Columns, types, nullability and roles.
 SCHEMAS = {
-    "operators": _schema("""
-        operator_id long! technical_id
-        name string! business_attr
-        country string business_attr
-        website string business_attr
-        source_agency_id string source_id
-        source_name string! source_id"""),
-    "stations": _schema("""
-        station_id long! technical_id
-        name string! business_attr
-        city string business_attr
-        country string business_attr
-        latitude lat business_attr
-        longitude lon business_attr
-        uic_code string source_id
-        timezone string business_attr
-        source_name string! source_id"""),
-    "trains": _schema("""
-        train_id long! technical_id
-        train_number string! business_attr
-        operator_id long! foreign_key
-        train_type string! business_attr
-        category string business_attr
-        route_name string business_attr
-        train_type_rule string business_attr
-        train_type_heuristic string business_attr
-        train_type_ml string business_attr
-        classification_method string business_attr
-        classification_reason string business_attr
-        classification_confidence sure business_attr
-        ml_night_probability sure business_attr
-        night_percentage share business_attr
-        needs_manual_review boolean business_attr
-        source_name string! source_id"""),
-    "schedules": _schema("""
-        schedule_id long! technical_id
-        train_id long! foreign_key
-        origin_id long! foreign_key
-        destination_id long! foreign_key
-        departure_time timestamp business_attr
-        arrival_time timestamp business_attr
-        duration_min long business_attr
-        distance_km km business_attr
-        frequency string business_attr
-        source_name string! source_id"""),
-}
+    "operators": T.StructType([
+        T.StructField("operator_id", T.LongType(), False, {"role": "technical_id"}),
+        T.StructField("name", T.StringType(), False, {"role": "business_attr"}),
+        T.StructField("country", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("website", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("source_agency_id", T.StringType(), True, {"role": "source_id"}),
+        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+    ]),
+    "stations": T.StructType([
+        T.StructField("station_id", T.LongType(), False, {"role": "technical_id"}),
+        T.StructField("name", T.StringType(), False, {"role": "business_attr"}),
+        T.StructField("city", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("country", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("latitude", T.DecimalType(10, 8), True, {"role": "business_attr"}),
+        T.StructField("longitude", T.DecimalType(11, 8), True, {"role": "business_attr"}),
+        T.StructField("uic_code", T.StringType(), True, {"role": "source_id"}),
+        T.StructField("timezone", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+    ]),
+    "trains": T.StructType([
+        T.StructField("train_id", T.LongType(), False, {"role": "technical_id"}),
+        T.StructField("train_number", T.StringType(), False, {"role": "business_attr"}),
+        T.StructField("operator_id", T.LongType(), False, {"role": "foreign_key"}),
+        T.StructField("train_type", T.StringType(), False, {"role": "business_attr"}),
+        T.StructField("category", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("route_name", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("train_type_rule", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("train_type_heuristic", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("train_type_ml", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("classification_method", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("classification_reason", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("classification_confidence", T.DecimalType(4, 2), True, {"role": "business_attr"}),
+        T.StructField("ml_night_probability", T.DecimalType(4, 2), True, {"role": "business_attr"}),
+        T.StructField("night_percentage", T.DecimalType(5, 2), True, {"role": "business_attr"}),
+        T.StructField("needs_manual_review", T.BooleanType(), True, {"role": "business_attr"}),
+        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+    ]),
+    "schedules": T.StructType([
+        T.StructField("schedule_id", T.LongType(), False, {"role": "technical_id"}),
+        T.StructField("train_id", T.LongType(), False, {"role": "foreign_key"}),
+        T.StructField("origin_id", T.LongType(), False, {"role": "foreign_key"}),
+        T.StructField("destination_id", T.LongType(), False, {"role": "foreign_key"}),
+        T.StructField("departure_time", T.TimestampNTZType(), True, {"role": "business_attr"}),
+        T.StructField("arrival_time", T.TimestampNTZType(), True, {"role": "business_attr"}),
+        T.StructField("duration_min", T.LongType(), True, {"role": "business_attr"}),
+        T.StructField("distance_km", T.DecimalType(10, 2), True, {"role": "business_attr"}),
+        T.StructField("frequency", T.StringType(), True, {"role": "business_attr"}),
+        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+    ]),
+}
 
 #: Keys by which rows are the same, and the columns that an update takes over.
 UPSERT = {

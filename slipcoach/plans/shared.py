@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where that is unset, as in tests.
+
+    A folder of this machine's own serves a local session only; on a cluster an unset one is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-slipcoach-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

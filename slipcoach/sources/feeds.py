@@ -12,19 +12,19 @@ from slipcoach.plans.schemas import CO2_PLANE, CO2_TRAIN, with_missing
 
 #: The columns that are read of each file.
 GTFS = {
-    "agency": "agency_id agency_name agency_url agency_timezone agency_lang agency_phone",
-    "stops": "stop_id stop_code stop_name stop_lat stop_lon stop_timezone location_type parent_station platform_code",
-    "routes": "route_id agency_id route_short_name route_long_name route_desc route_type route_color route_text_color",
-    "trips": "route_id service_id trip_id trip_headsign trip_short_name direction_id block_id shape_id wheelchair_accessible bikes_allowed",
-    "stop_times": "trip_id arrival_time departure_time stop_id stop_sequence stop_headsign pickup_type drop_off_type",
-    "calendar": "service_id monday tuesday wednesday thursday friday saturday sunday start_date end_date",
-    "calendar_dates": "service_id date exception_type",
+    "agency": ["agency_id", "agency_name", "agency_url", "agency_timezone", "agency_lang", "agency_phone"],
+    "stops": ["stop_id", "stop_code", "stop_name", "stop_lat", "stop_lon", "stop_timezone", "location_type", "parent_station", "platform_code"],
+    "routes": ["route_id", "agency_id", "route_short_name", "route_long_name", "route_desc", "route_type", "route_color", "route_text_color"],
+    "trips": ["route_id", "service_id", "trip_id", "trip_headsign", "trip_short_name", "direction_id", "block_id", "shape_id", "wheelchair_accessible", "bikes_allowed"],
+    "stop_times": ["trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence", "stop_headsign", "pickup_type", "drop_off_type"],
+    "calendar": ["service_id", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "start_date", "end_date"],
+    "calendar_dates": ["service_id", "date", "exception_type"],
 }
 OPTIONAL = ("shapes", "transfers", "feed_info")
 REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
 #: The night catalogue's endpoints, and countries of European feeds.
 ENDPOINTS = ("agencies", "calendar", "calendar_dates", "classes", "routes", "stops", "translations", "trip_stop", "trips")
-EUROPE = "FR DE IT ES CH AT BE NL UK SE NO DK FI IE PT PL CZ HU RO BG HR SI SK LT LV EE LU".split()
+EUROPE = ["FR", "DE", "IT", "ES", "CH", "AT", "BE", "NL", "UK", "SE", "NO", "DK", "FI", "IE", "PT", "PL", "CZ", "HU", "RO", "BG", "HR", "SI", "SK", "LT", "LV", "EE", "LU"]
 CATALOG_COLUMNS = ("mdb_source_id", "data_type", "provider", "location_country_code")
 
 
@@ -46,7 +46,7 @@ def read_gtfs_feed(spark: SparkSession, path: str, source_name: str, country_cod
         file = f"{path}/{name}.txt"
         if _exists(spark, file):
             df = _csv(spark, file)
-            allowed = [c for c in GTFS[name].split() if c in df.columns] if name in GTFS else df.columns
+            allowed = [c for c in GTFS[name] if c in df.columns] if name in GTFS else df.columns
             out[name] = df.select(*(F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in allowed))
     return out
 
@@ -68,13 +68,15 @@ def gtfs_feed_info(feed: Mapping[str, DataFrame]) -> DataFrame | None:
 def read_keyed_json(spark: SparkSession, path: str, endpoints: Sequence[str] = ENDPOINTS) -> dict[str, DataFrame]:
     """{endpoint: table} of files that hold one object of records by id; values as text, the id as id_from_key.
 
+    <endpoint>.json is a file, or a folder of files (also below it) with one object each, so that a large table is read by
+    many tasks.
     The names of the records' fields come from the data: distinct keys, as many as a record has fields.
     """
     out = {}
     for name in endpoints:
         file = f"{path}/{name}.json"
         if _exists(spark, file):
-            whole = spark.read.text(file, wholetext=True)
+            whole = spark.read.option("recursiveFileLookup", True).text(file, wholetext=True)
             records = whole.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("id_from_key", "record"))
             fields = sorted(r["f"] for r in records.select(F.explode(F.map_keys("record")).alias("f")).distinct().collect())
             out[name] = records.select("id_from_key", *(F.col("record")[f].alias(f or "_") for f in fields))
@@ -145,6 +147,25 @@ def read_analytics_csv(spark: SparkSession, path: str) -> DataFrame:
     return with_missing(df, "operator_country", "operator", "website", "departure_station", "arrival_station", "train_id", "train_number")
 
 
+def _json_cell(df: DataFrame, name: str) -> Column:
+    """A cell as JSON: text with its escapes in quotes, a whole number without a fraction, null as empty text."""
+    c, kind = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    if kind in ("double", "float"):
+        shown = F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    elif kind in ("int", "bigint", "smallint", "tinyint", "boolean") or kind.startswith("decimal"):
+        shown = c.cast("string")
+    else:
+        text = F.to_json(F.array(c.cast("string")))
+        shown = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.when(c.isNull(), F.lit('""')).otherwise(shown)
+
+
 def export_csv(df: DataFrame, path: str, quote_json: bool = False) -> None:
-    """UTF-8 with a header; quote_json quotes every cell."""
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("quoteAll", quote_json).csv(path)
+    """UTF-8 with a header in each file; quote_json writes every cell as JSON (read it with a backslash as escape)."""
+    if not quote_json:
+        df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+        return
+    # whole lines as one cell: no separator or quote of the writer's own stands in them, since JSON escapes control characters
+    lines = df.select(F.concat_ws(",", *(_json_cell(df, c) for c in df.columns)).alias(",".join(df.columns)))
+    plain = {"header": True, "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8"}
+    lines.write.mode("overwrite").options(**plain).csv(path)
