@@ -115,7 +115,7 @@ def _leading(shingle: int, percent: int, sketch) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = sketch.value, set()
         for batch in batches:
-            out: list[tuple[np.ndarray, int]] = []
+            out: list[tuple[np.ndarray, int, int]] = []
             held = 0
             for _, grams in _sets(batch, "text", shingle):
                 if not len(grams) or (key := _node(grams)[1]) in seen:
@@ -125,7 +125,7 @@ def _leading(shingle: int, percent: int, sketch) -> Callable:
                 seen.add(key)
                 n = len(grams)
                 order = np.argsort(cells[(grams >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(_U) << _U(32) | grams >> _U(32), kind="stable")
-                out.append((grams[order[: n - -(-percent * n // 100) + 1]], key))
+                out.append((grams[order[: n - -(-percent * n // 100) + 1]], key, n))
                 held += len(out[-1][0])
                 if held > 1 << 16:
                     yield _postings(out)
@@ -136,22 +136,28 @@ def _leading(shingle: int, percent: int, sketch) -> Callable:
     return run
 
 
-def _postings(rows: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+def _postings(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
     each = [len(x[0]) for x in rows]
     place = np.concatenate([np.arange(x, dtype=np.int32) for x in each])
     keys = np.repeat(np.array([x[1] for x in rows], _U).view(np.int64), each)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in rows]).view(np.int64)), pa.array(keys), pa.array(place)], names=["gram", "key", "place"])
+    sizes = np.repeat(np.array([x[2] for x in rows], np.int32), each)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in rows]).view(np.int64)), pa.array(keys), pa.array(sizes), pa.array(place)], names=["gram", "key", "n", "place"])
 
 
 def _alpha(a: Column | str, b: Column | str, percent: int) -> Column:
     return F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(float(100 + percent)) - 1e-9)
 
 
-def _possible(percent: int) -> Column:
-    """A cell (na, nb, pa, pb, lanes) can reach alpha: by the sizes, by places that the partner's size asks for, by the parity sketches."""
+def _sized(percent: int) -> Column:
+    """A cell (na, nb, pa, pb) can reach alpha: by the sizes, and by places that the partner's size asks for."""
     alpha = _alpha("na", "nb", percent)
+    return (F.least("na", "nb") >= alpha) & (F.col("pa") <= F.col("na") - alpha) & (F.col("pb") <= F.col("nb") - alpha)
+
+
+def _near(percent: int) -> Column:
+    """A cell can reach alpha by its parity sketches."""
     apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in _LANE), F.lit(0))
-    return (F.least("na", "nb") >= alpha) & (F.col("pa") <= F.col("na") - alpha) & (F.col("pb") <= F.col("nb") - alpha) & (apart <= F.col("na") + F.col("nb") - 2 * alpha)
+    return apart <= F.col("na") + F.col("nb") - 2 * _alpha("na", "nb", percent)
 
 
 def _side(rows: DataFrame, x: str, *more: Column) -> DataFrame:
@@ -238,20 +244,23 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _heads(postings: DataFrame) -> DataFrame:
-    """The columns that more than one row leads with (gram), their least and largest key, and of each the row with the fewest rarer columns."""
-    turn = F.shiftleft(F.col("place").cast("long"), 37).bitwiseOR(F.shiftrightunsigned("key", 27))
-    each = postings.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min_by("key", turn).alias("head"), F.min("place").alias("head_place"))
+    """The columns that more than one row leads with (gram), and of each the row with the fewest rarer columns."""
+    # rows of one place are told apart by 44 bits of their keys, so that all three of a head are of one row
+    turn = F.shiftleft(F.least("place", F.lit((1 << 20) - 1)).cast("long"), 44).bitwiseOR(F.shiftrightunsigned("key", 20))
+    first = lambda c: F.min_by(c, turn)
+    each = postings.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("held"), first("key").alias("head"), first("n").alias("head_n"), first("place").alias("head_place"))
     return each.filter("low != high")
 
 
 def _listed(blocks: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Cells of different components in columns of more than two rows (the only cell of two rows has met)."""
-    rooted = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = blocks.select("gram", "low", "high", "key", "place").join(rooted.select("key", "root"), "key")
+    rooted = nodes.join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    wide = blocks.filter("held > 2").select("gram", "low", "high", "key", "place")
+    labelled = wide.join(rooted.select("key", "root"), "key")
     third = F.max((F.col("key") != F.col("low")) & (F.col("key") != F.col("high")))
     mixed = labelled.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), third.alias("third"), F.count("*").alias("held"))
     mixed = scratch.save(mixed.filter("x != y AND third").select("gram", F.ceil(F.col("held") / SQUARE).cast("int").alias("stripes")), "mixed")
-    rows = blocks.select("gram", "key", "place").join(mixed, "gram").distinct().join(rooted, "key")
+    rows = wide.select("gram", "key", "place").join(mixed, "gram").distinct().join(rooted, "key")
     rows = scratch.save(rows.withColumn("stripe", F.pmod(F.xxhash64("node"), F.col("stripes")).cast("int")), "open")
     place = lambda x: (F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}"), F.col("stripe").alias(f"s{x}"))
     down = _side(rows, "a", *place("a"), "gram", F.explode(F.expr("sequence(stripe, stripes - 1)")).alias("other"))
@@ -259,7 +268,7 @@ def _listed(blocks: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int
     # the square of stripes (sa, sb), sa <= sb: a is dealt to every later stripe, b to every earlier one
     at = [down["gram"] == across["gram"], F.col("sa") == across["other"], down["other"] == F.col("sb")]
     once = (F.col("sa") < F.col("sb")) | (F.col("a") < F.col("b"))
-    met = down.join(across, [*at, once, F.col("ra") != F.col("rb"), _possible(percent)])
+    met = down.join(across, [*at, once, F.col("ra") != F.col("rb"), _sized(percent), _near(percent)])
     turned = F.col("a") > F.col("b")
     swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
     return met.select(swap("a", "b"), swap("b", "a"), swap("na", "nb"), swap("nb", "na"), swap("ida", "idb"), swap("idb", "ida")).distinct()
@@ -276,10 +285,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     nodes = scratch.save(nodes, "nodes")
 
     # keys are 64 bits of the rows' names; a cell of keys stands for the cells of all rows with them
-    postings = texts.mapInArrow(_leading(shingle, percent, sketch), "gram long, key long, place int").repartition("gram")
+    postings = texts.mapInArrow(_leading(shingle, percent, sketch), "gram long, key long, n int, place int").repartition("gram")
     blocks = scratch.save(postings.join(_heads(postings), "gram"), "columns")
-    met = blocks.filter("key != head").groupBy(F.col("key").alias("ka"), F.col("head").alias("kb")).agg(F.min("place").alias("pa"), F.min("head_place").alias("pb"))
-    first = met.join(_side(nodes, "a", F.col("key").alias("ka")), "ka").join(_side(nodes, "b", F.col("key").alias("kb")), "kb").filter(_possible(percent))
+    met = blocks.filter("key != head").select(F.col("key").alias("ka"), F.col("head").alias("kb"), F.col("n").alias("na"), F.col("head_n").alias("nb"), F.col("place").alias("pa"), F.col("head_place").alias("pb"))
+    met = met.filter(_sized(percent)).select("ka", "kb").distinct()
+    first = met.join(_side(nodes, "a", F.col("key").alias("ka")), "ka").join(_side(nodes, "b", F.col("key").alias("kb")), "kb").filter(_near(percent))
     links = _links(first, texts, shingle, percent)
     more = _links(_listed(blocks, nodes, scratch.save(components(links), "joined"), percent), texts, shingle, percent)
     scratch.drop(blocks)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,10 @@ COMMON = (
 COMMON = tuple(dict.fromkeys(COMMON))
 #: The classes of characters, taken out of the text one after the other; what is left is the last class.
 CLASSES = (r"[a-z]+", r"[A-Z]+", r"[\x20\x09-\x0D]+", r"[0-9]+", r"[.,;:!?'\"()\-]+", r"[#*$%&|<>]+", r"\p{L}+")
+#: Places of two of them.
+SPACE_CLASS, SYMBOL_CLASS = 2, 5
+#: Letters that stand for common words (none of them a separator), and lists by which their hashes are looked up.
+FIRST_LETTER, GROUPS = 0x100, 32
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
 #: Least length for the distances, and the largest distances that pass. A histogram of n words is off by about 1 / sqrt(n).
@@ -35,54 +40,74 @@ SURE_WORDS, CHAR_LIMIT, WORD_LIMIT, WORD_NOISE = 50, 0.23, 0.18, 1.4
 
 
 def _words(text: str) -> Column:
-    body = F.expr(f"trim(BOTH '\\t\\n\\u000b\\u000c\\r ' FROM {text})")
+    body = F.trim(F.col(text), F.lit("\t\n\x0b\x0c\r "))
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES))
 
 
-def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__w", _words("__t"))
+def _spark_hash(word: str) -> int:
+    """What F.xxhash64 gives for this text."""
+    h = xxhash.xxh64(word.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    out = _with_words(docs, text_col)
+def _letters(hashes: str) -> Column:
+    """The common words among hashed words, in order, as one letter each.
+
+    Words are looked up by hash: in one of GROUPS short lists, so that no word is compared with all of them.
+    """
+    spelled = [(x, chr(FIRST_LETTER + k)) for k, c in enumerate(COMMON) for x in dict.fromkeys((c, c.capitalize(), c.upper()))]
+    known = {_spark_hash(x): letter for x, letter in spelled}
+    keys: list[list[int]] = [[] for _ in range(GROUPS)]
+    for h in known:
+        keys[h % GROUPS].append(h)
+    longs = F.array(*(F.array(*(F.lit(h).cast("long") for h in group)) if group else F.array().cast("array<bigint>") for group in keys))
+    shown = F.array(*(F.array(*(F.lit(known[h]) for h in group)) if group else F.array().cast("array<string>") for group in keys))
+
+    def letter(h: Column) -> Column:
+        group = F.pmod(h, F.lit(GROUPS)).cast("int")
+        return F.get(F.get(shown, group), (F.array_position(F.get(longs, group), h) - 1).cast("int"))
+
+    return F.array_join(F.transform(F.filter(hashes, lambda h: h.isin(list(known))), letter), "")
+
+
+def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and __chars and __common, arrays of counts.
+
+    The last count of each array is that of all the rest. Every text is split once; each word is hashed once, and windows
+    are hashes of five hashes.
+    """
+    out = docs.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__w", _words("__t"))
+    # what each class takes out of the text is the number of its characters
+    out = out.withColumn("__r0", F.col("__t"))
+    for k, kind in enumerate(CLASSES):
+        out = out.withColumn(f"__r{k + 1}", F.regexp_replace(f"__r{k}", kind, ""))
+    left = [F.length(f"__r{k}") for k in range(len(CLASSES) + 1)]
+    chars = F.array(*(a - b for a, b in zip(left, left[1:], strict=False)), left[-1])
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("__l", lines).withColumn("n_words", F.size("__w").cast("long"))
-    hashed = F.transform(F.sequence(F.lit(0), F.size("__w") - WINDOW), lambda i: F.xxhash64(*(F.get("__w", i + k) for k in range(WINDOW))))
-    out = out.withColumn("__h", F.when(F.size("__w") >= WINDOW, hashed).otherwise(F.array().cast("array<bigint>")))
-    placed = F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    out = out.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), placed))
+    out = out.select(
+        *(F.col(f"`{c}`") for c in docs.columns), "__t", F.size("__w").cast("long").alias("n_words"), chars.alias("__chars"), lines.alias("__l"), F.transform("__w", lambda w: F.xxhash64(w)).alias("__h")
+    )
+    windows = F.transform(F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*(F.get("__h", i + k) for k in range(WINDOW))))
+    out = out.withColumn("__v", F.when(F.size("__h") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))).withColumn("__hits", _letters("__h"))
+    placed = F.sort_array(F.transform("__v", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    out = out.withColumn("__s", F.when(F.size(F.array_distinct("__v")) < F.size("__v"), placed))
     same = lambda x, j: F.get("__s", j)["x"].eqNullSafe(x["x"])
     twice = F.filter("__s", lambda x, j: ((j > 0) & same(x, j - 1)) | same(x, j + 1))
     out = out.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     # a window adds the words that the one before it does not cover yet
     start = F.struct(F.lit(0).alias("c"), F.lit(-WINDOW).alias("at"))
     covered = F.aggregate("__p", start, lambda a, p: F.struct((a["c"] + F.least(F.lit(WINDOW), p - a["at"])).alias("c"), p.alias("at")), lambda a: a["c"])
+    letters = [chr(FIRST_LETTER + k) for k in range(len(COMMON))]
+    known = F.array(*(F.length("__hits") - F.length(F.replace("__hits", F.lit(x), F.lit(""))) for x in letters))
     out = (
-        out.withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long"))
+        out.withColumn("word_chars", (F.length("__t") - F.get("__chars", SPACE_CLASS)).cast("long"))
+        .withColumn("n_symbols", F.get("__chars", SYMBOL_CLASS).cast("long"))
         .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+        .withColumn("__common", F.array_append(known, (F.col("n_words") - F.length("__hits")).cast("int")))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__l", "__h", "__s", "__p", "__t", "__w")
-
-
-def with_histograms(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __chars and __common, arrays of counts; the last of each counts all the rest."""
-    out = _with_words(docs, text_col).withColumn("__r0", F.col("__t"))
-    for k, kind in enumerate(CLASSES):
-        out = out.withColumn(f"__r{k + 1}", F.regexp_replace(f"__r{k}", kind, ""))
-    left = [F.length(f"__r{k}") for k in range(len(CLASSES) + 1)]
-    out = out.withColumn("__chars", F.array(*(a - b for a, b in zip(left, left[1:], strict=False)), left[-1]))
-    # each common word of the text becomes one letter, so that counting is cutting letters out of a short string
-    spelled = [w for c in COMMON for w in dict.fromkeys((c, c.capitalize(), c.upper()))]
-    letters = [chr(0x100 + k) for k in range(len(COMMON))]
-    letter = lambda w: F.substring(F.lit("".join(letters)), F.array_position(F.array(*map(F.lit, COMMON)), F.lower(w)).cast("int"), F.lit(1))
-    out = out.withColumn("__hits", F.array_join(F.transform(F.filter("__w", lambda w: w.isin(spelled)), letter), ""))
-    known = F.array(*(F.length("__hits") - F.length(F.replace("__hits", F.lit(x), F.lit(""))) for x in letters))
-    out = out.withColumn("__common", F.array_append(known, F.size("__w") - F.length("__hits")))
-    return out.drop("__t", "__w", "__hits", *(f"__r{k}" for k in range(len(CLASSES) + 1)))
+    return out.withColumn("base_failed", failed).drop("__t", "__l", "__h", "__v", "__s", "__p", "__hits")
 
 
 def references(histograms: DataFrame, lang_col: str = "lang") -> DataFrame:
@@ -111,7 +136,7 @@ def distance(counts: str, shares: str) -> Column:
 
 
 def judge(histograms: DataFrame, refs: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Rows of with_base and with_histograms, with char_distance, word_distance and kept."""
+    """Rows of with_counts, with char_distance, word_distance and kept."""
     out = histograms.join(refs, F.col(lang_col).cast("string").eqNullSafe(F.col("__lang")))
     out = out.withColumn("char_distance", distance("__chars", "__of_chars")).withColumn("word_distance", distance("__common", "__of_common"))
     near = (F.col("n_words") < SURE_WORDS) | ((F.col("char_distance") <= CHAR_LIMIT) & (F.col("word_distance") <= WORD_LIMIT + WORD_NOISE / F.sqrt("n_words")))
@@ -120,13 +145,13 @@ def judge(histograms: DataFrame, refs: DataFrame, lang_col: str = "lang") -> Dat
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, n_words, the four counts, base_failed, both distances, kept. The texts are read once."""
-    rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col))
-    seen = scratch.save(with_histograms(with_base(rows, text_col), text_col).drop(text_col), "histograms")
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`"))
+    seen = scratch.save(with_counts(rows, text_col).drop(text_col), "histograms")
     return judge(seen, references(seen, lang_col), lang_col).drop(lang_col)
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns. The texts are read once: rows and histograms are saved side by side."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__of"))
-    seen = scratch.save(with_histograms(with_base(whole, "__text"), "__text").select("__row", "__of", "n_words", "base_failed", "__chars", "__common"), "judged")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{lang_col}`").cast("string").alias("__of"))
+    seen = scratch.save(with_counts(whole, "__text").select("__row", "__of", "n_words", "base_failed", "__chars", "__common"), "judged")
     return judge(seen, references(seen, "__of"), "__of").filter("kept").select("__row.*")

@@ -66,5 +66,10 @@ QUERIES = {
 }
 ORACLE = {
     "op1_source_mixing": oracles.MIXING,
+    "op2_quality_divergence": oracles.QUALITY,
+    "op3_license_scan": oracles.LICENSES,
+    "op4_rendezvous_sharding": oracles.SHARDING,
+    "op6_warc_index": oracles.WARC,
     "op8_url_rules": oracles.URL_RULES,
+    "op10_ngram_jaccard_join": oracles.JACCARD,
 }
