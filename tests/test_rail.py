@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from slipcoach.functions import timetable as tt
@@ -195,3 +197,75 @@ def test_upsert_touches_only_what_the_batch_names(spark, tmp_path):
     store.write_canonical_upsert(rows, str(tmp_path), conflict_columns=["id"], update_columns=["v"])
     out = store.write_canonical_upsert(rows.filter("id = 2"), str(tmp_path), conflict_columns=["id"], update_columns=["v"])
     assert {r.id: r.updated_at.year > 2000 for r in out.collect()} == {1: False, 2: True}
+
+
+def test_pages_have_bounds(spark):
+    from slipcoach.operators import views
+    from slipcoach.plans import lens
+
+    t = lens.canonical(spark, "/root/testdata/sf0.001")
+    bad = [
+        lambda: views.list_trains(t, limit=0), lambda: views.list_trains(t, limit=1001), lambda: views.list_schedules(t, offset=-1), lambda: views.list_stations(t, limit=1001), lambda: views.list_operators(t, limit=-5),
+        lambda: views.top_routes(t, limit=51), lambda: views.station_departures(t, 1, limit=501), lambda: views.train_schedules(t, 1, limit=1001),
+    ]
+    for make in bad:
+        with pytest.raises(ValueError):
+            make()
+    assert views.list_trains(t, limit=1000).count() <= 1000 and views.top_routes(t, limit=50).count() <= 50
+    assert views.list_trains(t, limit=None).count() == t.trains.count()
+
+
+def test_parameters_of_listings_find_rows():
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for name in "region nation customer supplier part orders lineitem".split():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
+    for name in ("day_night_comparison", "list_trains", "list_schedules", "list_stations", "apply_dashboard_filters", "filter_by_country", "search_schedules", "validate_operators", "validate_stations"):
+        assert con.execute(f"SELECT count(*) FROM ({entry.oracle_sql()[name]})").fetchone()[0] > 0, name
+
+
+def test_cells_as_json(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c\\d\n', 2.0, True), (2, None, 2.5, None)], "k long, t string, x double, b boolean")
+    feeds.export_csv(df.coalesce(1), str(tmp_path / "out"), quote_json=True)
+    lines = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")).splitlines()
+    assert lines == ["k,t,x,b", '1,"a \\"b\\", c\\\\d\\n",2,true', '2,"",2.5,""']
+
+
+def test_keyed_json_in_many_files(spark, tmp_path):
+    for part, text in (("a", '{"1": {"trip_id": "1"}}'), ("b/c", '{"2": {"trip_id": "2"}, "3": {}}')):
+        (tmp_path / "trips.json" / part).mkdir(parents=True)
+        (tmp_path / "trips.json" / part / "part-0.txt").write_text(text)
+    assert sorted(r.id_from_key for r in feeds.read_keyed_json(spark, str(tmp_path))["trips"].collect()) == ["1", "2", "3"]
+
+
+def test_quality_record_has_five_stages(spark):
+    rows = [("a", "FR", "s"), ("a", "FR", "s"), ("b", "FRA", "s"), ("c", None, "s"), ("d", "DE", "t")]
+    df = spark.createDataFrame(rows, "name string, country string, source_name string")
+    record = validate.quality_metrics_record({"operators": df}, {"operators": validate.validate(df.dropDuplicates(), "operators")[0]})
+    got = {(r.source_name, r.stage, r.metric): r.value for r in record.collect()}
+    assert {k[1] for k in got} == {"extraction", "cleaning", "transformation", "loading", "validation"}
+    want = {"rows_extracted": 4, "duplicates_removed": 1, "nulls_filled": 1, "rows_rejected": 1, "rows_attempted": 2, "rows_loaded": 2, "rows_failed": 0, "null_violations": 0, "type_mismatches": 0}
+    assert {k: next(v for (s, _, m), v in got.items() if s == "s" and m == k) for k in want} == want
+    assert validate.quality_summary(record).first().total_rows_loaded == 3
+
+
+def test_validation_rows_are_dealt_by_class(spark):
+    rows = [(k, 1, "night" if k % 10 == 0 else "day") for k in range(2000)]
+    trains = spark.createDataFrame(rows, "train_id long, operator_id long, train_type string").withColumn("category", F.lit("x"))
+    rides = trains.select("train_id", F.lit(1).alias("origin_id"), F.lit(2).alias("destination_id"), F.lit("2025-01-01 22:00:00").cast("timestamp_ntz").alias("departure_time"), (F.col("train_id") % 700 + 20).alias("duration_min"), F.lit(100.0).alias("distance_km"))
+    _, metrics, _ = ml.ml_validate(schemas.Tables(None, None, trains, rides), trees=3)
+    support = {r.train_type: r.support for r in metrics.collect()}
+    assert abs(support["day"] - 360) <= 4 and abs(support["night"] - 40) <= 2
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from slipcoach.plans import shared
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://far:7077")
+    with pytest.raises(ValueError):
+        shared.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
