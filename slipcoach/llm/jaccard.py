@@ -67,9 +67,9 @@ def _lanes(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _level(n: int) -> int:
-    """2 to this power blocks hold the columns of a row of n."""
-    return ((n - 1) >> BLOCK_BITS).bit_length()
+def _level(n: int, bits: int) -> int:
+    """2 to this power blocks hold the columns of a row of n, about 2^bits each."""
+    return ((n - 1) >> bits).bit_length()
 
 
 def _profile(shingle: int) -> Callable:
@@ -168,7 +168,7 @@ def _side(rows: DataFrame, x: str, *more: Column) -> DataFrame:
 _CELL = ["a", "b", "na", "nb", "ida", "idb"]
 
 
-def _wanted_blocks(shingle: int, percent: int, flags) -> Callable:
+def _wanted_blocks(shingle: int, percent: int, flags, block_bits: int) -> Callable:
     """(id, node, level, block, columns) of the rows that flags lets through, at each level that a partner may ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def _wanted_blocks(shingle: int, percent: int, flags) -> Callable:
                 if not len(grams):
                     continue
                 node, n = _node(grams), len(grams)
-                for level in range(_level(n), _level(100 * n // percent) + 1):
+                for level in range(_level(n, block_bits), _level(100 * n // percent, block_bits) + 1):
                     block = (grams >> _U(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
                     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
                     rows += [(ids[row], node, level, int(block[b]), grams[b:e].tobytes()) for b, e in zip(first, [*first[1:], n], strict=True)]
@@ -223,7 +223,7 @@ def _links(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     got = words.toArrow()  # at most 2^17 rows
     flags[got.column("at").to_numpy() >> 6] = got.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(flags.view(np.uint8))
-    blocks = texts.select("id", "text", slot("id").alias("slot")).mapInArrow(_wanted_blocks(shingle, percent, shared), "id long, node binary, level int, block int, columns binary")
+    blocks = texts.select("id", "text", slot("id").alias("slot")).mapInArrow(_wanted_blocks(shingle, percent, shared, BLOCK_BITS), "id long, node binary, level int, block int, columns binary")
     blocks = scratch.save(blocks, "blocks")
     over = lambda n: F.when(F.col(n) > 1 << BLOCK_BITS, F.length(F.bin(F.shiftright(F.col(n) - 1, BLOCK_BITS)))).otherwise(0)
     asked = cells.withColumn("level", F.greatest(over("na"), over("nb"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, level) - 1"))))

@@ -4,7 +4,7 @@ Four pieces of evidence on a web page, each a log-likelihood or log-prior by lan
 
 * text: byte trigrams of the visible text under a naive Bayes model, fitted on all documents with a known language;
 * declared markup language: the lang attribute, with P(declared | language) from grouped soft counts over all pages;
-* address suffix: the last label of the host, likewise;
+* address suffix: the last label of the host (without user and port), likewise;
 * host prior: the language shares of the page's host, smoothed towards those of its domain, those towards all pages'.
   A page's own soft count is taken out of its host and domain first, so it does not vote for itself.
 
@@ -12,7 +12,8 @@ Soft counts are the text posteriors, summed by host, domain, suffix and declared
 combine; the hot host is one row of them). Only small columns move; the pages' html is read once and stays where it is.
 
 Defined results: a null or empty page has no text evidence and gets its language from the rest; a null url has an empty
-host; no or an unknown declaration is a value of its own; ties go to the language first in `langs`; repeated rows count
+host; no declaration, or one of no language of `langs`, is a value of its own; a page whose best posterior is below SURE is
+"und"; ties go to the language first in `langs`; repeated rows count
 and are judged each; training rows with another or no language are not used; without training rows the text says
 nothing; an empty table of pages gives an empty one; other columns are ignored, whatever their names.
 """
@@ -35,12 +36,16 @@ from slipcoach.llm.urlrules import host_and_path
 #: The languages told apart; their number bounds the model's size (128 KB each).
 LANGS = ("en", "fr", "de", "es")
 BUCKETS, SLICES, ADD = 1 << 14, 4, 0.5
-#: Trigrams overlap: so many at most count as independent ones.
-INDEPENDENT = 60
+#: Every byte stands in three trigrams: each counts as a third of an independent one.
+OVERLAP = 3
+#: Least posterior of a language that is named; below it the page is UNSURE.
+SURE, UNSURE = 0.5, "und"
+#: Two-letter codes of three-letter ones.
+CODES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es"}
 #: Weight of the domain's shares against a host's own pages, of all pages against a domain's, and of the shares in the evidence tables.
 HOST_PRIOR, DOMAIN_PRIOR, EVIDENCE_PRIOR = 5.0, 20.0, 10.0
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +87,31 @@ def visible(page: str) -> str:
     return html.unescape(_HIDDEN.sub(" ", page))
 
 
+def declared_code(page: str) -> str | None:
+    """The primary code of the lang attribute, in two letters where there is a two-letter one."""
+    found = _LANG.search(page)
+    return CODES.get(found[1].lower(), found[1].lower()) if found else None
+
+
+def _bare(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def _domain(labels: Column) -> Column:
+    """The last two labels, or three where the last two are a short label under a two-letter one, as in co.uk."""
+    last, before = F.try_element_at(labels, F.lit(-1)), F.try_element_at(labels, F.lit(-2))
+    deep = (F.size(labels) > 2) & (F.length(last) == 2) & (F.length(before) <= 3)
+    n = F.when(deep, 3).otherwise(2)
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+
+def places(host: str) -> tuple[Column, Column]:
+    """(domain, suffix) of a host; an address in numbers has no suffix and is a domain of its own."""
+    labels, address = F.split(host, r"\."), F.col(host).rlike(r"^[0-9.]+$|^\[")
+    return F.when(address, F.col(host)).otherwise(_domain(labels)), F.when(address, "").otherwise(F.element_at(labels, -1))
+
+
 def _evidence(shared) -> Callable:
     """(id, host, declared, text0, text1, ...): the text's log-likelihoods, less the largest."""
 
@@ -92,11 +122,9 @@ def _evidence(shared) -> Callable:
                 part = batch.slice(begin, 200)
                 pages = [x or "" for x in part.column("html").to_pylist()]
                 row, bucket = _trigrams(pa.array([visible(x) for x in pages], pa.string()))
-                n = np.bincount(row, minlength=len(part))
-                weight = np.minimum(1.0, INDEPENDENT / np.maximum(n, 1))
-                logs = np.stack([np.bincount(row, m[bucket], len(part)) * weight for m in model])
+                logs = np.stack([np.bincount(row, m[bucket], len(part)) / OVERLAP for m in model])
                 logs -= logs.max(0)
-                declared = [(m[1].lower()[:2] if (m := _LANG.search(x)) else None) for x in pages]
+                declared = [declared_code(x) for x in pages]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("host"), pa.array(declared, pa.string()), *map(pa.array, logs)], names=["id", "host", "declared", *(f"text{k}" for k in range(len(model)))])
 
     return run
@@ -111,12 +139,12 @@ def _posterior(logs: Sequence[Column]) -> list[Column]:
 def identify(pages: DataFrame, model: np.ndarray, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", langs: Sequence[str] = LANGS) -> DataFrame:
     """One row per page: id, host, suffix, declared, text_lang (by the text alone), lang, confidence (posterior of lang)."""
     spark, n = pages.sparkSession, range(len(langs))
-    kind = dict(pages.dtypes)[id_col]
-    rows = pages.select(F.col(id_col).alias("id"), host_and_path(url_col)[0].alias("host"), F.col(html_col).cast("string").alias("html"))
+    kind = pages.select(F.col(f"`{id_col}`")).dtypes[0][1]
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), _bare(host_and_path(url_col)[0]).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
     schema = f"id {kind}, host string, declared string, " + ", ".join(f"text{k} double" for k in n)
     seen = scratch.save(rows.mapInArrow(_evidence(spark.sparkContext.broadcast(model)), schema), "evidence")
-    labels = F.split("host", r"\.")
-    seen = seen.withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")).withColumn("suffix", F.element_at(labels, -1))
+    domain, suffix = places("host")
+    seen = seen.withColumns({"domain": domain, "suffix": suffix})
     seen = seen.withColumn("declared", F.coalesce(F.when(F.col("declared").isin(list(langs)), F.col("declared")), F.lit("")))
     seen = seen.select("*", *(p.alias(f"p{k}") for k, p in zip(n, _posterior([F.col(f"text{k}") for k in n]), strict=True)))
 
@@ -142,4 +170,4 @@ def identify(pages: DataFrame, model: np.ndarray, id_col: str = "page_id", url_c
     out = out.select("id", "host", "suffix", "declared", *(F.col(f"text{k}") for k in n), *(x.alias(f"log{k}") for k, x in enumerate(logs)))
     best = lambda name: F.array(*map(F.lit, langs))[F.array_position(F.array(*(F.col(f"{name}{k}") for k in n)), F.greatest(*(F.col(f"{name}{k}") for k in n))).cast("int") - 1]
     sure = F.greatest(*_posterior([F.col(f"log{k}") for k in n]))
-    return out.select(F.col("id").alias(id_col), "host", "suffix", F.nullif("declared", F.lit("")).alias("declared"), best("text").alias("text_lang"), best("log").alias("lang"), F.round(sure, 6).alias("confidence"))
+    return out.select(F.col("id").alias(id_col), "host", "suffix", F.nullif("declared", F.lit("")).alias("declared"), best("text").alias("text_lang"), F.when(sure >= SURE, best("log")).otherwise(UNSURE).alias("lang"), F.round(sure, 6).alias("confidence"))

@@ -1,183 +1,233 @@
-"""Benchmark decontamination by greedy string tiling (Wise, 1993).
-
-Words are runs of 0-9, letters and non-ASCII characters, lower-cased. A rolling hash of `match` words finds the seeds that
-a text shares with a benchmark item; seeds that follow one another make maximal matches, and the longest match that
-overlaps no tile becomes a tile, again and again, so passages count in any order. A text leaks an item if its tiles cover
-at least `coverage` of the item's words.
-
-The texts never move: the benchmark's hashes go to the tasks in blocks of a bounded number of words, one pass a block.
-
-Defined results: a null or empty text leaks nothing; an item of fewer words than a seed is never found; repeated rows
-are judged alike; an empty table of texts or items gives an empty result (and drops nothing); other columns pass
-through `clean`, whatever their names. A single item longer than a block is a block of its own.
+"""Benchmark decontamination by greedy string tiling (Wise, 1993) with running Karp-Rabin matching.
+
+Words are runs of 0-9, letters and non-ASCII characters, lower-cased. Seeds are runs of `match` words. The longest match of
+words that no tile holds yet becomes a tile, again and again, so passages count in any order; the search runs over hashes of
+windows whose length only shrinks, and every match is verified word by word. A text leaks an item if its tiles cover at least
+`coverage` of the item's words.
+
+Texts and items meet in a join by seed. A text gives only the words of the seeds that pass a filter of a bounded size, built
+from all items' seeds, so one pass over the texts serves a benchmark of any size. An item of n words that is covered shares at
+least ceil(coverage * n) / match of its places with the text, so its most frequent seeds, fewer places than that, need
+not be joined: a phrase that very many texts and items have brings no pairs.
+
+Defined results: a null or empty text leaks nothing; an item of fewer words than a seed is never found; repeated rows, of
+texts or of items, are judged each by itself, and null ids stay null; of matches of one length the one that begins first
+in the item, then in the text, is the tile; an empty table of texts or items gives an empty result (and drops nothing);
+other columns are ignored by `leaks` and pass through `clean`, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipcoach.llm import tokens
+from slipcoach.llm import scratch, tokens
 
 MATCH, COVERAGE = 4, 0.6
-#: Words of benchmark items that go to the tasks at once (about 24 bytes each).
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter of seeds: a sixteenth of them set, and no more than 2^27 (16 MB) however many seeds there are.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Bits of the table of leaking texts (1 MB).
+LEAKY_BITS = 23
 _U = np.uint64
-
-
-class Index:
-    """The seeds of a block of items."""
-
-    def __init__(self, ids: list, texts: list[str | None], match: int) -> None:
-        self.match, self.ids, self.hashes = match, [], []
-        grams, of, at = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for w in tokens.words(pc.utf8_lower(pa.array(texts, pa.string())), tokens.NON_ALNUM):
-            bound = w.bounds()
-            for r in range(w.rows):
-                own = w.hash[bound[r] : bound[r + 1]]
-                if len(own) >= match:
-                    seeds = tokens.grams(own, match)
-                    grams.append(seeds)
-                    of.append(np.full(len(seeds), len(self.ids)))
-                    at.append(np.arange(len(seeds)))
-                    self.ids.append(ids[w.first + r])
-                    self.hashes.append(own)
-        grams, of, at = np.concatenate(grams), np.concatenate(of), np.concatenate(at)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.of, self.at = grams[order], of[order], at[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.grams >> _U(44)] = True
-
-    def seeds(self, grams: np.ndarray) -> np.ndarray:
-        """Places of the grams that items have."""
-        near = np.flatnonzero(self.maybe[grams >> _U(44)])
-        if not len(near):
-            return near
-        found = np.minimum(np.searchsorted(self.grams, grams[near]), len(self.grams) - 1)
-        return near[self.grams[found] == grams[near]]
-
-    def pairs(self, grams: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in the text) of every seed."""
-        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        n = high - low
-        each = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return self.of[each], self.at[each], np.repeat(places, n)
-
-
-def tiles(at: np.ndarray, place: np.ndarray, match: int, n_item: int) -> list[int]:
-    """Lengths of the tiles; at and place are the seeds' places in the item and in the text."""
-    order = np.lexsort((at, place - at))
-    at, place = at[order], place[order]
-    breaks = np.flatnonzero((np.diff(place - at) != 0) | (np.diff(at) != 1)) + 1
-    begin = np.concatenate([[0], breaks])
-    length = np.diff(np.concatenate([begin, [len(at)]])) + match - 1
-    heap = [(-int(n), int(at[b]), int(place[b])) for n, b in zip(length, begin, strict=True)]
-    heapq.heapify(heap)
-    item_used, text_used, out = np.zeros(n_item, bool), set(), []
-    while heap:
-        n, a, p = heapq.heappop(heap)
-        free = [k for k in range(-n) if not item_used[a + k] and p + k not in text_used]
-        if len(free) == -n:
-            item_used[a : a - n] = True
-            text_used.update(range(p, p - n))
-            out.append(-n)
-            continue
-        run: list[int] = []
-        for k in [*free, -1]:  # what tiles have left of this match stands in line again
-            if run and k != run[-1] + 1:
-                if len(run) >= match:
-                    heapq.heappush(heap, (-len(run), a + run[0], p + run[0]))
-                run = []
-            run.append(k)
+_BASE = 0xD1342543DE82EF95
+
+
+def _windows(words: np.ndarray, free: np.ndarray, length: int, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the windows of free words."""
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    start = np.flatnonzero(taken[length:] == taken[:-length])
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(words * powers[: len(words)])])
+    return (total[start + length] - total[start]) * powers[len(words) - start], start
+
+
+def tiles(item: np.ndarray, text: np.ndarray, match: int) -> list[int]:
+    """Lengths of the tiles of two sequences of words; a 0 in the text is a gap that nothing matches."""
+    powers = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(max(len(item), len(text)) + 1, _U(_BASE))]))
+    # windows of both sides are brought to the same power of the base
+    shift = max(len(item), len(text))
+    item_free, text_free, out = np.ones(len(item), bool), text != 0, []
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, at = _windows(item, item_free, length, powers)
+        b, place = _windows(text, text_free, length, powers)
+        return a * powers[shift - len(item)], at, b * powers[shift - len(text)], place
+
+    def any_common(length: int) -> bool:
+        a, _, b, _ = common(length)
+        return bool(np.isin(a, b).any())
+
+    most = min(len(item), len(text))
+    while most >= match and any_common(match):
+        least, over = match, most + 1
+        while over - least > 1:  # the longest window that both have
+            middle = (least + over) // 2
+            least, over = (middle, over) if any_common(middle) else (least, middle)
+        a, at, b, place = common(least)
+        order = np.lexsort((place, b))
+        b, place = b[order], place[order]
+        following = {}
+        for k in np.flatnonzero(np.isin(a, b)):
+            i = at[k]
+            if not (item_free[i] and item_free[i + least - 1]):  # a tile is no shorter than a window: it holds one of its ends
+                continue
+            j = following.get(a[k], int(np.searchsorted(b, a[k])))
+            while j < len(b) and b[j] == a[k] and not (text_free[place[j]] and text_free[place[j] + least - 1]):
+                j += 1
+            if j < len(b) and b[j] == a[k] and np.array_equal(item[i : i + least], text[place[j] : place[j] + least]):
+                item_free[i : i + least] = text_free[place[j] : place[j] + least] = False
+                out.append(least)
+                j += 1
+            following[a[k]] = j
+        most = least - 1
     return out
 
 
-def _leaks(index: Index, column: pa.Array, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(row, item, coverage, tiles, longest tile)"""
-    k = index.match
+def _sequences(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, words) of texts; no word is 0."""
     for w in tokens.words(pc.utf8_lower(column), tokens.NON_ALNUM):
-        if len(w.hash) < k:
-            continue
-        grams = tokens.grams(w.hash, k)
-        hit = index.seeds(grams)
-        hit = hit[w.doc[hit] == w.doc[hit + k - 1]]
-        if not len(hit):
-            continue
-        cut = np.flatnonzero(np.diff(w.doc[hit])) + 1
-        for places in np.split(hit, cut):
-            item, at, place = index.pairs(grams[places], places)
-            order = np.argsort(item, kind="stable")
-            item, at, place = item[order], at[order], place[order]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(item)) + 1, [len(item)]])
-            for b, e in zip(edges, edges[1:], strict=False):
-                n = len(index.hashes[item[b]])
-                seen = np.unique(at[b:e])
-                most = np.minimum(np.diff(np.append(seen, seen[-1] + k)), k).sum()  # no tile holds a word outside the seeds
-                if most < coverage * n:
-                    continue
-                made = tiles(at[b:e], place[b:e], k, n)
-                if sum(made) >= coverage * n:
-                    yield w.first + int(w.doc[places[0]]), int(item[b]), sum(made) / n, len(made), max(made)
+        bound, hashes = w.bounds(), np.maximum(w.hash, _U(1))
+        for r in range(w.rows):
+            yield w.first + r, hashes[bound[r] : bound[r + 1]]
+
 
+def _blobs(rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], pa.binary())
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, match: int, block_words: int) -> Iterator[Index]:
-    """The items in blocks of about block_words words; a hash of the text deals them out."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    n = max(1, math.ceil(words / block_words))
-    for k in range(n):
-        got = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toArrow()
-        index = Index(got.column("id").to_pylist(), got.column("text").to_pylist(), match)
-        if index.ids:
-            yield index
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.zeros(0, _U)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def _itemised(match: int) -> Callable:
+    """(item, item_id, n, words, seeds: of every place)"""
 
-def _finder(shared, coverage: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            rows = list(_leaks(index, batch.column("text"), coverage))
-            ids = batch.column("id").take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([index.ids[r[1]] for r in rows], pa.int64()), pa.array([len(index.hashes[r[1]]) for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
-                names=["id", "item_id", "item_words", "coverage", "n_tiles", "longest_tile"],
-            )
+            got = [(r, w) for r, w in _sequences(batch.column("text")) if len(w) >= match]
+            at = pa.array([r for r, _ in got], pa.int64())
+            seeds = _lists([tokens.grams(w, match) for _, w in got])
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(at), batch.column("item_id").take(at), pa.array([len(w) for _, w in got], pa.int64()), _blobs([w for _, w in got]), seeds], names=["item", "item_id", "n", "words", "seeds"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and item that it leaks: id, item_id, item_words, coverage, n_tiles, longest_tile."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, item_id long, item_words long, coverage double, n_tiles long, longest_tile long"
-    out = spark.createDataFrame([], schema)
-    for index in blocks(benchmark.withColumn(item_col, F.col(item_col).cast("long")), item_col, item_text, match, block_words):
-        out = out.union(rows.mapInArrow(_finder(spark.sparkContext.broadcast(index), coverage), schema))
-    return out.withColumnRenamed("id", id_col)
+def _probed(match: int, shared) -> Callable:
+    """(id, digest, words, seeds) of the texts with seeds that pass the filter: the words of such seeds, with a 0 between runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, flags = shared.value
+        for batch in batches:
+            at, words, seeds = [], [], []
+            for r, w in _sequences(batch.column("text")):
+                if len(w) < match:
+                    continue
+                grams = tokens.grams(w, match)
+                slot = (grams >> _U(64 - bits)).astype(np.int64)
+                hit = np.flatnonzero(flags[slot >> 3] >> (slot & 7) & 1)
+                if not len(hit):
+                    continue
+                kept = np.zeros(len(w) + 1, bool)
+                for k in range(match):
+                    kept[hit + k] = True
+                gap = np.flatnonzero(kept[:-1] & ~kept[1:]) + 1  # behind each run
+                held = np.where(kept, np.append(w, _U(0)), _U(0))
+                kept[gap] = True
+                at.append(r)
+                words.append(held[kept])
+                seeds.append(np.unique(grams[hit]))
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("digest").take(rows), _blobs(words), _lists(seeds)], names=["id", "digest", "words", "seeds"])
+
+    return run
 
 
-def _cleaner(shared, text_col: str, coverage: float) -> Callable:
+def _tiled(match: int, coverage: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.ones(len(batch), bool)
-            for row, *_ in _leaks(shared.value, batch.column(text_col), coverage):
-                good[row] = False
-            yield batch.filter(pa.array(good))
+            keep, made = [], []
+            for k, (x, y) in enumerate(zip(batch.column("item_words"), batch.column("text_words"), strict=True)):
+                item, text = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
+                both = np.isin(tokens.grams(item, match), tokens.grams(text, match)) if len(text) >= match else np.zeros(1, bool)
+                near = np.zeros(len(item), bool)
+                for j in range(match):
+                    near[np.flatnonzero(both) + j] = True
+                if near.sum() < coverage * len(item):  # no tile holds a word outside the seeds
+                    continue
+                found = tiles(item, text, match)
+                if found and sum(found) >= coverage * len(item):
+                    keep.append(k)
+                    made.append((sum(found) / len(item), len(found), max(found)))
+            at = pa.array(keep, pa.int64())
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("id", "digest", "item_id", "n")), *columns], names=["id", "digest", "item_id", "item_words", "coverage", "n_tiles", "longest_tile"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that leak no item, with their own columns; nothing is shuffled."""
-    out = docs
-    for index in blocks(benchmark, item_col, item_text, match, block_words):
-        out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index), text_col, coverage), docs.schema)
+def _flags(spark: SparkSession, hashes: DataFrame, bits: int, column: str) -> np.ndarray:
+    """A bit for each hash by its leading bits; 2^bits of them, whatever the input."""
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    words = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    got = words.toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: Column, text_col: str, item_col: str, item_text: str, match: int, coverage: float) -> DataFrame:
+    """(id, digest, item_id, item_words, coverage, n_tiles, longest_tile) of every text and item that it leaks."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    of_item, of_text = dict(items.dtypes)["item_id"], docs.select(id_col.alias("id")).dtypes[0][1]
+    items = scratch.save(items.mapInArrow(_itemised(match), f"item long, item_id {of_item}, n long, words binary, seeds array<long>"), "items")
+    seeds = items.select("item", "n", F.explode("seeds").alias("seed")).groupBy("seed", "item", "n").agg(F.count("*").alias("places"))
+    seeds = scratch.save(seeds, "seeds")
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * seeds.count()).bit_length()))
+    shared = spark.sparkContext.broadcast((bits, _flags(spark, seeds, bits, "seed")))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(id_col.alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    probed = rows.mapInArrow(_probed(match, shared), f"id {of_text}, digest string, words binary, seeds array<long>")
+    hits = scratch.save(probed.withColumn("row", F.monotonically_increasing_id()), "hits")
+    said = hits.select("row", F.explode("seeds").alias("seed"))
+    often = said.groupBy("seed").agg(F.count("*").alias("texts"))
+    # of each item the rarest seeds, all but fewer places than a covered item must share
+    spare = F.ceil(F.ceil(F.lit(coverage) * F.col("n")) / match) - 1
+    ranked = seeds.join(often, "seed").selectExpr("*", "sum(places) OVER (PARTITION BY item ORDER BY texts DESC, seed) AS places_before")
+    wanted = ranked.filter(F.col("places_before") > spare).select("seed", "item")
+    pairs = scratch.save(said.join(wanted, "seed").select("row", "item").distinct(), "pairs")
+    full = pairs.join(hits.select("row", "id", "digest", F.col("words").alias("text_words")), "row").join(items.select("item", "item_id", "n", F.col("words").alias("item_words")), "item")
+    schema = f"id {of_text}, digest string, item_id {of_item}, item_words long, coverage double, n_tiles long, longest_tile long"
+    out = scratch.save(full.select("id", "digest", "item_id", "n", "item_words", "text_words").mapInArrow(_tiled(match, coverage), schema), "leaks", batch_rows=100)
+    shared.destroy()
+    scratch.drop(items, seeds, hits, pairs)
     return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """One row per document and item that it leaks: id, item_id, item_words, coverage, n_tiles, longest_tile."""
+    found = _matches(docs, benchmark, F.col(f"`{id_col}`"), text_col, item_col, item_text, match, coverage)
+    return found.select(F.col("id").alias(id_col), "item_id", "item_words", "coverage", "n_tiles", "longest_tile")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """The documents that leak no item, as they are.
+
+    A table of bits of a fixed size tells most texts that they are clean, so that only those that may leak are shuffled.
+    """
+    leaky = _matches(docs, benchmark, F.lit(0), text_col, item_col, item_text, match, coverage).select(F.col("digest").alias("leaky")).distinct()
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << LEAKY_BITS))
+    set_ = leaky.select(slot("leaky").alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")).alias("digest"))
+    whole = whole.withColumn("slot", F.coalesce(slot("digest"), F.lit(0)))
+    # at most 2^17 rows of 64 bits
+    told = whole.join(F.broadcast(set_), F.shiftright("slot", 6) == F.col("at"), "left").withColumn("may", F.coalesce(F.getbit("bits", F.col("slot").bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1)
+    checked = told.filter("may").join(leaky, F.col("digest") == F.col("leaky"), "left_anti")
+    return told.filter(~F.col("may")).select("row.*").union(checked.select("row.*"))

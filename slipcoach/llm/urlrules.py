@@ -25,12 +25,17 @@ from slipcoach.llm import scratch
 #: Host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DEFAULT = "allow"
+#: A host with more than this part of all urls is a hot one: there are no more than 1000 of them.
+HOT = 1000
 #: Between a host's key and a path; no host has it.
 GAP = "\u0001"
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """The rules as a table, made by expressions."""
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    table = spark.range(1).select(F.inline(F.array(*rows)) if rows else F.inline(F.array().cast("array<struct<host:string,path:string,verdict:string>>")))
+    return table.toDF("host", "path", "verdict")
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -78,7 +83,7 @@ def _path_depths(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """One row per page: id, host, path, rule (host and path, or null), verdict."""
     host, path = host_and_path(url_col)
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path"))
     known = rules.groupBy(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.max("verdict").alias("verdict"))
     known = scratch.save(_path_depths(known.withColumn("node", _key("rule_host"))), "rules")
 
@@ -87,7 +92,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     nodes = known.select(F.col("node").alias("start")).distinct().withColumn("depth", F.size(F.split("start", r"\.")) - 1)
     under = hosts.join(sweep(hosts.select("key"), nodes), "key").select("host", F.col("start").alias("node"))
 
-    tried = scratch.save(urls.join(under, "host").withColumn("key", F.concat("node", F.lit(GAP), "path")), "tried")
+    # the urls of hot hosts stay where they are: what those hosts lie under is a table of at most HOT times its labels rows
+    many = urls.count()
+    hot = scratch.save(urls.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") * HOT > many).select("host"), "hot")
+    split = urls.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "host", "left")
+    under = scratch.save(under, "under")
+    met = split.filter("hot is null").drop("hot").join(under, "host").union(split.filter("hot").drop("hot").join(F.broadcast(under.join(F.broadcast(hot), "host", "left_semi")), "host").select("host", "path", "node"))
+    tried = scratch.save(met.withColumn("key", F.concat("node", F.lit(GAP), "path")), "tried")
     spans = known.select(F.concat("node", F.lit(GAP), "path").alias("start"), "depth", "verdict", F.concat("rule_host", "path").alias("rule"), F.length("rule_host").alias("of_host"))
     fits = sweep(tried.select("key").distinct(), spans.select("start", "depth")).join(spans, "start")
     # on one host the longest path wins before the pages come back in

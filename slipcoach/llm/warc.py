@@ -8,7 +8,8 @@ per record. The index is saved once; files that a lost task left behind are in n
 Reading: index rows of the records wanted are dealt by archive and stretch, sorted by offset, and records that lie close
 together come in one read of a bounded size.
 
-Defined results: a null html is an empty payload; a null url is an empty one; a null id is written as an empty one and
+Defined results: a null html is an empty payload; a null url is an empty one; white space and control characters of a
+url stand in the record's header as percent codes, while the index has the url as it is; a null id is written as an empty one and
 read back as null, and never names a response while other ids do; rows that repeat an id with an equal payload are
 records each; payloads shorter than the least length are all responses; an empty table gives no archives and an empty
 index; other columns are ignored, whatever their names.
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,11 +35,30 @@ from slipcoach.llm import scratch
 LEAST_BYTES = 0
 #: Largest archive, largest read, largest gap that a read runs over.
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 64 << 20, 4 << 20, 64 << 10
+#: Bytes of records that a task reads, about.
+TASK_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
+#: Names that the reader of Python tasks has for schemes of Hadoop.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "file": "file"}
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI and the path in it: local and mounted folders, hdfs, viewfs, s3, gs and abfs."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon:
+        return fs.FileSystem.from_uri(f"file://{folder}")
+    path = rest if rest.startswith("//") else f"//{rest}"
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{path}")
+
+
+def _header_url(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -49,7 +71,7 @@ def _member(data: bytes) -> bytes:
 def _record(kind: str, page_id: int | None, url: str, sha1: str, n: int, block: bytes, more: str = "") -> bytes:
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{url}:{kind}")
     head = (
-        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {url}\r\n"
+        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {_header_url(url)}\r\n"
         f"WARC-Payload-Digest: sha1:{sha1}\r\nContent-Type: application/http; msgtype=response\r\nX-Page-ID: {'' if page_id is None else page_id}\r\n"
         f"X-Payload-Length: {n}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
     )
@@ -61,7 +83,7 @@ def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for page_id, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            payload, url = (text or "").encode(), "".join((url or "").split())
+            payload, url = (text or "").encode(), url or ""
             sha1 = digest(payload)
             out.append((page_id, url, sha1, len(payload), _record("response", page_id, url, sha1, len(payload), _HTTP % len(payload) + payload)))
         yield _table(out, _PACKED)
@@ -87,7 +109,7 @@ def _written(folder: str, archive_bytes: int) -> Callable:
     """Writes archives and passes on their index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = fs.FileSystem.from_uri(folder)
+        store, at = _store(folder)
         name, stream, place = "", None, 0
         try:
             for batch in batches:
@@ -120,7 +142,7 @@ def _written(folder: str, archive_bytes: int) -> Callable:
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the pages' archives into a folder that all machines share (a URI); returns the saved index."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    store, at = fs.FileSystem.from_uri(folder)
+    store, at = _store(folder)
     store.create_dir(at)
     seen = rows.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, n long")
     # only payloads that occur more than once are looked up; a page packed as a response moves once, packed
@@ -157,7 +179,7 @@ def ranges(wanted: list[tuple[str, int, int]], read_bytes: int = READ_BYTES, gap
 
 def _fetched(folder: str, read_bytes: int, gap_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = fs.FileSystem.from_uri(folder)
+        store, at = _store(folder)
         name, source = None, None
         for batch in batches:
             wanted = list(zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True))
@@ -187,9 +209,13 @@ def _fetched(folder: str, read_bytes: int, gap_bytes: int) -> Callable:
 
 
 def read(spark: SparkSession, index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
-    """The records that the index rows name: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records that the index rows name: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Stretches of an archive are dealt to as many tasks as the records' summed lengths ask for.
+    """
     places = index.select("archive", F.floor(F.col("offset") / read_bytes).alias("stretch"), "offset", "length")
-    dealt = places.repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+    n = max(1, math.ceil((places.agg(F.sum("length")).first()[0] or 0) / TASK_BYTES))
+    dealt = places.repartition(n, "archive", "stretch").sortWithinPartitions("archive", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return dealt.select("archive", "offset", "length").mapInArrow(_fetched(folder, read_bytes, gap_bytes), schema)
 
@@ -198,7 +224,5 @@ def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes archives of all pages into the shared folder and reads all their records back."""
     spark = pages.sparkSession
     folder = scratch.place(spark, "warc")
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder.removeprefix("file:")
     index = write(pages, folder, least_bytes=least_bytes)
     return scratch.save(read(spark, index, folder), "records")

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -355,7 +356,7 @@ def test_url_rules(spark):
     assert urlrules.judge(pages.limit(0), rules).count() == 0 and {r.verdict for r in urlrules.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
-def test_tiling(spark):
+def test_tiling(spark, monkeypatch):
     rng = random.Random(5)
     item = [f"q{k}" for k in range(40)]
     noise = lambda n: [f"n{rng.randrange(9999)}" for _ in range(n)]
@@ -364,8 +365,10 @@ def test_tiling(spark):
     }
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()] + [(8, None), (9, "")], "doc_id long, text string")
     bench = spark.createDataFrame([(10, " ".join(item)), (11, "q1 q2"), (12, None)], "item_id long, text string")
-    for block in (10, 10**6):
-        got = {(r.doc_id, r.item_id): r for r in tiling.leaks(docs, bench, block_words=block).collect()}
+    for bits in (1, tiling.MOST_BITS):  # a filter of 64 bits lets much else pass
+        monkeypatch.setattr(tiling, "MOST_BITS", max(bits, 6))
+        monkeypatch.setattr(tiling, "LEAST_BITS", max(min(bits, 16), 6))
+        got = {(r.doc_id, r.item_id): r for r in tiling.leaks(docs, bench).collect()}
         assert set(got) == {(k, 10) for k in (1, 2, 5, 7)}
     assert got[(2, 10)].n_tiles == 2 and got[(2, 10)].coverage == 1.0 and got[(1, 10)].longest_tile == 40 and got[(7, 10)].n_tiles == 1
     assert sorted(r.doc_id for r in tiling.clean(docs, bench).collect()) == [3, 4, 6, 8, 9]
@@ -393,6 +396,17 @@ def test_tiles_are_greedy():
     rng = random.Random(9)
     for _ in range(40):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(6, 20))] for _ in range(2))
-        pairs = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        made = tiling.tiles(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), 3, len(a)) if pairs else []
+        made = tiling.tiles(np.array(a, np.uint64) + np.uint64(7), np.array(b, np.uint64) + np.uint64(7), 3)
         assert sum(made) == plain(a, b, 3)
+
+
+def test_tiles_of_periodic_texts():
+    word = np.uint64(99)
+    begin = time.process_time()
+    for n, m in ((200, 2_000), (800, 200_000)):
+        assert tiling.tiles(np.full(n, word), np.full(m, word), 4) == [n]
+    item = np.tile(np.arange(1, 8, dtype=np.uint64), 100)
+    text = np.concatenate([np.tile(np.append(item[:5], np.uint64(0)), 3000), item[:30]])
+    made = tiling.tiles(item, text, 4)
+    assert made[0] == 30 and set(made[1:]) == {5} and len(made) > 90
+    assert time.process_time() - begin < 5
