@@ -17,13 +17,16 @@ ZONES = {"FR": "Europe/Paris", "DE": "Europe/Berlin", "IT": "Europe/Rome", "ES":
 def dedup_keep_first(df: DataFrame, subset: Sequence[str] | None = None, order: Sequence[str | Column] = ()) -> DataFrame:
     """The first row of each key in the given order, ties by all columns; without a subset, distinct rows.
 
-    A null is a key like any other. The smallest row of a key is an aggregate with map-side combine, not a window.
+    A null is a key like any other. The smallest row of a key is an aggregate with map-side combine, not a window; the row
+    is read off the columns that it is ordered by, so it is carried once.
     """
     if subset is None:
         return df.dropDuplicates()
-    first = F.struct(*(F.struct(o.isNull(), o) for o in ((F.col(x) if isinstance(x, str) else x) for x in (*order, *df.columns))))
-    best = df.groupBy(*(F.col(c).alias(f"__{c}") for c in subset)).agg(F.min_by(F.struct(*df.columns), first).alias("row"))
-    return best.select("row.*")
+    part = lambda x, name: F.struct(x.isNull().alias("none"), x.alias("value")).alias(name)
+    by = [part(F.col(x) if isinstance(x, str) else x, f"o{k}") for k, x in enumerate(order)]
+    row = [part(F.col(f"`{c}`"), f"c{k}") for k, c in enumerate(df.columns)]
+    best = df.groupBy(*(F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(subset))).agg(F.min(F.struct(*by, *row)).alias("row"))
+    return best.select(*(F.col(f"row.c{k}.value").alias(c) for k, c in enumerate(df.columns)))
 
 
 def drop_missing_required(df: DataFrame, required_columns: Sequence[str], strategy: str = "drop") -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +31,35 @@ def place(spark: SparkSession, label: str) -> str:
     return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_lock, _asked = threading.Lock(), {}
+
+
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows; of saves that run side by side in a session the smallest counts, the last one sets it back."""
+    with _lock:
+        before, held = _asked.setdefault(id(spark), (spark.conf.get(_BATCH), []))
+        held.append(rows)
+        spark.conf.set(_BATCH, min(held))
+    try:
+        yield
+    finally:
+        with _lock:
+            held.remove(rows)
+            spark.conf.set(_BATCH, min(held) if held else before)
+            if not held:
+                del _asked[id(spark)]
+
+
 def save(df: DataFrame, label: str, batch_rows: int = 1000) -> DataFrame:
     """Writes df as Parquet and returns the table read back: the lineage ends here.
 
     batch_rows: rows of an Arrow batch on the way through Python, so that long texts do not fill a worker's memory.
     """
     path = place(df.sparkSession, label)
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
-    try:
+    with _small_batches(df.sparkSession, batch_rows):
         df.write.parquet(path)
-    finally:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
