@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipcoach.llm import jaccard, mixing, quality, scratch, sharding, tiling
+from slipcoach.llm import jaccard, mixing, quality, sharding, tiling
+from slipcoach.plans import shared as scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

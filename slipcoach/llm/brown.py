@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import dense, scratch, tokens
+from slipcoach.llm import dense, tokens
+from slipcoach.plans import shared as scratch
 
 #: Most words whose counts go along with the tasks (16 bytes each), most words that are units, units of other words, classes.
 HEAD, OWN_UNITS, TAIL_UNITS, CLASSES = 1 << 18, 512, 256, 48

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import scratch
+from slipcoach.plans import shared as scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:

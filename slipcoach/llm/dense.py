@@ -1,4 +1,8 @@
-"""Sums of count vectors of a fixed length: each task adds up its own, then slices meet in a shuffle."""
+"""Sums of count vectors of a fixed length: each task adds up its own, then slices meet in a shuffle.
+
+Defined results: no rows, or slices that no task hands on, count as zeros; the order of tasks and slices changes nothing; a
+cell of one task holds less than 2^32, a sum less than 2^64.
+"""
 
 from __future__ import annotations
 

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import dense, scratch, tokens
+from slipcoach.llm import dense, tokens
 from slipcoach.llm.components import components
+from slipcoach.plans import shared as scratch
 
 SHINGLE, PERCENT = 4, 85
 #: Cells of the column-frequency sketch (4 MB as a broadcast), and bits of the filter of wanted rows (1 MB): both fixed sizes.

@@ -30,8 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import dense, scratch, tokens
+from slipcoach.llm import dense, tokens
 from slipcoach.llm.urlrules import host_and_path
+from slipcoach.plans import shared as scratch
 
 #: The languages told apart; their number bounds the model's size (128 KB each).
 LANGS = ("en", "fr", "de", "es")

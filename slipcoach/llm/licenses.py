@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import scratch, tokens
+from slipcoach.llm import tokens
+from slipcoach.plans import shared as scratch
 
 #: Phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -44,6 +45,23 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "may not use this file except in compliance with the license"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 3"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 2"),
+    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", "gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero general public license"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("mit", "spdx license identifier mit", "license identifier mit"),
+    ("apache-2.0", "spdx license identifier apache 2 0", "license identifier apache 2 0"),
+    ("gpl-2.0", "spdx license identifier gpl 2 0", "license identifier gpl 2 0"),
+    ("gpl-3.0", "spdx license identifier gpl 3 0", "license identifier gpl 3 0"),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause", "license identifier bsd 3 clause"),
+    ("mpl-2.0", "spdx license identifier mpl 2 0", "license identifier mpl 2 0"),
 )
 #: Places of each key phrase, those of its rarest words, that must all vote for a candidate, and the part of a template that must stand in place.
 VOTES, IN_PLACE = 3, 0.7

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import scratch
+from slipcoach.plans import shared as scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, "mix"

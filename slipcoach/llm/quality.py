@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipcoach.llm import scratch
+from slipcoach.plans import shared as scratch
 
 #: Frequent function words of the languages that the references know, in no particular order.
 COMMON = (

@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipcoach.llm import scratch, tokens
+from slipcoach.llm import tokens
+from slipcoach.plans import shared as scratch
 
 MATCH, COVERAGE = 4, 0.6
 #: Bits of the filter of seeds: a sixteenth of them set, and no more than 2^27 (16 MB) however many seeds there are.

@@ -28,9 +28,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+
+from slipcoach.plans import shared as scratch
 from pyspark.sql import functions as F
 
-from slipcoach.llm import scratch
 
 LEAST_BYTES = 0
 #: Largest archive, largest read, largest gap that a read runs over.
