@@ -269,3 +269,25 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://far:7077")
     with pytest.raises(ValueError):
         shared.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_the_lens_and_the_ladder_give_the_counts_found_by_hand(spark):
+    """Counts taken from the tables by separate SQL when the lens was drawn up; no constant of the package goes into them."""
+    from slipcoach.operators import views
+    from slipcoach.plans import lens
+
+    t = lens.canonical(spark, "/root/testdata/sf0.01")
+    assert {r.table_name: r.rows for r in views.table_counts(t).collect()} == {"operators": 100, "stations": 1500, "trains": 2000, "schedules": 60000}
+    assert t.schedules.filter("origin_id = destination_id").count() == 41
+    assert t.schedules.join(t.stations, t.schedules.destination_id == t.stations.station_id, "left_anti").count() == 47
+    f = lens.feed(spark, "/root/testdata/sf0.01")
+    trips = classify.classify_gtfs_trips(f["stop_times"], cleaning.filter_rail_trips(f["trips"], cleaning.filter_rail_routes(f["routes"])), f["routes"], enable_ml=False)
+    found = {(r.classification_method, r.train_type): r["count"] for r in trips.filter("night_percentage is not null").groupBy("classification_method", "train_type").count().collect()}  # trips with calls
+    assert found == {("rule", "night"): 959, ("rule", "day"): 1685, ("heuristic", "night"): 2748, ("heuristic", "day"): 2313, ("default_day", "day"): 6295}
+
+
+def test_fixed_values_as_they_are_published():
+    assert schemas.RAIL_TYPES[2] == "Rail" and schemas.RAIL_TYPES[105] == "Sleeper Rail" and len(schemas.RAIL_TYPES) == 19 and schemas.OTHER_TYPES[3] == "Bus"
+    assert (schemas.CO2_TRAIN, schemas.CO2_PLANE, schemas.SLEEPER_TYPE, schemas.REFERENCE_DATE) == (0.005, 0.215, 105, "2025-01-15")
+    assert [b[2] for b in schemas.BINS] == ["0-200", "200-400", "400-600", "600-800", "800-1200", "1200+"] and {"nightjet", "couchette", "lit"} <= set(schemas.NIGHT_WORDS)
+    assert schemas.SCHEMAS["stations"]["latitude"].dataType.simpleString() == "decimal(10,8)" and not schemas.SCHEMAS["trains"]["train_type"].nullable
