@@ -8,8 +8,9 @@ product can count, and only that part is formed:
    first na - alpha + 1 and nb - alpha + 1 of theirs. These leading entries are joined by column; a cell whose sizes, places
    or parity sketches (which differ in no more bits than the sets in shingles) leave less than alpha is discarded.
 2. The counts. The columns of the rows that are left are cut into blocks by their leading bits, so that a block of a row
-   holds about BLOCK columns at most. Each block adds its overlap to its cell, and a cell whose sum stays below alpha is
-   discarded.
+   holds about 2^BLOCK_BITS columns at most. Each block adds its overlap to its cell, and a cell whose sum stays below alpha
+   is discarded. Columns are hashes of 64 bits, in the blocks of 48: that two different ones of a cell of a thousand columns
+   a side are taken for one has a chance below 10^-8, and counts only where one column decides.
 
 Equal rows are one row from the start. Large groups of near copies are contracted before cells are listed: in each column
 every row first meets the row with the fewest rarer columns; what links is one component, and only then cells of different
@@ -161,16 +162,45 @@ def _near(percent: int) -> Column:
     return apart <= F.col("na") + F.col("nb") - 2 * _alpha("na", "nb", percent)
 
 
+def _labelled(nodes: DataFrame) -> DataFrame:
+    """Adds label: whether the id is null, the id with its sign turned, the node, as bytes in this order.
+
+    Labels sort as (id, node), null ids last, so the least label of a component tells its id and no join has to look for it.
+    """
+    turned = F.unhex(F.lpad(F.hex(F.coalesce("id", F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return nodes.withColumn("label", F.concat(F.unhex(F.when(F.col("id").isNull(), "01").otherwise("00")), turned, F.col("node")))
+
+
+def _labels(ids: list, nodes: list[tuple[int, int]]) -> list[bytes]:
+    return [bytes([x is None]) + ((x or 0) + (1 << 63)).to_bytes(8) + high.to_bytes(8) + low.to_bytes(8) for x, (high, low) in zip(ids, nodes, strict=True)]
+
+
+def _id_of(label: Column) -> Column:
+    number = F.conv(F.hex(F.substring(label, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.substring(label, 1, 1) == F.unhex(F.lit("00")), number.cast("long"))
+
+
 def _side(rows: DataFrame, x: str, *more: Column) -> DataFrame:
     """Columns of one side of a cell."""
-    return rows.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("id").alias(f"id{x}"), *(F.col(k).alias(f"{x}_{k}") for k in _LANE), *more)
+    return rows.select(F.col("label").alias(x), F.col("n").alias(f"n{x}"), *(F.col(k).alias(f"{x}_{k}") for k in _LANE), *more)
+
+
+_CELL = ["a", "b", "na", "nb"]
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The leading 48 bits of sorted columns, six bytes each."""
+    return np.unique(grams >> _U(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-_CELL = ["a", "b", "na", "nb", "ida", "idb"]
+def _unpacked(blob: pa.Buffer) -> np.ndarray:
+    out = np.zeros((blob.size // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(_U)
 
 
 def _wanted_blocks(shingle: int, percent: int, flags, block_bits: int) -> Callable:
-    """(id, node, level, block, columns) of the rows that flags lets through, at each level that a partner may ask for."""
+    """(label, level, block, columns) of the rows that flags lets through, at each level that a partner may ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = flags.value
@@ -185,7 +215,7 @@ def _wanted_blocks(shingle: int, percent: int, flags, block_bits: int) -> Callab
                 for level in range(_level(n, block_bits), _level(100 * n // percent, block_bits) + 1):
                     block = (grams >> _U(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
                     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                    rows += [(ids[row], node, level, int(block[b]), grams[b:e].tobytes()) for b, e in zip(first, [*first[1:], n], strict=True)]
+                    rows += [(ids[row], node, level, int(block[b]), _packed(grams[b:e])) for b, e in zip(first, [*first[1:], n], strict=True)]
                     held += n
                     if held > 1 << 18:
                         yield _block_rows(rows)
@@ -197,9 +227,9 @@ def _wanted_blocks(shingle: int, percent: int, flags, block_bits: int) -> Callab
 
 
 def _block_rows(rows: list) -> pa.RecordBatch:
-    high, low = (np.array([x[1][k] for x in rows], _U) for k in (0, 1))
-    ids, levels, blocks, grams = (pa.array([x[k] for x in rows], t) for k, t in ((0, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.binary())))
-    return pa.RecordBatch.from_arrays([ids, tokens.binary16(high, low), levels, blocks, grams], names=["id", "node", "level", "block", "columns"])
+    labels = pa.array(_labels([x[0] for x in rows], [x[1] for x in rows]), pa.binary())
+    levels, blocks, grams = (pa.array([x[k] for x in rows], t) for k, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.binary())))
+    return pa.RecordBatch.from_arrays([labels, levels, blocks, grams], names=["label", "level", "block", "columns"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +237,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         met = np.zeros(len(batch), np.int64)
         for k, (x, y) in enumerate(zip(batch.column("ca"), batch.column("cb"), strict=True)):
-            both = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), _U) for v in (x, y)]))
+            both = np.sort(np.concatenate([_unpacked(v.as_buffer()) for v in (x, y)]))
             met[k] = int((both[1:] == both[:-1]).sum())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb", "block")), pa.array(met)], names=["a", "b", "na", "nb", "block", "met"])
 
@@ -218,19 +248,18 @@ def _links(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     cells = scratch.save(cells.select(_CELL), "cells")
     # the filter only spares work: rows it lets through by chance find no cell in the join below
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << WANTED_BITS))
-    words = cells.select(F.explode(F.array(slot("ida"), slot("idb"))).alias("slot"))
-    words = words.groupBy((F.col("slot").bitwiseAND(F.lit(~63))).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    words = cells.select(F.explode(F.array(slot(_id_of(F.col("a"))), slot(_id_of(F.col("b"))))).alias("slot"))
+    words = words.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
     flags = np.zeros((1 << WANTED_BITS) // 64, np.int64)
     got = words.toArrow()  # at most 2^17 rows
-    flags[got.column("at").to_numpy() >> 6] = got.column("bits").to_numpy()
+    flags[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(flags.view(np.uint8))
-    blocks = texts.select("id", "text", slot("id").alias("slot")).mapInArrow(_wanted_blocks(shingle, percent, shared, BLOCK_BITS), "id long, node binary, level int, block int, columns binary")
+    blocks = texts.select("id", "text", slot("id").alias("slot")).mapInArrow(_wanted_blocks(shingle, percent, shared, BLOCK_BITS), "label binary, level int, block int, columns binary")
     blocks = scratch.save(blocks, "blocks")
     over = lambda n: F.when(F.col(n) > 1 << BLOCK_BITS, F.length(F.bin(F.shiftright(F.col(n) - 1, BLOCK_BITS)))).otherwise(0)
     asked = cells.withColumn("level", F.greatest(over("na"), over("nb"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, level) - 1"))))
-    part = lambda x: blocks.select(F.col("node").alias(x), "level", "block", F.col("id").alias(f"_{x}"), F.col("columns").alias(f"c{x}"))
-    full = asked.join(part("a"), ["a", "level", "block"]).filter(F.col("ida").eqNullSafe(F.col("_a"))).drop("_a")
-    full = full.join(part("b"), ["b", "level", "block"]).filter(F.col("idb").eqNullSafe(F.col("_b")))
+    part = lambda x: blocks.select(F.col("label").alias(x), "level", "block", F.col("columns").alias(f"c{x}"))
+    full = asked.join(part("a"), ["a", "level", "block"]).join(part("b"), ["b", "level", "block"])
     met = full.select("a", "b", "na", "nb", "block", "ca", "cb").mapInArrow(_met, "a binary, b binary, na long, nb long, block int, met long")
     met = met.groupBy("a", "b", "na", "nb", "block").agg(F.max("met").alias("met"))  # a row that repeats its id counts once
     out = met.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met")).filter(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met")))
@@ -255,14 +284,13 @@ def _heads(postings: DataFrame) -> DataFrame:
 
 def _listed(blocks: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Cells of different components in columns of more than two rows (the only cell of two rows has met)."""
-    rooted = nodes.join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
-    wide = blocks.filter("held > 2").select("gram", "low", "high", "key", "place")
+    rooted = nodes.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.xxhash64(F.coalesce("root", "label")))
+    wide = blocks.filter("held > 2").select("gram", "third", "key", "place")
     labelled = wide.join(rooted.select("key", "root"), "key")
-    third = F.max((F.col("key") != F.col("low")) & (F.col("key") != F.col("high")))
-    mixed = labelled.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), third.alias("third"), F.count("*").alias("held"))
+    mixed = labelled.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("third").alias("third"), F.count("*").alias("held"))
     mixed = scratch.save(mixed.filter("x != y AND third").select("gram", F.ceil(F.col("held") / SQUARE).cast("int").alias("stripes")), "mixed")
     rows = wide.select("gram", "key", "place").join(mixed, "gram").distinct().join(rooted, "key")
-    rows = scratch.save(rows.withColumn("stripe", F.pmod(F.xxhash64("node"), F.col("stripes")).cast("int")), "open")
+    rows = scratch.save(rows.withColumn("stripe", F.pmod(F.xxhash64("label"), F.col("stripes")).cast("int")), "open")
     place = lambda x: (F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}"), F.col("stripe").alias(f"s{x}"))
     down = _side(rows, "a", *place("a"), "gram", F.explode(F.expr("sequence(stripe, stripes - 1)")).alias("other"))
     across = _side(rows, "b", *place("b"), "gram", F.explode(F.expr("sequence(0, stripe)")).alias("other"))
@@ -272,36 +300,37 @@ def _listed(blocks: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int
     met = down.join(across, [*at, once, F.col("ra") != F.col("rb"), _sized(percent), _near(percent)])
     turned = F.col("a") > F.col("b")
     swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
-    return met.select(swap("a", "b"), swap("b", "a"), swap("na", "nb"), swap("nb", "na"), swap("ida", "idb"), swap("idb", "ida")).distinct()
+    return met.select(swap("a", "b"), swap("b", "a"), swap("na", "nb"), swap("nb", "na")).distinct()
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links), group (128-bit name of the component)."""
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links), group (name of the component), node (of its set)."""
     spark = docs.sparkSession
     texts = _rows(docs, id_col, text_col)
     both = scratch.save(texts.mapInArrow(_profile(shingle), _PROFILE_TYPES), "profile")
     profile = both.filter("slice is null")
     sketch = spark.sparkContext.broadcast(_frequencies(both.filter("slice is not null").select("slice", "cells")))
     nodes = profile.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", "key", *_LANE)))
-    nodes = scratch.save(nodes, "nodes")
+    nodes = scratch.save(_labelled(nodes), "nodes")
 
     # keys are 64 bits of the rows' names; a cell of keys stands for the cells of all rows with them
     postings = texts.mapInArrow(_leading(shingle, percent, sketch), "gram long, key long, n int, place int").repartition("gram")
-    blocks = scratch.save(postings.join(_heads(postings), "gram"), "columns")
+    third = (F.col("key") != F.col("low")) & (F.col("key") != F.col("high"))
+    blocks = scratch.save(postings.join(_heads(postings), "gram").withColumn("third", third).drop("low", "high"), "columns")
     met = blocks.filter("key != head").select(F.col("key").alias("ka"), F.col("head").alias("kb"), F.col("n").alias("na"), F.col("head_n").alias("nb"), F.col("place").alias("pa"), F.col("head_place").alias("pb"))
     met = met.filter(_sized(percent)).select("ka", "kb").distinct()
     first = met.join(_side(nodes, "a", F.col("key").alias("ka")), "ka").join(_side(nodes, "b", F.col("key").alias("kb")), "kb").filter(_near(percent))
     links = _links(first, texts, shingle, percent)
-    more = _links(_listed(blocks, nodes, scratch.save(components(links), "joined"), percent), texts, shingle, percent)
-    scratch.drop(blocks)
-    roots = components(links.union(more))
-
-    found = profile.select("id", "n", "node").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    alone = found.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("group"), F.lit(None).cast("binary").alias("node"))
-    linked = found.filter("n > 0")
-    least = linked.groupBy("group").agg(F.min("id").alias("component_id"))
-    out = linked.join(least, "group").select("id", F.col("n").alias("n_shingles"), "component_id", "group", "node")
-    return out.union(alone).withColumnRenamed("id", id_col)
+    joined = scratch.save(components(links), "joined")
+    more = _links(_listed(blocks, nodes, joined, percent), texts, shingle, percent)
+    scratch.drop(blocks, links)
+    roots = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+    # components of nodes, a row each; documents meet their node last, and a node with very many of them is split by the skew join
+    named = nodes.select("node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("group"))
+    found = profile.select("id", "n", "node").join(named, "node", "left")
+    component = F.when(F.col("n") > 0, _id_of(F.col("group"))).otherwise(F.col("id"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "group", F.when(F.col("n") > 0, F.col("node")).alias("node"))
 
 
 def _named(shingle: int) -> Callable:

@@ -123,6 +123,13 @@ def test_small_blocks_and_squares_give_the_same_links(spark, monkeypatch):
     check_components(docs)
 
 
+def test_ids_of_any_sign(spark):
+    text, most = "one two three four five six", (1 << 63) - 1
+    docs = spark.createDataFrame([(k, text) for k in (None, 7, -5, 0, most, -most - 1)] + [(k, f"{text} seven eight {k}") for k in (most, None)], "doc_id long, text string")
+    check_components(docs)
+    assert {r.component_id for r in jaccard.cluster(docs).filter("n_shingles = 3").collect()} == {-most - 1}
+
+
 def test_ids_that_are_no_numbers(spark):
     docs = spark.createDataFrame([("a", "one two three four five"), ("b", "one two three four five"), ("7", "one two three four five")], "doc_id string, text string")
     got = jaccard.cluster(docs).select("doc_id", "component_id").collect()
