@@ -71,7 +71,7 @@ def _letters(hashes: str) -> Column:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and __chars and __common, arrays of counts.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, __length, and __chars and __common, arrays of counts.
 
     The last count of each array is that of all the rest. Every text is split once; each word is hashed once, and windows
     are hashes of five hashes.
@@ -100,7 +100,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     letters = [chr(FIRST_LETTER + k) for k in range(len(COMMON))]
     known = F.array(*(F.length("__hits") - F.length(F.replace("__hits", F.lit(x), F.lit(""))) for x in letters))
     out = (
-        out.withColumn("word_chars", (F.length("__t") - F.get("__chars", SPACE_CLASS)).cast("long"))
+        out.withColumn("__length", F.length("__t"))
+        .withColumn("word_chars", (F.col("__length") - F.get("__chars", SPACE_CLASS)).cast("long"))
         .withColumn("n_symbols", F.get("__chars", SYMBOL_CLASS).cast("long"))
         .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
@@ -123,24 +124,28 @@ def references(histograms: DataFrame, lang_col: str = "lang") -> DataFrame:
     return scratch.save(total.select("__lang", shares("__chars", len(chars)).alias("__of_chars"), shares("__common", len(common)).alias("__of_common")), "references")
 
 
-def distance(counts: str, shares: str) -> Column:
-    """Jensen-Shannon distance of an array of counts from an array of shares; 0 if nothing is counted."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+def distance(counts: str, shares: str, total: str | None = None) -> Column:
+    """Jensen-Shannon distance of an array of counts from an array of shares that sum to 1; 0 if nothing is counted.
 
-    def part(x: Column, n: Column) -> Column:
-        p = lambda c: F.when(c > 0, c * F.log2(2 * c / (x + n))).otherwise(0.0)
-        return p(x) + p(n)
+    What is not counted gives its share, so only counts above 0 are worked out. total: a column with the sum of the counts,
+    which saves adding them up for every one of them.
+    """
+    whole = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) if total is None else F.col(total)
+
+    def part(x: Column) -> Column:
+        p, q = x["p"] / whole, x["q"]
+        return p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0) - q
 
-    both = F.zip_with(F.transform(counts, lambda c: c / total), shares, part)
-    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2))).otherwise(0.0)
+    held = F.filter(F.zip_with(counts, shares, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda x: x["p"] > 0)
+    return F.when(whole > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(held, F.lit(1.0), lambda a, x: a + part(x)) / 2))).otherwise(0.0)
 
 
 def judge(histograms: DataFrame, refs: DataFrame, lang_col: str = "lang") -> DataFrame:
     """Rows of with_counts, with char_distance, word_distance and kept."""
     out = histograms.join(refs, F.col(lang_col).cast("string").eqNullSafe(F.col("__lang")))
-    out = out.withColumn("char_distance", distance("__chars", "__of_chars")).withColumn("word_distance", distance("__common", "__of_common"))
+    out = out.withColumn("char_distance", distance("__chars", "__of_chars", "__length")).withColumn("word_distance", distance("__common", "__of_common", "n_words"))
     near = (F.col("n_words") < SURE_WORDS) | ((F.col("char_distance") <= CHAR_LIMIT) & (F.col("word_distance") <= WORD_LIMIT + WORD_NOISE / F.sqrt("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & near).drop("__lang", "__of_chars", "__of_common", "__chars", "__common")
+    return out.withColumn("kept", ~F.col("base_failed") & near).drop("__lang", "__of_chars", "__of_common", "__chars", "__common", "__length")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -153,5 +158,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns. The texts are read once: rows and histograms are saved side by side."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{lang_col}`").cast("string").alias("__of"))
-    seen = scratch.save(with_counts(whole, "__text").select("__row", "__of", "n_words", "base_failed", "__chars", "__common"), "judged")
+    seen = scratch.save(with_counts(whole, "__text").select("__row", "__of", "n_words", "base_failed", "__chars", "__common", "__length"), "judged")
     return judge(seen, references(seen, "__of"), "__of").filter("kept").select("__row.*")
