@@ -157,3 +157,11 @@ FROM named d LEFT JOIN nodes ON d.name = nodes.name LEFT JOIN least ON nodes.nod
 """
 
 QUALITY, LICENSES = _op2(), _op3()
+
+BLOCK_NAMES = r"""
+WITH bared AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+ranked AS (
+  SELECT doc_id, bare, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept FROM bared
+  WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM ranked
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipcoach.llm import brown, jaccard, langid, licenses, mixing, oracles, quality, sharding, tiling, urlrules, warc
+from slipcoach.llm import blocknames, brown, jaccard, langid, licenses, mixing, oracles, quality, sharding, tiling, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_divergence": op2_quality_divergence,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_benchmark_tiling": op9_benchmark_tiling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_block_names": op13_block_names,
 }
 ORACLE = {
     "op1_source_mixing": oracles.MIXING,
@@ -72,4 +77,5 @@ ORACLE = {
     "op6_warc_index": oracles.WARC,
     "op8_url_rules": oracles.URL_RULES,
     "op10_ngram_jaccard_join": oracles.JACCARD,
+    "op13_block_names": oracles.BLOCK_NAMES,
 }
