@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,14 +76,17 @@ def drop(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._scratch_path)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1, keep: Sequence[str] | None = None) -> DataFrame:
     """df with dense numbers start, start+1, ... in the given total order, without a single-task window.
 
+    keep: the columns that are still wanted once the order is known, all if none are named.
+
     Rows are dealt by range and sorted; monotonically_increasing_id then holds the partition and the place in it, and
     only one count a partition is summed up on the way. The numbered rows are saved first, so a rerun cannot deal anew.
     """
     at = F.monotonically_increasing_id()
-    dealt = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "numbered")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)
+    dealt = save(placed.select(*keep, "__at") if keep else placed, "numbered")
     dealt = dealt.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = dealt.groupBy("__part").agg((F.max("__row") + 1).alias("__held"))
     before = sizes.selectExpr("__part", "sum(__held) OVER (ORDER BY __part) - __held AS __before")  # a row for each partition
