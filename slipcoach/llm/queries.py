@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipcoach.llm import blocknames, brown, jaccard, langid, licenses, mixing, oracles, quality, sharding, tiling, urlrules, warc
+from slipcoach.llm import blocknames, brown, jaccard, langid, licenses, mixing, oracles, prefixtrie, quality, sharding, tiling, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.classes(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_benchmark_tiling": op9_benchmark_tiling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_block_names": op13_block_names,
 }
 ORACLE = {
@@ -77,5 +82,6 @@ ORACLE = {
     "op6_warc_index": oracles.WARC,
     "op8_url_rules": oracles.URL_RULES,
     "op10_ngram_jaccard_join": oracles.JACCARD,
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
     "op13_block_names": oracles.BLOCK_NAMES,
 }
