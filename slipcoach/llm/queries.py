@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipcoach.llm import blocknames, brown, jaccard, langid, licenses, mixing, oracles, prefixtrie, quality, sharding, tiling, urlrules, warc
+from slipcoach.llm import blocknames, brown, crosstok, jaccard, langid, licenses, mixing, oracles, prefixtrie, quality, sharding, tiling, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.rebuilt_nodes(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(table(spark, sf_dir, "documents"))
+
+
 def op13_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.classes(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_benchmark_tiling": op9_benchmark_tiling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
     "op13_block_names": op13_block_names,
 }
 ORACLE = {
