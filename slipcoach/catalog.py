@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from slipcoach.functions import timetable as tt
 from slipcoach.operators import classify, cleaning, compare, dashboard, geo, merge, ml, validate, views
 from slipcoach.oracles import ORACLE
-from slipcoach.plans import lens, schemas
-from slipcoach.plans.shared import place, remove
+from slipcoach.plans import chain, lens, schemas
+from slipcoach.plans.shared import place, remove, save
 from slipcoach.sources import feeds, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,17 +102,27 @@ _register("split_valid_rejected", lambda t: validate.validate(t.schedules, "sche
 _register("validate_all", lambda t: views.table_counts(validate.validate_all(_coded(t))))
 
 
+def _planted(t: schemas.Tables) -> schemas.Tables:
+    """Nulls in columns that may be null and in some that may not."""
+    none = lambda c, by, n: F.when(F.col(by) % n != 0, F.col(c)).alias(c)
+    return t._replace(
+        operators=t.operators.withColumn("source_name", none("source_name", "operator_id", 3)), stations=t.stations.withColumn("name", none("name", "station_id", 50)),
+        schedules=t.schedules.withColumns({"duration_min": none("duration_min", "schedule_id", 7), "departure_time": none("departure_time", "schedule_id", 11), "source_name": none("source_name", "schedule_id", 13)}),
+    )
+
+
 def _reports(t: schemas.Tables) -> DataFrame:
-    each = [validate.schema_report(df, name) for name, df in t._asdict().items()]
+    each = [validate.schema_report(df, name) for name, df in _planted(t)._asdict().items()]
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return each[0].union(each[1]).union(each[2]).union(each[3]).select("schema_name", "row_count", "valid", *(joined(c) for c in ("missing_columns", "extra_columns", "type_mismatches")))
+    broken = F.array_join(F.transform(F.array_sort(F.map_entries("null_violations")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("null_violations")
+    return each[0].union(each[1]).union(each[2]).union(each[3]).select("schema_name", "row_count", "valid", *(joined(c) for c in ("missing_columns", "extra_columns", "type_mismatches")), broken)
 
 
 _register("schema_report", _reports)
 
 
 def _metrics(t: schemas.Tables) -> DataFrame:
-    tables = _coded(t)._asdict()
+    tables = _planted(_coded(t))._asdict()
     return validate.quality_metrics_record(tables, {k: validate.validate(v, k)[0] for k, v in tables.items()})
 
 
@@ -284,9 +294,9 @@ _AGAIN = ["ASIA", "EUROPE"]
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stations, then those of two regions with new cities."""
     path, rows = place(spark, "upsert"), lens.canonical(spark, sf_dir).stations.drop("station_id")
-    store.write_canonical_upsert(rows, path, "stations")
-    out = store.write_canonical_upsert(rows.filter(F.col("source_name").isin(_AGAIN)).withColumn("city", F.lit("new")), path, "stations")
-    return out.select("name", "city", "country", "source_name")
+    store.write_canonical_upsert(rows, path, "stations", id_column="station_id")
+    out = store.write_canonical_upsert(rows.filter(F.col("source_name").isin(_AGAIN)).withColumn("city", F.lit("new")), path, "stations", id_column="station_id")
+    return out.select("station_id", "name", "city", "country", "source_name")
 
 
 QUERIES["write_canonical_upsert"] = _upsert
@@ -305,31 +315,48 @@ QUERIES["touch_updated_at"] = _touched
 
 
 _LOADED = {
-    "operators": ("name", "country", "website", "source_name"), "stations": ("name", "country", "latitude", "longitude", "uic_code", "source_name"),
-    "trains": ("train_number", "operator_id", "train_type", "category", "route_name", "source_name"),
-    "schedules": ("train_id", "origin_id", "destination_id", "departure_time", "arrival_time", "duration_min", "source_name"),
+    "operators": ("operator_id", "name", "country", "website", "source_name"), "stations": ("station_id", "name", "city", "country", "latitude", "longitude", "uic_code", "source_name"),
+    "trains": ("train_id", "train_number", "operator_id", "train_type", "category", "route_name", "source_name"),
+    "schedules": ("schedule_id", "train_id", "origin_id", "destination_id", "departure_time", "arrival_time", "duration_min", "frequency", "source_name"),
 }
 
 
-def _loads(table: str) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        merged = dict(zip(schemas.SCHEMAS, _merged(lens.feed(spark, sf_dir)), strict=True))[table]
-        path = place(spark, table)
-        store.load(table, merged, path)
-        return store.load(table, merged, path).select(*_LOADED[table])
+def _loaded(spark: SparkSession, sf_dir: str, until: str) -> schemas.Tables:
+    """The merged tables loaded twice: first those rows that the first source has, then all of them with other websites, cities, route names and frequencies."""
+    merged = {k: save(df, k) for k, df in zip(schemas.SCHEMAS, _merged(lens.feed(spark, sf_dir)), strict=True)}
+    folder = place(spark, "loaded")
+    store.load_all({k: df.filter("source_name = 'renfe'") for k, df in merged.items()}, folder, until)
+    merged["operators"] = merged["operators"].withColumn("agency_url", F.concat("agency_url", F.lit("/2")))
+    merged["stations"] = merged["stations"].withColumn("city", F.lit("second"))
+    merged["trains"] = merged["trains"].withColumn("route_long_name", F.concat("route_long_name", F.lit(" (2)")))
+    merged["schedules"] = merged["schedules"].withColumn("frequency", F.lit("daily"))
+    return store.load_all(merged, folder, until)
 
-    return query
+
+def _loads(table: str) -> Query:
+    return lambda spark, sf_dir: getattr(_loaded(spark, sf_dir, table), table).select(*_LOADED[table])
 
 
 for _table in schemas.SCHEMAS:
     QUERIES[f"load_{_table}"] = _loads(_table)
+QUERIES["loaded_operator_summary"] = lambda spark, sf_dir: views.v_operator_summary(_loaded(spark, sf_dir, "schedules"))
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's files through the whole chain; what the stored tables then say of each operator."""
+    path, folder = place(spark, "feed"), place(spark, "chain")
+    _write_feed(spark, sf_dir, path)
+    return views.v_operator_summary(chain.run(spark, {"renfe": (path, "ES")}, folder))
+
+
+QUERIES["chain_operator_summary"] = _chain
 
 
 def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, rows = place(spark, "slice"), lens.canonical(spark, sf_dir).stations
     store.replace_source_slice(rows, path)
     store.replace_source_slice(rows.filter("source_name = 'ASIA' and city is not null"), path)
-    return spark.read.parquet(path).select("station_id", "name", "city", "country", "source_name")
+    return store.read_table(spark, path).select("station_id", "name", "city", "country", "source_name")
 
 
 QUERIES["replace_source_slice"] = _slice

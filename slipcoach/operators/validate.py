@@ -139,7 +139,8 @@ def quality_metrics_record(extracted: Mapping[str, DataFrame], loaded: Mapping[s
         held = [f.name for f in SCHEMAS[entity] if f.name in loaded[entity].columns and not f.nullable]
         broken = sum((F.count(F.when(F.col(c).isNull(), 1)) for c in held), F.lit(0))
         stored = loaded[entity].groupBy("source_name").agg(F.count("*").alias("loading.rows_loaded"), broken.alias("validation.null_violations"))
-        wide = first.join(stored, "source_name", "left").na.fill(0).withColumns({
+        stored = stored.withColumnRenamed("source_name", "__of")
+        wide = first.join(stored, F.col("source_name").eqNullSafe(F.col("__of")), "left").drop("__of").na.fill(0).withColumns({
             "loading.rows_attempted": F.col("`transformation.rows_after`"), "loading.rows_failed": F.greatest(F.col("`transformation.rows_after`") - F.col("`loading.rows_loaded`"), F.lit(0)),
             "validation.type_mismatches": F.lit(len(_mismatches(loaded[entity], entity))),
         })
@@ -154,7 +155,7 @@ def quality_summary(metrics: DataFrame) -> DataFrame:
     """Totals over sources and entities."""
     total = lambda m: F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0)).cast("long")
     return metrics.agg(
-        F.countDistinct("source_name").alias("total_sources"), F.countDistinct("source_name", "entity").alias("total_entities"), total("rows_extracted").alias("total_extracted"), total("duplicates_removed").alias("total_duplicates_removed"),
+        F.countDistinct("source_name").alias("total_sources"), F.countDistinct(F.struct("source_name", "entity")).alias("total_entities"), total("rows_extracted").alias("total_extracted"), total("duplicates_removed").alias("total_duplicates_removed"),
         total("nulls_found").alias("total_nulls_found"), total("nulls_filled").alias("total_nulls_filled"), total("rows_rejected").alias("total_rows_rejected"), total("rows_loaded").alias("total_rows_loaded"),
         total("rows_failed").alias("total_rows_failed"), total("null_violations").alias("total_null_violations"), total("type_mismatches").alias("total_type_mismatches"),
     )

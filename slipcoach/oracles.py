@@ -172,7 +172,7 @@ _PLAIN = {
     "reference_night_labels": "SELECT trip_id, 'night' AS train_type, 'rule' AS classification_method, CAST(100 AS DOUBLE) AS night_percentage FROM trips",
     "coalesce_columns": "SELECT route_id, coalesce(route_long_name, route_short_name) AS shown FROM routes",
     "endpoint_row_counts": "SELECT 'agencies' AS endpoint, count(*) AS rows FROM agencies UNION ALL SELECT 'routes', count(*) FROM routes UNION ALL SELECT 'stops', count(*) FROM stops UNION ALL SELECT 'trip_stop', count(*) FROM (SELECT DISTINCT trip_id, stop_id, stop_sequence FROM stop_times) UNION ALL SELECT 'trips', count(*) FROM trips",
-    "write_canonical_upsert": "SELECT name, CASE WHEN source_name IN ('ASIA', 'EUROPE') THEN 'new' ELSE city END AS city, country, source_name FROM stations",
+    "write_canonical_upsert": "SELECT row_number() OVER (ORDER BY name, country, source_name) AS station_id, name, CASE WHEN source_name IN ('ASIA', 'EUROPE') THEN 'new' ELSE city END AS city, country, source_name FROM stations",
     "catalog_summary": "SELECT count(*) AS total_feeds, count(*) FILTER (e) AS european_feeds, count(DISTINCT c) AS countries, count(DISTINCT CASE WHEN e THEN c END) AS european_countries FROM (SELECT *, c <> 'US' AND operator_id % 5 <> 0 AS e FROM (SELECT operator_id, ['FR', 'DE', 'US', 'UK'][operator_id % 4 + 1] AS c FROM operators))",
     "replace_source_slice": "SELECT station_id, name, city, country, source_name FROM stations WHERE source_name <> 'ASIA' OR city IS NOT NULL",
 }
@@ -241,28 +241,28 @@ _FEEDS |= {
     "ml_features": "SELECT trip_id, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS f_{c}" for c in ("duration_hours", "night_percentage", "departure_hour", "arrival_hour", "overnight_flag"))
     + f", CAST({_BERTH} AS DOUBLE) AS f_has_couchette, CAST({_BERTH} OR {_SLEEPER} AS DOUBLE) AS f_has_sleeper, CAST({_SLEEPER} AS DOUBLE) AS f_is_sleeper_route, CAST({_SAYS_ANY(NIGHT_WORDS)} AS DOUBLE) AS f_has_keyword_night FROM evidence",
     "merge_summary": " UNION ALL ".join(f"SELECT '{k}' AS entity, count(*) AS sources FROM sources WHERE EXISTS (SELECT 1 FROM {v})" for k, v in (("operators", "agencies"), ("stations", "stops"), ("routes", "routes"))),
-    "load_operators": "SELECT trim(agency_name) AS name, 'EU' AS country, agency_url AS website, source_name FROM merged_ops",
-    "load_stations": "SELECT trim(stop_name) AS name, CASE pr WHEN 0 THEN 'ES' ELSE 'BE' END AS country, arg_min(stop_lat, stop_id) AS latitude, arg_min(stop_lon, stop_id) AS longitude, source_name || '_' || min(stop_id) AS uic_code, source_name FROM stops, sources GROUP BY 1, pr, source_name",
-    "load_trains": "SELECT trip_id AS train_number, operator_id, 'day' AS train_type, route_short_name AS category, route_long_name AS route_name, source_name FROM merged_trains",
-    "load_schedules": """SELECT train_id, so.station_id AS origin_id, se.station_id AS destination_id, CAST('2025-01-15' AS TIMESTAMP) + to_seconds(d) AS departure_time, CAST('2025-01-15' AS TIMESTAMP) + to_seconds(d + 60 * duration_min) AS arrival_time, duration_min, t.source_name
-      FROM merged_rides r JOIN (SELECT *, row_number() OVER (ORDER BY pr, trip_id) AS train_id FROM merged_trains) t ON t.bare = r.trip_id AND t.source_name = r.source_name JOIN merged_ends m ON m.trip_id = r.trip_id
-      JOIN numbered_stops so ON so.stop_id = t.source_name || '_' || o JOIN numbered_stops se ON se.stop_id = t.source_name || '_' || e""",
     "night_schedules_rebuild": "SELECT * FROM (SELECT CAST(substring(t.route_id, 2) AS BIGINT) AS train_id, CAST(o AS BIGINT) AS origin_id, CAST(e AS BIGINT) AS destination_id, CAST((CASE WHEN a % 86400 <= d % 86400 THEN a % 86400 - d % 86400 + 86400 ELSE a % 86400 - d % 86400 END) // 60 AS INT) AS duration_min FROM merged_ends m JOIN trips t ON m.trip_id = t.trip_id WHERE o IN (SELECT stop_id FROM stops) AND e IN (SELECT stop_id FROM stops)) WHERE origin_id <> destination_id AND duration_min > 0",
 }
-#: Of each table: its rows, the columns that must not be null, whether a country is filled, and when a row is valid.
+#: The tables with nulls planted in them.
+_PLANTED = {
+    "operators": f"(SELECT * REPLACE (CASE WHEN operator_id % 3 <> 0 THEN source_name END AS source_name) FROM {_CODED_OPERATORS})", "stations": f"(SELECT * REPLACE (CASE WHEN station_id % 50 <> 0 THEN name END AS name) FROM {_CODED_STATIONS})", "trains": "trains",
+    "schedules": "(SELECT * REPLACE (CASE WHEN schedule_id % 7 <> 0 THEN duration_min END AS duration_min, CASE WHEN schedule_id % 11 <> 0 THEN departure_time END AS departure_time, CASE WHEN schedule_id % 13 <> 0 THEN source_name END AS source_name) FROM schedules)",
+}
+#: Of each table: its rows, the columns that must not be null, and whether a country is filled.
 _ENTITIES = (
-    ("operators", _CODED_OPERATORS, ("name", "source_name"), True), ("stations", _CODED_STATIONS, ("name", "source_name"), True),
-    ("trains", "trains", ("train_number", "train_type", "source_name"), False), ("schedules", "schedules", ("source_name",), False),
+    ("operators", _CODED_OPERATORS, ("name",), True), ("stations", _CODED_STATIONS, ("name",), True),
+    ("trains", "trains", ("train_number", "train_type"), False), ("schedules", "schedules", ("departure_time", "arrival_time", "duration_min"), False),
 )
 
 
 def _quality(entity: str, rows: str, strict: tuple[str, ...], country: bool) -> str:
     key = {"operators": "operator_id", "stations": "station_id", "trains": "train_id", "schedules": "schedule_id"}[entity]
     nulls = " + ".join(f"({c} IS NULL)::BIGINT" for c in strict)
+    valid = _PLAIN[f"validate_{entity}"].replace(f"FROM {rows} ", f"FROM {_PLANTED[entity]} ")
     return (
         f"SELECT source_name, '{entity}' AS entity, CAST(sum(n) AS BIGINT) AS extracted, CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum(n * ({nulls})) AS BIGINT) AS nulls, {'count(*) FILTER (country IS NULL)' if country else '0'} AS filled, "
         f"count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok) AS attempted, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS loaded "
-        f"FROM (SELECT *, {key} IN (SELECT {key} FROM ({_PLAIN[f'validate_{entity}']})) AS ok FROM (SELECT *, count(*) AS n FROM {rows} GROUP BY ALL)) GROUP BY source_name"
+        f"FROM (SELECT *, {key} IN (SELECT {key} FROM ({valid})) AS ok FROM (SELECT *, count(*) AS n FROM {_PLANTED[entity]} GROUP BY ALL)) GROUP BY source_name"
     )
 
 
@@ -275,4 +275,48 @@ _STEPS = {
     "loading": {"rows_attempted": "attempted", "rows_loaded": "loaded", "rows_failed": "greatest(attempted - loaded, 0)"}, "validation": {"null_violations": "0", "type_mismatches": "0"},
 }
 _PLAIN["quality_metrics_record"] = " UNION ALL ".join(f"SELECT source_name, entity, '{stage}' AS stage, '{m}' AS metric, CAST({x} AS BIGINT) AS value FROM ({_METRICS})" for stage, ms in _STEPS.items() for m, x in ms.items())
-ORACLE = {k: _sql(v) for k, v in _PLAIN.items()} | {k: _sql(v, _FEED) for k, v in _FEEDS.items()}
+
+#: Of each table: missing and extra columns of the lens, and those whose nulls are against the schema; written down apart from it.
+_SHAPES = (
+    ("operators", "source_agency_id", "operator_id", ("name",)), ("stations", "timezone", "station_id", ("name",)),
+    ("trains", "classification_reason,ml_night_probability,train_type_heuristic,train_type_ml,train_type_rule", "train_id", ("operator_id", "train_number", "train_type")),
+    ("schedules", "", "schedule_id", ("arrival_time", "departure_time", "destination_id", "duration_min", "origin_id", "train_id")),
+)
+_broken = lambda columns: "concat_ws(',', " + ", ".join(f"CASE WHEN count(*) > count({c}) THEN '{c}=' || (count(*) - count({c})) END" for c in columns) + ")"
+_PLAIN["schema_report"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS schema_name, count(*) AS row_count, '{missing}' = '' AND {_broken(strict)} = '' AS valid, '{missing}' AS missing_columns, '{extra}' AS extra_columns, '' AS type_mismatches, {_broken(strict)} AS null_violations FROM {_PLANTED[n]}" for n, missing, extra, strict in _SHAPES
+)
+#: What is stored after two loads: ids are dealt by key, those of the first source before the others.
+_LOADED = f"""{_FEED},
+loaded_ops AS (SELECT row_number() OVER (ORDER BY name, country, source_name) AS operator_id, * FROM (SELECT trim(agency_name) AS name, 'EU' AS country, agency_url || '/2' AS website, source_name, operator_id AS merged_id FROM merged_ops)),
+named_stops AS (
+  SELECT source_name, source_name || '_' || stop_id AS code, stop_id, trim(stop_name) AS name, CASE pr WHEN 0 THEN 'ES' ELSE 'BE' END AS country, TRY_CAST(stop_lat AS DOUBLE) AS lat, TRY_CAST(stop_lon AS DOUBLE) AS lon FROM stops, sources),
+loaded_stations AS (
+  SELECT row_number() OVER (ORDER BY source_name <> 'renfe', name, country, source_name) AS station_id, * FROM (
+    SELECT name, 'second' AS city, country, first(lat ORDER BY code) AS latitude, first(lon ORDER BY code) AS longitude, min(code) AS uic_code, source_name FROM named_stops GROUP BY name, country, source_name)),
+loaded_trains AS (
+  SELECT row_number() OVER (ORDER BY t.trip_id, o.operator_id) AS train_id, trip_id AS train_number, o.operator_id, 'day' AS train_type, route_short_name AS category, route_long_name || ' (2)' AS route_name, t.source_name, bare
+  FROM merged_trains t JOIN loaded_ops o ON o.merged_id = t.operator_id),
+loaded_schedules AS (
+  SELECT row_number() OVER (ORDER BY train_id, origin_id, destination_id, departure_time) AS schedule_id, * FROM (
+    SELECT train_id, so.station_id AS origin_id, se.station_id AS destination_id, CAST('2025-01-15' AS TIMESTAMP) + to_seconds(d) AS departure_time, CAST('2025-01-15' AS TIMESTAMP) + to_seconds(d + 60 * duration_min) AS arrival_time, duration_min, 'daily' AS frequency, r.source_name
+    FROM merged_rides r JOIN loaded_trains t ON t.bare = r.trip_id AND t.source_name = r.source_name JOIN merged_ends m ON m.trip_id = r.trip_id
+    JOIN named_stops a ON a.stop_id = o AND a.source_name = r.source_name JOIN loaded_stations so ON so.name = a.name AND so.country = a.country AND so.source_name = a.source_name
+    JOIN named_stops b ON b.stop_id = e AND b.source_name = r.source_name JOIN loaded_stations se ON se.name = b.name AND se.country = b.country AND se.source_name = b.source_name WHERE so.station_id <> se.station_id))"""
+_SUMMARY = "count(DISTINCT t.train_id) AS total_trains, count(DISTINCT CASE WHEN t.train_type = 'day' THEN t.train_id END) AS day_trains, count(DISTINCT CASE WHEN t.train_type = 'night' THEN t.train_id END) AS night_trains"
+_LOADS = {
+    "load_operators": "SELECT * EXCLUDE (merged_id) FROM loaded_ops", "load_stations": "SELECT * FROM loaded_stations", "load_trains": "SELECT * EXCLUDE (bare) FROM loaded_trains", "load_schedules": "SELECT * FROM loaded_schedules",
+    "loaded_operator_summary": f"SELECT o.operator_id, o.name AS operator_name, o.country, {_SUMMARY}, count(s.schedule_id) AS total_schedules, round(avg(s.duration_min), 0) AS avg_duration_min, CAST(NULL AS DOUBLE) AS avg_distance_km FROM loaded_ops o LEFT JOIN loaded_trains t ON t.operator_id = o.operator_id LEFT JOIN loaded_schedules s ON s.train_id = t.train_id GROUP BY ALL",
+}
+_KM = "round(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))), 1)"
+_CHAIN = f"""{_FEED},
+stored_ops AS (SELECT row_number() OVER (ORDER BY trim(agency_name)) AS operator_id, trim(agency_name) AS name, 'ES' AS country, agency_id FROM agencies),
+placed AS (SELECT stop_id, trim(stop_name) AS name, lat, lon FROM (SELECT *, CASE WHEN TRY_CAST(stop_lat AS DOUBLE) BETWEEN -90 AND 90 AND TRY_CAST(stop_lon AS DOUBLE) BETWEEN -180 AND 180 THEN TRY_CAST(stop_lat AS DOUBLE) END AS lat, CASE WHEN coalesce(TRY_CAST(stop_lat AS DOUBLE) BETWEEN -90 AND 90, true) AND TRY_CAST(stop_lon AS DOUBLE) BETWEEN -180 AND 180 THEN TRY_CAST(stop_lon AS DOUBLE) END AS lon FROM stops)),
+stored_stations AS (SELECT name, first(lat ORDER BY stop_id) AS lat, first(lon ORDER BY stop_id) AS lon FROM placed GROUP BY name),
+stored_trains AS (SELECT t.trip_id AS train_id, o.operator_id, f.train_type FROM rail_trips t JOIN rail_routes r ON r.route_id = t.route_id JOIN stored_ops o ON o.agency_id = r.agency_id JOIN final f ON f.trip_id = t.trip_id),
+stored_rides AS (
+  SELECT t.train_id, duration_min, {_KM} AS km FROM stored_trains t JOIN merged_rides r ON r.trip_id = t.train_id AND r.source_name = 'renfe' JOIN merged_ends m ON m.trip_id = t.train_id
+  JOIN placed x ON x.stop_id = o JOIN stored_stations a ON a.name = x.name JOIN placed y ON y.stop_id = e JOIN stored_stations b ON b.name = y.name WHERE a.name <> b.name)
+SELECT o.operator_id, o.name AS operator_name, o.country, {_SUMMARY}, count(s.train_id) AS total_schedules, round(avg(s.duration_min), 0) AS avg_duration_min, round(avg(s.km), 0) AS avg_distance_km
+FROM stored_ops o LEFT JOIN stored_trains t ON t.operator_id = o.operator_id LEFT JOIN stored_rides s ON s.train_id = t.train_id GROUP BY ALL"""
+ORACLE = {k: _sql(v) for k, v in _PLAIN.items()} | {k: _sql(v, _FEED) for k, v in _FEEDS.items()} | {k: _sql(v, _LOADED) for k, v in _LOADS.items()} | {"chain_operator_summary": f"WITH {lens.ORACLE},{_CHAIN}"}

@@ -16,7 +16,7 @@ SCHEMAS = {
         T.StructField("country", T.StringType(), True, {"role": "business_attr"}),
         T.StructField("website", T.StringType(), True, {"role": "business_attr"}),
         T.StructField("source_agency_id", T.StringType(), True, {"role": "source_id"}),
-        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+        T.StructField("source_name", T.StringType(), True, {"role": "source_id"}),
     ]),
     "stations": T.StructType([
         T.StructField("station_id", T.LongType(), False, {"role": "technical_id"}),
@@ -27,11 +27,11 @@ SCHEMAS = {
         T.StructField("longitude", T.DecimalType(11, 8), True, {"role": "business_attr"}),
         T.StructField("uic_code", T.StringType(), True, {"role": "source_id"}),
         T.StructField("timezone", T.StringType(), True, {"role": "business_attr"}),
-        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+        T.StructField("source_name", T.StringType(), True, {"role": "source_id"}),
     ]),
     "trains": T.StructType([
         T.StructField("train_id", T.LongType(), False, {"role": "technical_id"}),
-        T.StructField("train_number", T.StringType(), False, {"role": "business_attr"}),
+        T.StructField("train_number", T.StringType(), False, {"role": "source_id"}),
         T.StructField("operator_id", T.LongType(), False, {"role": "foreign_key"}),
         T.StructField("train_type", T.StringType(), False, {"role": "business_attr"}),
         T.StructField("category", T.StringType(), True, {"role": "business_attr"}),
@@ -45,19 +45,19 @@ SCHEMAS = {
         T.StructField("ml_night_probability", T.DecimalType(4, 2), True, {"role": "business_attr"}),
         T.StructField("night_percentage", T.DecimalType(5, 2), True, {"role": "business_attr"}),
         T.StructField("needs_manual_review", T.BooleanType(), True, {"role": "business_attr"}),
-        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+        T.StructField("source_name", T.StringType(), True, {"role": "source_id"}),
     ]),
     "schedules": T.StructType([
         T.StructField("schedule_id", T.LongType(), False, {"role": "technical_id"}),
         T.StructField("train_id", T.LongType(), False, {"role": "foreign_key"}),
         T.StructField("origin_id", T.LongType(), False, {"role": "foreign_key"}),
         T.StructField("destination_id", T.LongType(), False, {"role": "foreign_key"}),
-        T.StructField("departure_time", T.TimestampNTZType(), True, {"role": "business_attr"}),
-        T.StructField("arrival_time", T.TimestampNTZType(), True, {"role": "business_attr"}),
-        T.StructField("duration_min", T.LongType(), True, {"role": "business_attr"}),
+        T.StructField("departure_time", T.TimestampNTZType(), False, {"role": "business_attr"}),
+        T.StructField("arrival_time", T.TimestampNTZType(), False, {"role": "business_attr"}),
+        T.StructField("duration_min", T.LongType(), False, {"role": "business_attr"}),
         T.StructField("distance_km", T.DecimalType(10, 2), True, {"role": "business_attr"}),
         T.StructField("frequency", T.StringType(), True, {"role": "business_attr"}),
-        T.StructField("source_name", T.StringType(), False, {"role": "source_id"}),
+        T.StructField("source_name", T.StringType(), True, {"role": "source_id"}),
     ]),
 }
 
@@ -72,6 +72,8 @@ UPSERT = {
     "schedules": (["train_id", "origin_id", "destination_id", "departure_time"], ["arrival_time", "duration_min", "distance_km", "frequency"]),
 }
 
+IDS = {"operators": "operator_id", "stations": "station_id", "trains": "train_id", "schedules": "schedule_id"}
+
 #: Rail route types and others, by code.
 RAIL_TYPES = {
     2: "Rail", 100: "Railway Service", 101: "High Speed Rail", 102: "Long Distance Rail", 103: "Inter Regional Rail", 104: "Car Transport Rail",

@@ -1,51 +1,39 @@
-"""Writing canonical tables: upserts, loads of merged tables, and slices by source.
+"""Writing canonical tables: upserts by key, loads of merged tables with ids of their own, and slices by source.
 
-A table is a folder of versions; a small file names the current one and is replaced last, so a reader sees the old version or
-the new one and a job that dies in between changes nothing.
+A table is a folder of numbered versions (see versions.py). Its keys are dealt over buckets by a hash. An upsert reads the buckets
+that its batch names, writes a row for each key of the batch and makes a version that puts these rows over the others, so what it
+writes grows with the batch. A bucket with many such layers is written anew. Of writers side by side none loses a batch.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipcoach.functions.timetable import anchored
 from slipcoach.operators.cleaning import dedup_keep_first
-from slipcoach.plans.schemas import UPSERT, with_missing
+from slipcoach.plans import shared
+from slipcoach.plans.schemas import IDS, UPSERT, Tables, with_missing
+from slipcoach.sources import versions
 
-
-def _names(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+#: Buckets of a new table, and layers over a bucket after which it is written anew.
+BUCKETS, LAYERS = 32, 8
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The current version, or none."""
-    at, store = _names(spark, path)
-    if not store.exists(at):
-        return None
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
+    version = versions.latest(spark, path)
+    return versions.read(spark, path, version) if version else None
 
 
-def write_version(df: DataFrame, path: str, sort: Sequence[str] = ()) -> DataFrame:
-    """Writes df as the table's new current version and returns it."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(f"{path}/{version}")
-    at, store = _names(spark, path)
-    new = at.suffix(f"-{version}")
-    stream = store.create(new, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    over[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(new, at, over)
-    return spark.read.parquet(f"{path}/{version}")
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`"))
+    return same
 
 
 def upserted(current: DataFrame | None, batch: DataFrame, conflict_columns: Sequence[str], update_columns: Sequence[str] | None = None) -> DataFrame:
@@ -59,10 +47,7 @@ def upserted(current: DataFrame | None, batch: DataFrame, conflict_columns: Sequ
         return rows
     rows = with_missing(rows, *(c for c in current.columns if c not in rows.columns)).select(current.columns)
     old, new = current.select(F.struct("*").alias("o")), rows.select(F.struct("*").alias("n"))
-    same = F.lit(True)
-    for c in conflict_columns:
-        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
-    both = old.join(new, same, "full_outer")
+    both = old.join(new, _same("o", "n", conflict_columns), "full_outer")
     taken = set(update_columns or ())
 
     def pick(c: str):
@@ -75,11 +60,98 @@ def upserted(current: DataFrame | None, batch: DataFrame, conflict_columns: Sequ
     return both.select(*(pick(c).alias(c) for c in current.columns))
 
 
-def write_canonical_upsert(batch: DataFrame, path: str, table_name: str | None = None, conflict_columns: Sequence[str] | None = None, update_columns: Sequence[str] | None = None) -> DataFrame:
-    """Upserts into the table at path; a known table's name gives key and update columns."""
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(buckets)).cast("string")
+
+
+def _with_ids(rows: DataFrame, keys: Sequence[str], id_column: str | None, start: int) -> tuple[DataFrame, int]:
+    """Rows without an id get the next ones, dense and in the order of their keys; also the first id that is still free."""
+    if not id_column:
+        return rows, start
+    held = shared.save(rows, "upsert")
+    new = held.filter(F.col(id_column).isNull())
+    count = new.count()
+    if not count:
+        return held, start
+    dealt = shared.numbered(new.drop(id_column), [F.col(f"`{k}`") for k in keys], id_column, start).select(rows.columns)
+    return held.filter(F.col(id_column).isNotNull()).union(dealt), start + count
+
+
+def _fits(spark: SparkSession, batch: DataFrame, version: versions.Version | None, id_column: str | None) -> DataFrame:
+    """The batch with the table's columns and types; a new table gets its id column first."""
+    if version:
+        schema = version.struct()
+        batch = with_missing(batch, *(f.name for f in schema if f.name not in batch.columns))
+        return batch.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
+    if id_column:
+        batch = batch.select(F.lit(None).cast("long").alias(id_column), *(F.col(f"`{c}`") for c in batch.columns if c != id_column))
+    return batch
+
+
+def write_canonical_upsert(batch: DataFrame, path: str, table_name: str | None = None, conflict_columns: Sequence[str] | None = None, update_columns: Sequence[str] | None = None, id_column: str | None = None, buckets: int = BUCKETS, layers: int = LAYERS) -> DataFrame:
+    """Upserts into the table at path and returns it; a known table's name gives key and update columns.
+
+    id_column: a column of the table's own ids. Known keys keep theirs; new keys are numbered on from the largest, without gaps.
+    buckets: those of a table that is new.
+    """
+    spark = batch.sparkSession
     if table_name:
         conflict_columns, update_columns = conflict_columns or UPSERT[table_name][0], update_columns or UPSERT[table_name][1]
-    return write_version(upserted(read_table(batch.sparkSession, path), batch, conflict_columns, update_columns), path)
+    keys = list(conflict_columns)
+    rows = shared.save(dedup_keep_first(batch, keys), "batch")  # attempts and passes see the same rows
+
+    def attempt(before: versions.Version | None) -> tuple[versions.Version | None, list[versions.Rows]]:
+        fitted = _fits(spark, rows, before, id_column)
+        if before is None:
+            whole, next_id = _with_ids(fitted, keys, id_column, 1)
+            own = versions.write_rows(whole.withColumn("__bucket", _bucket(keys, buckets)), path, "__bucket", False)
+            return versions.Version(0, whole.schema.json(), keys, "key", buckets, next_id, own), own
+        if before.keys != keys:
+            raise ValueError(f"the table at {path} has the keys {before.keys}")
+        named = [r[0] for r in fitted.select(_bucket(keys, before.buckets).alias("b")).distinct().collect()]  # as many as there are buckets
+        current = versions.read(spark, path, before, named).alias("c")
+        known = current.join(fitted.select(*(F.col(f"`{k}`") for k in keys)).alias("b"), _same("c", "b", keys), "left_semi").select("c.*")
+        merged = upserted(known, fitted, keys, update_columns)
+        if not update_columns:  # what is known stays as it is
+            merged = merged.alias("m").join(known.alias("k"), _same("m", "k", keys), "left_anti").select("m.*")
+        merged, next_id = _with_ids(merged, keys, id_column, before.next_id)
+        own = versions.write_rows(merged.withColumn("__bucket", _bucket(keys, before.buckets)), path, "__bucket", True)
+        return (before._replace(number=before.number + 1, next_id=next_id, rows=before.rows + own), own) if own else (None, own)
+
+    version = versions.retried(spark, path, attempt)
+    deep = [part for part, n in Counter(r.part for r in version.rows if r.delta).items() if n >= layers]
+    if deep:
+        version = compact(spark, path, deep)
+    return versions.read(spark, path, version)
+
+
+def compact(spark: SparkSession, path: str, parts: Sequence[str] | None = None) -> versions.Version:
+    """Writes the parts' rows without layers; all parts if none are named. Readers see the same rows before and after."""
+
+    def attempt(before: versions.Version) -> tuple[versions.Version | None, list[versions.Rows]]:
+        over = {r.part for r in before.rows if r.delta and (parts is None or r.part in set(parts))}
+        if not over:
+            return None, []
+        rows = versions.read(spark, path, before, sorted(over)).withColumn("__bucket", _bucket(before.keys, before.buckets))
+        own = versions.write_rows(rows, path, "__bucket", False)
+        return before._replace(number=before.number + 1, rows=[r for r in before.rows if r.part not in over] + own), own
+
+    return versions.retried(spark, path, attempt)
+
+
+def replace_source_slice(df: DataFrame, path: str) -> None:
+    """The rows of each source in df replace that source's rows in the table at path; other sources stay.
+
+    All slices change in one step. A null source is a slice of its own; without rows nothing is replaced.
+    """
+    spark = df.sparkSession
+    own = versions.write_rows(df.withColumn("__slice", F.col("source_name")), path, "__slice", False)
+    new = {r.part for r in own}
+    while True:
+        before = versions.latest(spark, path) or versions.Version(-1, df.schema.json(), [], "slice", 0, 1, [])
+        kept = [r for r in before.rows if r.part not in new]
+        if versions.commit(spark, path, before._replace(number=before.number + 1, rows=kept + own)):  # else others were faster; the rows serve again
+            return
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -89,23 +161,34 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumns({"country": country, "name": F.trim("name")}).filter("name is not null and name <> ''")
 
 
-def operators_to_load(merged: DataFrame) -> DataFrame:
+def _operators(merged: DataFrame) -> DataFrame:
     out = with_missing(merged.withColumnsRenamed({"agency_name": "name", "agency_url": "website"}), "website")
-    return _named(out).select("name", "country", "website", "source_name")
+    return _named(out)
+
+
+def operators_to_load(merged: DataFrame) -> DataFrame:
+    return _operators(merged).select("name", "country", "website", "source_name")
+
+
+def _stations(merged: DataFrame) -> DataFrame:
+    out = merged.withColumnsRenamed({"stop_name": "name", "stop_lat": "latitude", "stop_lon": "longitude", "stop_id": "uic_code"})
+    out = with_missing(out, "city", "latitude", "longitude", "uic_code", "timezone")
+    return _named(out.withColumns({c: F.col(c).try_cast("double") for c in ("latitude", "longitude")}))
 
 
 def stations_to_load(merged: DataFrame) -> DataFrame:
     """One row for each name, country and source: that with the smallest code."""
-    out = merged.withColumnsRenamed({"stop_name": "name", "stop_lat": "latitude", "stop_lon": "longitude", "stop_id": "uic_code"})
-    out = _named(with_missing(out, "city", "latitude", "longitude", "uic_code", "timezone"))
-    out = out.select("name", "city", "country", "latitude", "longitude", "uic_code", "timezone", "source_name")
+    out = _stations(merged).select("name", "city", "country", "latitude", "longitude", "uic_code", "timezone", "source_name")
     return dedup_keep_first(out, ["name", "country", "source_name"], ["uic_code"])
 
 
+def _trains(merged: DataFrame) -> DataFrame:
+    return merged.withColumnsRenamed({"trip_id": "train_number", "route_short_name": "category", "route_long_name": "route_name"})
+
+
 def trains_to_load(merged: DataFrame) -> DataFrame:
     keys, updates = UPSERT["trains"]
-    out = merged.withColumnsRenamed({"trip_id": "train_number", "route_short_name": "category", "route_long_name": "route_name"})
-    return with_missing(out, *updates).select(*keys[:2], *updates, "source_name")
+    return with_missing(_trains(merged), *updates).select(*keys[:2], *updates, "source_name")
 
 
 def schedules_to_load(merged: DataFrame) -> DataFrame:
@@ -120,13 +203,43 @@ def schedules_to_load(merged: DataFrame) -> DataFrame:
 
 
 _LOADS = {"operators": operators_to_load, "stations": stations_to_load, "trains": trains_to_load, "schedules": schedules_to_load}
+_ROWS = {"operators": _operators, "stations": _stations, "trains": _trains}
 
 
 def load(table: str, merged: DataFrame, path: str) -> DataFrame:
-    """Prepares a merged table and upserts it."""
-    return write_canonical_upsert(_LOADS[table](merged), path, table)
+    """Prepares a merged table and upserts it; the stored rows have ids of their own."""
+    return write_canonical_upsert(_LOADS[table](merged), path, table, id_column=IDS[table])
 
 
-def replace_source_slice(df: DataFrame, path: str) -> None:
-    """The rows of each source in df replace that source's rows in the table at path; other sources stay."""
-    df.write.mode("overwrite").partitionBy("source_name").option("partitionOverwriteMode", "dynamic").parquet(path)
+def _renumbered(table: str, merged: DataFrame, stored: DataFrame) -> DataFrame:
+    """(merged_id, stored_id): the merged ids of a table with the ids under which its rows are stored."""
+    keys = UPSERT[table][0]
+    rows = _ROWS[table](merged).select(F.col(IDS[table]).alias("merged_id"), *keys).alias("m")
+    return rows.join(stored.alias("s"), _same("m", "s", keys)).select("m.merged_id", F.col(f"s.{IDS[table]}").alias("stored_id"))
+
+
+def _referring(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df with the stored ids in a column; rows that refer to nothing stored are dropped."""
+    return df.join(ids, F.col(column) == F.col("merged_id")).drop(column, "merged_id").withColumnRenamed("stored_id", column)
+
+
+def load_all(merged: Mapping[str, DataFrame], folder: str, until: str = "schedules") -> Tables:
+    """Loads the merged tables in the order of their references and returns the stored ones, up to the one named.
+
+    Every stored table numbers its own rows; trains refer to the stored operators, schedules to the stored trains and stations,
+    whatever ids the merge gave them.
+    """
+    out: dict[str, DataFrame] = {}
+    steps = list(Tables._fields)
+    for table in steps[: steps.index(until) + 1]:
+        rows = merged[table]
+        if table == "trains":
+            rows = _referring(rows, "operator_id", _renumbered("operators", merged["operators"], out["operators"]))
+        elif table == "schedules":
+            trains = _referring(merged["trains"], "operator_id", _renumbered("operators", merged["operators"], out["operators"]))
+            rows = _referring(rows, "train_id", _renumbered("trains", trains, out["trains"]))
+            stations = _renumbered("stations", merged["stations"], out["stations"])
+            for column in ("origin_id", "destination_id"):
+                rows = _referring(rows, column, stations)
+        out[table] = load(table, rows, f"{folder}/{table}")
+    return Tables(*(out.get(t) for t in steps))

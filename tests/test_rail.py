@@ -162,7 +162,7 @@ def test_validation(spark):
     assert good.count() == 1 and bad.count() == 3
     assert {r.reason: r.rows for r in validate.rejection_reasons(df, "schedules").collect()} == {"durée invalide": 1, "origine = destination": 1, "train_id invalide": 1, "origin_id invalide": 1, "departure_time manquant": 1}
     report = validate.schema_report(df, "schedules").first()
-    assert not report.valid and report.missing_columns == ["distance_km", "frequency", "source_name"] and report.null_violations == {"origin_id": 1}
+    assert not report.valid and report.missing_columns == ["distance_km", "frequency", "source_name"] and report.null_violations == {"origin_id": 1, "departure_time": 1}
 
 
 def test_dashboard_rows_without_keys(spark):
@@ -291,3 +291,13 @@ def test_fixed_values_as_they_are_published():
     assert (schemas.CO2_TRAIN, schemas.CO2_PLANE, schemas.SLEEPER_TYPE, schemas.REFERENCE_DATE) == (0.005, 0.215, 105, "2025-01-15")
     assert [b[2] for b in schemas.BINS] == ["0-200", "200-400", "400-600", "600-800", "800-1200", "1200+"] and {"nightjet", "couchette", "lit"} <= set(schemas.NIGHT_WORDS)
     assert schemas.SCHEMAS["stations"]["latitude"].dataType.simpleString() == "decimal(10,8)" and not schemas.SCHEMAS["trains"]["train_type"].nullable
+
+
+def test_columns_that_must_not_be_null():
+    """Written down apart from the schemas."""
+    strict = {name: [f.name for f in fields if not f.nullable] for name, fields in schemas.SCHEMAS.items()}
+    assert strict == {
+        "operators": ["operator_id", "name"], "stations": ["station_id", "name"], "trains": ["train_id", "train_number", "operator_id", "train_type"],
+        "schedules": ["schedule_id", "train_id", "origin_id", "destination_id", "departure_time", "arrival_time", "duration_min"],
+    }
+    assert schemas.SCHEMAS["trains"]["train_number"].metadata["role"] == "source_id"
