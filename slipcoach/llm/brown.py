@@ -48,7 +48,7 @@ _U = np.uint64
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
 def _tails(w: tokens.Words) -> np.ndarray:
@@ -60,7 +60,7 @@ def _tails(w: tokens.Words) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,10 +559,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     model = Model(words, _texts(learnt, text_col))
     rare = model.classed.filter((_step() < model.least) & (F.col("word") != _signed(END))).select("word", "n", "class")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.coalesce(choice, F.lit(False)).alias("learnt"), F.col(text_col).cast("string").alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), held_out(id_col).alias("held_out"), F.coalesce(choice, F.lit(False)).alias("learnt"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
     shared = spark.sparkContext.broadcast((model.frequent, model.unseen, model.ends))
-    fixed = f"row long, id {dict(docs.dtypes)[id_col]}, held_out boolean, learnt boolean, n_tokens long, seen double, known long"
+    fixed = f"row long, id {docs.select(f"`{id_col}`").dtypes[0][1]}, held_out boolean, learnt boolean, n_tokens long, seen double, known long"
     local = scratch.save(rows.mapInArrow(_classed(shared), f"{fixed}, kinds binary, rest array<long>"), "scored")
     met = local.select("row", F.posexplode("rest").alias("at", "word")).join(rare, "word", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + ADD)

@@ -270,7 +270,7 @@ def _links(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(f"`{id_col}`").try_cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def _heads(postings: DataFrame) -> DataFrame:

@@ -6,15 +6,17 @@ Four pieces of evidence on a web page, each a log-likelihood or log-prior by lan
 * declared markup language: the lang attribute, with P(declared | language) from grouped soft counts over all pages;
 * address suffix: the last label of the host (without user and port), likewise;
 * host prior: the language shares of the page's host, smoothed towards those of its domain, those towards all pages'.
-  A page's own soft count is taken out of its host and domain first, so it does not vote for itself.
+
+A page's own soft count is taken out of all four tables first, so it does not vote for itself.
+
 
 Soft counts are the text posteriors, summed by host, domain, suffix and declared language (aggregates with map-side
 combine; the hot host is one row of them). Only small columns move; the pages' html is read once and stays where it is.
 
 Defined results: a null or empty page has no text evidence and gets its language from the rest; a null url has an empty
 host; no declaration, or one of no language of `langs`, is a value of its own; a page whose best posterior is below SURE is
-"und"; ties go to the language first in `langs`; repeated rows count
-and are judged each; training rows with another or no language are not used; without training rows the text says
+"und"; ties go to the language first in `langs`; repeated rows count and are judged each; an unended comment, script or style
+is a tag and an unended tag is text; training rows with another or no language are not used; without training rows the text says
 nothing; an empty table of pages gives an empty one; other columns are ignored, whatever their names.
 """
 
@@ -45,30 +47,43 @@ SURE, UNSURE = 0.5, "und"
 CODES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es"}
 #: Weight of the domain's shares against a host's own pages, of all pages against a domain's, and of the shares in the evidence tables.
 HOST_PRIOR, DOMAIN_PRIOR, EVIDENCE_PRIOR = 5.0, 20.0, 10.0
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
+#: Bytes whose trigrams are held at once, and bytes of pages taken together.
+AT_ONCE, TOGETHER = 1 << 20, 4 << 20
+_TAG = re.compile(r"<(?:(!--)|(script|style)\b)?", re.I)
+_CLOSE = {"!--": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 
 
-def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every byte trigram of lower-cased texts that lies in one row."""
+def _trigrams(texts: pa.Array, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every byte trigram of lower-cased texts that lies in one row, those of some bytes at a time."""
     at, data = tokens.buffers(pc.utf8_lower(texts))
-    data = data[at[0] : at[-1]].astype(np.uint32)
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bucket = ((data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) * np.uint32(2654435761)) >> np.uint32(18)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    same = row[:-2] == row[2:]
-    return row[:-2][same], bucket[same].astype(np.int64)
+    for begin in range(int(at[0]), int(at[-1]) - 2, at_once):
+        part = data[begin : min(begin + at_once + 2, int(at[-1]))].astype(np.uint32)
+        bucket = ((part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]) * np.uint32(2654435761)) >> np.uint32(18)
+        row = np.searchsorted(at, np.arange(begin, begin + len(part)), "right") - 1
+        same = row[:-2] == row[2:]
+        yield row[:-2][same], bucket[same].astype(np.int64)
+
+
+def _together(texts: pa.Array, rows: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of slices of so many rows, or of TOGETHER bytes, at most; a longer text comes alone."""
+    at, _ = tokens.buffers(texts)
+    begin = 0
+    while begin < len(at) - 1:
+        stop = min(begin + rows, max(begin + 1, int(np.searchsorted(at, at[begin] + TOGETHER, "right")) - 1))
+        yield begin, stop - begin
+        begin = stop
 
 
 def _counted(langs: Sequence[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(len(langs) * BUCKETS, np.uint32)
         for batch in batches:
-            for begin in range(0, len(batch), 500):
-                part = batch.slice(begin, 500)
-                row, bucket = _trigrams(part.column("text"))
-                cells += np.bincount(part.column("lang").to_numpy()[row] * BUCKETS + bucket, minlength=len(cells)).astype(np.uint32)
+            for begin, count in _together(batch.column("text"), 500):
+                part = batch.slice(begin, count)
+                lang = part.column("lang").to_numpy()
+                for row, bucket in _trigrams(part.column("text")):
+                    cells += np.bincount(lang[row] * BUCKETS + bucket, minlength=len(cells)).astype(np.uint32)
         yield dense.parts(cells, SLICES * len(langs))
 
     return run
@@ -83,15 +98,41 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", langs:
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
+def languages(docs: DataFrame, lang_col: str = "lang") -> list[str]:
+    """The languages that documents are in, in the order of their codes; a row for each reaches the driver."""
+    return [r["lang"] for r in docs.select(F.col(f"`{lang_col}`").alias("lang")).filter("lang is not null").distinct().orderBy("lang").collect()]
+
+
 def visible(page: str) -> str:
-    """The text of a page, without markup, scripts, styles and comments."""
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """The text of a page, without markup, scripts, styles and comments, by one pass forward.
+
+    A comment, script or style that nothing ends counts as a tag; a tag that nothing ends counts as text.
+    """
+    out, at, unended = [], 0, set()
+    while found := _TAG.search(page, at):
+        kind, end = (found[1] or found[2] or "").lower(), 0
+        if kind and kind not in unended:  # what is not found from here on is not found later either
+            closed = _CLOSE[kind].search(page, found.end())
+            end = closed.end() if closed else unended.add(kind) or 0
+        end = end or page.find(">", found.start()) + 1
+        if not end:
+            break
+        out.append(page[at : found.start()])
+        at = end
+    return html.unescape(" ".join([*out, page[at:]]))
 
 
 def declared_code(page: str) -> str | None:
     """The primary code of the lang attribute, in two letters where there is a two-letter one."""
-    found = _LANG.search(page)
-    return CODES.get(found[1].lower(), found[1].lower()) if found else None
+    at = 0
+    while tag := _HTML.search(page, at):
+        end = page.find(">", tag.end())  # what stands before it belongs to this tag, other tags that begin there too
+        if found := _LANG.search(page, tag.end(), end if end >= 0 else len(page)):
+            return CODES.get(found[1].lower(), found[1].lower())
+        if end < 0:
+            break
+        at = end + 1
+    return None
 
 
 def _bare(host: Column) -> Column:
@@ -119,11 +160,12 @@ def _evidence(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for begin in range(0, len(batch), 200):
-                part = batch.slice(begin, 200)
+            for begin, count in _together(batch.column("html"), 200):
+                part = batch.slice(begin, count)
                 pages = [x or "" for x in part.column("html").to_pylist()]
-                row, bucket = _trigrams(pa.array([visible(x) for x in pages], pa.string()))
-                logs = np.stack([np.bincount(row, m[bucket], len(part)) / OVERLAP for m in model])
+                logs = np.zeros((len(model), count))
+                for row, bucket in _trigrams(pa.array([visible(x) for x in pages], pa.string())):
+                    logs += np.stack([np.bincount(row, m[bucket], count) / OVERLAP for m in model])
                 logs -= logs.max(0)
                 declared = [declared_code(x) for x in pages]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("host"), pa.array(declared, pa.string()), *map(pa.array, logs)], names=["id", "host", "declared", *(f"text{k}" for k in range(len(model)))])
@@ -165,8 +207,8 @@ def identify(pages: DataFrame, model: np.ndarray, id_col: str = "page_id", url_c
         host = (less("h", k) + HOST_PRIOR * domain) / (total("h") + HOST_PRIOR)
         evidence = F.lit(0.0)
         for short in ("s", "m"):
-            part = sum((F.col(f"{short}{j}") for j in n), F.lit(0.0)) / F.lit(max(sum(every), 1e-9))
-            evidence = evidence + F.log((F.col(f"{short}{k}") + EVIDENCE_PRIOR * part) / (every[k] + EVIDENCE_PRIOR))
+            part = (total(short) + 0.5) / F.lit(max(sum(every), 1.0))
+            evidence = evidence + F.log((less(short, k) + EVIDENCE_PRIOR * part) / (F.greatest(F.lit(0.0), F.lit(every[k]) - F.col(f"p{k}")) + EVIDENCE_PRIOR))
         logs.append(F.col(f"text{k}") + evidence + F.log(host))
     out = out.select("id", "host", "suffix", "declared", *(F.col(f"text{k}") for k in n), *(x.alias(f"log{k}") for k, x in enumerate(logs)))
     best = lambda name: F.array(*map(F.lit, langs))[F.array_position(F.array(*(F.col(f"{name}{k}") for k in n)), F.greatest(*(F.col(f"{name}{k}") for k in n))).cast("int") - 1]

@@ -180,9 +180,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     score: 1 for a base phrase, else the largest part of a template that stands in place, else 0.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind = docs.select(f"`{id_col}`").dtypes[0][1]
     index = Index(templates, phrases)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = scratch.save(rows.select("text").mapInArrow(_frequencies(index), "word long, files long"), "frequencies")
     # as many rows as the templates have words
     files = {r["word"]: r["files"] for r in counted.groupBy("word").agg(F.sum("files").alias("files")).collect()}

@@ -52,11 +52,11 @@ def copies(identity: str, rate: str, seed: str = SEED) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per document: id, size, source_size, target, rate, copies, taken. The texts are read once; only sizes are kept."""
-    sizes = scratch.save(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), size(text_col).alias("size")), "sizes")
+    sizes = scratch.save(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), size(F.col(f"`{text_col}`")).alias("size")), "sizes")
     rates = scratch.save(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "rates")
     out = sizes.join(rates.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
-    out = out.withColumn("copies", copies(id_col, "rate"))
-    return out.select(id_col, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = out.withColumn("copies", copies("id", "rate"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:

@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipcoach.plans import shared as scratch
@@ -44,19 +43,14 @@ def _words(text: str) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES))
 
 
-def _spark_hash(word: str) -> int:
-    """What F.xxhash64 gives for this text."""
-    h = xxhash.xxh64(word.encode(), seed=42).intdigest()
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _letters(hashes: str) -> Column:
+def _letters(spark: SparkSession, hashes: str) -> Column:
     """The common words among hashed words, in order, as one letter each.
 
     Words are looked up by hash: in one of GROUPS short lists, so that no word is compared with all of them.
     """
     spelled = [(x, chr(FIRST_LETTER + k)) for k, c in enumerate(COMMON) for x in dict.fromkeys((c, c.capitalize(), c.upper()))]
-    known = {_spark_hash(x): letter for x, letter in spelled}
+    hashed = spark.range(1).select(F.array(*(F.xxhash64(F.lit(x)) for x, _ in spelled))).first()[0]
+    known = {h: letter for h, (_, letter) in zip(hashed, spelled, strict=True)}
     keys: list[list[int]] = [[] for _ in range(GROUPS)]
     for h in known:
         keys[h % GROUPS].append(h)
@@ -88,7 +82,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *(F.col(f"`{c}`") for c in docs.columns), "__t", F.size("__w").cast("long").alias("n_words"), chars.alias("__chars"), lines.alias("__l"), F.transform("__w", lambda w: F.xxhash64(w)).alias("__h")
     )
     windows = F.transform(F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*(F.get("__h", i + k) for k in range(WINDOW))))
-    out = out.withColumn("__v", F.when(F.size("__h") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))).withColumn("__hits", _letters("__h"))
+    out = out.withColumn("__v", F.when(F.size("__h") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))).withColumn("__hits", _letters(docs.sparkSession, "__h"))
     placed = F.sort_array(F.transform("__v", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     out = out.withColumn("__s", F.when(F.size(F.array_distinct("__v")) < F.size("__v"), placed))
     same = lambda x, j: F.get("__s", j)["x"].eqNullSafe(x["x"])

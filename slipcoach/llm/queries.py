@@ -29,7 +29,9 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "pages"), langid.fit(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    langs = langid.languages(docs)
+    return langid.identify(table(spark, sf_dir, "pages"), langid.fit(docs, langs=langs), langs=langs)
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ holds the key. A shard more or less moves only the keys that it gains or gives u
 Defined results: the key is the id as text; a null id has a key of its own, so all such rows share a shard; rows with
 equal ids share a shard whatever their texts, and rows alike in id, size and checksum follow one another in any order; a
 null text has no bytes (checksum 0); shards that draw the same score: the lower number holds the key; an empty table gives
-an empty one; other columns pass through `assign`, one that has the name of the new column under that name with `_` added.
+an empty one; other columns pass through `assign`, one that has the name of the
+new column, in any case, under that name with `_` added.
 """
 
 from __future__ import annotations
@@ -47,17 +48,17 @@ def _key(id_col: str) -> Column:
 
 
 def text_bytes(text: str) -> Column:
-    return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    return F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, seed: str = SEED, name: str = "shard") -> DataFrame:
     """The rows with their shard in the column `name`."""
     shard = shard_of(_key(id_col), weights, seed).cast("int").alias(name)
-    taken = set(docs.columns)
+    taken = {c.lower() for c in docs.columns}  # names are the same to Spark whatever their case
     other = name
-    while other in taken:
+    while other.lower() in taken:
         other += "_"
-    return docs.select(*(F.col(f"`{c}`").alias(other if c == name else c) for c in docs.columns), shard)
+    return docs.select(*(F.col(f"`{c}`").alias(other if c.lower() == name.lower() else c) for c in docs.columns), shard)
 
 
 def slots(rows: DataFrame, order: Sequence[str], shard: str = "shard") -> DataFrame:
@@ -74,12 +75,12 @@ def slots(rows: DataFrame, order: Sequence[str], shard: str = "shard") -> DataFr
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, weights: Sequence[float] | None = None, seed: str = SEED) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, and the shard it would have with one shard more (of weight 1)."""
-    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), (text_bytes(text_col) + OVERHEAD).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("_best", _best(_key(id_col), weights or (1.0,) * shards, seed))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), (text_bytes(text_col) + OVERHEAD).alias("size"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("_best", _best(_key("id"), weights or (1.0,) * shards, seed))
     # a new shard can only win keys for itself: one more draw tells
-    grown = F.least("_best", _score(_key(id_col), shards, 1.0, seed))["shard"].cast("int")
+    grown = F.least("_best", _score(_key("id"), shards, 1.0, seed))["shard"].cast("int")
     rows = rows.withColumn("grown_shard", grown).withColumn("shard", F.col("_best.shard").cast("int")).withColumn("law", F.lit("key")).drop("_best")
-    return slots(rows, [id_col, "text_crc32", "size"])
+    return slots(rows, ["id", "text_crc32", "size"]).withColumnRenamed("id", id_col)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, seed: str = SEED) -> None:

@@ -106,10 +106,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     best = tried.join(fits, "key").groupBy("host", "path").agg(F.max("best").alias("best"))
     best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     out = rows.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return out.select(f"`{id_col}`", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def allowed(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """The pages whose verdict is allow, by their id."""
-    good = judge(pages, rules, id_col, url_col, default).filter("verdict = 'allow'").select(F.col(id_col).alias("__id")).distinct()
-    return pages.join(good, pages[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    good = judge(pages, rules, id_col, url_col, default).filter("verdict = 'allow'").select(F.col(f"`{id_col}`").alias("__id")).distinct()
+    return pages.join(good, pages[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left_semi")

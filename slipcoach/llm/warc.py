@@ -142,7 +142,7 @@ def _written(folder: str, archive_bytes: int) -> Callable:
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the pages' archives into a folder that all machines share (a URI); returns the saved index."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     store, at = _store(folder)
     store.create_dir(at)
     seen = rows.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, n long")

@@ -15,7 +15,7 @@ import corpus_pipeline
 from slipcoach.llm import brown, jaccard, langid, licenses, mixing, oracles, quality, queries, sharding, tiling, tokens, urlrules, warc
 from tests.llm.test_operators import SF, WORD, check_components, components, low, shingles
 
-TABLES = "documents pages benchmark".split()
+TABLES = "documents pages benchmark conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -226,7 +226,7 @@ def test_posterior_by_brute_force(spark):
             less = lambda at, of, j: max(0.0, sums[at][of, j] - soft[j])  # noqa: B023, E731
             d = (less(1, domain, k) + 20 * share[k]) / (sum(less(1, domain, j) for j in range(4)) + 20)
             h = (less(0, host, k) + 5 * d) / (sum(less(0, host, j) for j in range(4)) + 5)
-            told = sum(math.log((sums[at][of, k] + 10 * sum(sums[at][of, j] for j in range(4)) / sum(every)) / (every[k] + 10)) for at, of in ((2, suffix), (3, code)))
+            told = sum(math.log((less(at, of, k) + 10 * (sum(less(at, of, j) for j in range(4)) + 0.5) / sum(every)) / (max(0.0, every[k] - soft[k]) + 10)) for at, of in ((2, suffix), (3, code)))
             total.append(text[k] + told + math.log(h))
         odds = [math.exp(x - max(total)) for x in total]
         best = max(odds) / sum(odds)
@@ -293,3 +293,56 @@ def test_long_texts(spark):
 
 def test_limits_are_those_of_the_sql():
     assert low("AbÉ") == "abÉ" and "0.23" in oracles.QUALITY and str(quality.WORD_LIMIT) in oracles.QUALITY
+
+
+def test_a_column_of_the_new_name_in_another_case(spark, tmp_path):
+    docs = odd(spark, False).withColumn("SHARD", F.lit("own"))
+    got = sharding.assign(docs)
+    assert got.columns == [*docs.columns[:-1], "shard_", "shard"] and {r["shard_"] for r in got.collect()} == {"own"}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "never said")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_ids_with_a_dot_in_their_name(spark):
+    docs = odd(spark, False).withColumnRenamed("doc_id", "doc.id")
+    n = docs.count()
+    for got in (mixing.mix(docs, "doc.id"), licenses.scan(docs, "doc.id"), jaccard.cluster(docs, "doc.id"), sharding.manifest(docs, "doc.id"), quality.score(docs, "doc.id"), brown.score(docs, "doc.id")):
+        assert got.columns[0] == "doc.id" and got.count() == n
+
+
+def test_pages_of_unended_markup(spark):
+    import time
+
+    began = time.time()
+    for tag in ("<script ", "<!--", "<html ", "<style>", "</script", "<"):
+        page = tag * (5_000_000 // len(tag))
+        langid.visible(page), langid.declared_code(page)
+    assert time.time() - began < 20
+    assert langid.visible("a<!-- b>c<p>d") .split() == ["a", "c", "d"] and langid.visible("a<script>b") .split() == ["a", "b"] and langid.visible("a <b").split() == ["a", "<b"]
+    assert langid.visible("<!-- x --><STYLE>y</Style >z<!-- q").split() == ["z<!--", "q"]
+    assert langid.declared_code("<html <html lang=fr>") == "fr" and langid.declared_code("<html><html lang=de") == "de" and langid.declared_code("<html><p lang=de>") is None
+
+
+def test_a_long_page_in_little_memory():
+    import resource
+    import subprocess
+    import sys
+
+    code = (
+        "import pyarrow as pa, sys, resource; sys.path.insert(0, '.'); from slipcoach.llm import langid\n"
+        "import numpy as np; cells = np.zeros(langid.BUCKETS, np.int64); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "texts = pa.array(['lorem <b>ipsum dolor sit</b> amet ' * 1_200_000])\n"
+        "for row, bucket in langid._trigrams(pa.array([langid.visible(texts[0].as_py())])): cells += np.bincount(bucket, minlength=len(cells))\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    )
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert int(run.stdout) < 500_000, run.stderr[-500:]
+    assert resource
+
+
+def test_languages_come_from_the_documents(spark):
+    docs = spark.createDataFrame([("gatto cane e casa " * 30, "it"), ("the cat and the dog " * 30, "en"), ("x", None)], "text string, lang string")
+    langs = langid.languages(docs)
+    page = spark.createDataFrame([(1, "http://a.it/", "<p>" + "gatto e casa " * 9)], "page_id long, url string, html string")
+    assert langs == ["en", "it"] and langid.identify(page, langid.fit(docs, langs=langs), langs=langs).first().lang == "it"
