@@ -346,3 +346,18 @@ def test_languages_come_from_the_documents(spark):
     langs = langid.languages(docs)
     page = spark.createDataFrame([(1, "http://a.it/", "<p>" + "gatto e casa " * 9)], "page_id long, url string, html string")
     assert langs == ["en", "it"] and langid.identify(page, langid.fit(docs, langs=langs), langs=langs).first().lang == "it"
+
+
+def test_columns_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 40, 300, 3000, 70_000):
+        for level in (0, 5):
+            grams = np.unique(rng.integers(0, 2**64, n, np.uint64) >> np.uint64(level))
+            assert (jaccard._unpacked(pa.py_buffer(jaccard._packed(grams))) == grams).all()
+    assert len(jaccard._packed(np.unique(rng.integers(0, 2**64, 3000, np.uint64)))) < 7.01 * 3000
+    # alike in their leading 48 bits: two of one set stay two, two of different sets do not meet
+    near = np.array([5 << 16, (5 << 16) + 1, 9 << 40], np.uint64)
+    assert len(jaccard._unpacked(pa.py_buffer(jaccard._packed(near)))) == 3
+    pairs = {"a": [b"a"] * 2, "b": [b"b"] * 2, "na": [3] * 2, "nb": [2] * 2, "block": [0] * 2, "ca": [jaccard._packed(near)] * 2, "cb": [jaccard._packed(near[1:]), jaccard._packed(near[1:] + np.uint64(1))]}
+    got = next(jaccard._met(iter([pa.RecordBatch.from_pydict(pairs)])))
+    assert got.column("met").to_pylist() == [2, 0]
