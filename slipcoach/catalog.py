@@ -278,7 +278,7 @@ def _digests(tables: dict[str, DataFrame]) -> DataFrame:
 _files("read_gtfs_feed", _write_feed, lambda s, p: _digests(feeds.read_gtfs_feed(s, p, "lens")))
 _files("gtfs_validate", _write_feed, lambda s, p: feeds.gtfs_validate(s, feeds.read_gtfs_feed(s, p, "lens")))
 _files("gtfs_feed_info", lambda s, d, p: lens.feed(s, d)["agency"].agg(F.min("agency_name").alias("feed_publisher_name")).write.options(**_AS_IS).csv(f"{p}/feed_info.txt"), lambda s, p: feeds.gtfs_feed_info(feeds.read_gtfs_feed(s, p, "lens", include_optional_files=True)))
-_files("read_keyed_json", _write_json, lambda s, p: feeds.read_keyed_json(s, p)["trips"])
+_files("read_keyed_json", _write_json, lambda s, p: _digests(feeds.read_keyed_json(s, p)))
 _files("keyed_json_validate", _write_json, lambda s, p: feeds.keyed_json_validate(feeds.read_keyed_json(s, p)))
 _files("endpoint_row_counts", _write_json, lambda s, p: feeds.endpoint_row_counts(feeds.read_keyed_json(s, p)))
 _files("read_feed_catalog", _write_catalog, lambda s, p: feeds.read_feed_catalog(s, p))

@@ -236,7 +236,10 @@ _FEEDS |= {
     "gtfs_feed_info": "SELECT min(agency_name) AS feed_publisher_name FROM agencies",
     "classify_gtfs_trips": "SELECT *, CAST(NULL AS VARCHAR) AS train_type_ml, CAST(NULL AS DOUBLE) AS ml_night_probability FROM final",
     "gtfs_validate": " UNION ALL ".join(f"SELECT '{k}' AS file, true AS present, count(*) = 0 AS empty, count(*) > 0 AS ok FROM {v}" for k, v in _FILES.items()),
-    "read_keyed_json": "SELECT trip_id AS id_from_key, route_id, trip_headsign, trip_id FROM trips",
+    "read_keyed_json": " UNION ALL ".join(
+        f"SELECT '{name}' AS endpoint, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5({_row((*columns, 'id_from_key'))}), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT {', '.join(columns)}, {key} AS id_from_key FROM {of})"
+        for (of, name, key), columns in zip((("agencies", "agencies", "agency_id"), ("stops", "stops", "stop_id"), ("routes", "routes", "route_id"), ("trips", "trips", "trip_id"), ("stop_times", "trip_stop", "concat_ws('-', trip_id, stop_id, stop_sequence)")), _COLUMNS, strict=True)
+    ),
     "keyed_json_validate": "SELECT *, n_agencies > 0 AND n_routes > 0 AND n_stops > 0 AND n_trips > 0 AS valid FROM (SELECT (SELECT count(*) FROM routes WHERE agency_id NOT IN (SELECT agency_id FROM agencies)) AS orphan_agencies, (SELECT count(DISTINCT stop_id) FROM stop_times WHERE stop_id NOT IN (SELECT stop_id FROM stops)) AS orphan_stops, (SELECT count(*) FROM agencies) AS n_agencies, (SELECT count(*) FROM routes) AS n_routes, (SELECT count(*) FROM stops) AS n_stops, (SELECT count(*) FROM trips) AS n_trips)",
     "ml_features": "SELECT trip_id, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS f_{c}" for c in ("duration_hours", "night_percentage", "departure_hour", "arrival_hour", "overnight_flag"))
     + f", CAST({_BERTH} AS DOUBLE) AS f_has_couchette, CAST({_BERTH} OR {_SLEEPER} AS DOUBLE) AS f_has_sleeper, CAST({_SLEEPER} AS DOUBLE) AS f_is_sleeper_route, CAST({_SAYS_ANY(NIGHT_WORDS)} AS DOUBLE) AS f_has_keyword_night FROM evidence",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slipcoach.functions.timetable import normalized_type
 from slipcoach.plans.schemas import CO2_PLANE, CO2_TRAIN, with_missing
+from slipcoach.sources import splits
 
 #: The columns that are read of each file.
 GTFS = {
@@ -33,10 +34,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+#: How cells are read: quotes are doubled inside of quotes, blanks at the ends stay.
+_CELLS = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, names trimmed, empty cells null; 'NA' stays text."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8")
-    return df.toDF(*(c.strip().lstrip("﻿") for c in df.columns))
+    """All columns as text, names trimmed, empty cells null; 'NA' stays text. A file is read by many tasks, also with line breaks in quotes."""
+    names = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, encoding="UTF-8", recursiveFileLookup=True, **_CELLS).columns  # of the first file's first record
+    rows = splits.records(spark, path, splits.CSV).filter("not first").select(F.regexp_replace(F.regexp_replace("record", "\r$", ""), "\r\n", "\n").alias("record")).filter("record <> ''")
+    cells = rows.select(F.from_csv("record", ", ".join(f"c{k} string" for k in range(len(names))), _CELLS).alias("row")).select("row.*")
+    return cells.toDF(*(c.strip().lstrip("﻿") for c in names))
 
 
 def read_gtfs_feed(spark: SparkSession, path: str, source_name: str, country_code: str | None = None, include_optional_files: bool = False) -> dict[str, DataFrame]:
@@ -68,16 +75,16 @@ def gtfs_feed_info(feed: Mapping[str, DataFrame]) -> DataFrame | None:
 def read_keyed_json(spark: SparkSession, path: str, endpoints: Sequence[str] = ENDPOINTS) -> dict[str, DataFrame]:
     """{endpoint: table} of files that hold one object of records by id; values as text, the id as id_from_key.
 
-    <endpoint>.json is a file, or a folder of files (also below it) with one object each, so that a large table is read by
-    many tasks.
+    <endpoint>.json is a file, or a folder of files (also below it) with one object each; a large object is read by many tasks.
     The names of the records' fields come from the data: distinct keys, as many as a record has fields.
     """
     out = {}
     for name in endpoints:
         file = f"{path}/{name}.json"
         if _exists(spark, file):
-            whole = spark.read.option("recursiveFileLookup", True).text(file, wholetext=True)
-            records = whole.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("id_from_key", "record"))
+            # a record without its last brace, and before it what stands between records; the end of the object is no record
+            texts = splits.records(spark, file, splits.JSON).select(F.expr(r"ltrim('{, \n\r\t', ltrim('\ufeff', record))").alias("text")).filter(F.col("text").startswith('"'))
+            records = texts.select(F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}}")), "map<string,map<string,string>>")).alias("id_from_key", "record"))
             fields = sorted(r["f"] for r in records.select(F.explode(F.map_keys("record")).alias("f")).distinct().collect())
             out[name] = records.select("id_from_key", *(F.col("record")[f].alias(f or "_") for f in fields))
     return out
