@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipcoach.functions import timetable as tt
-from slipcoach.operators import classify, cleaning, compare, dashboard, geo, merge, ml, validate, views
+from slipcoach.operators import classify, cleaning, compare, dashboard, geo, merge, ml, routes, validate, views
 from slipcoach.oracles import ORACLE
 from slipcoach.plans import chain, lens, schemas
 from slipcoach.plans.shared import place, remove, save
@@ -48,8 +48,10 @@ def _rounded(make: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[
 
 _register("total_co2", _rounded(dashboard.total_co2, "total_co2_kg"))
 _register("long_distance_co2", _rounded(dashboard.long_distance_co2, "avg_co2", "total_co2"))
-_register("night_corridors", _rounded(dashboard.night_corridors, "avg_co2", "avg_distance"))
-_register("night_shift_candidates", _rounded(dashboard.night_shift_candidates, "avg_co2", "avg_dist"))
+for _name in "overview_kpis network_kpis od_coverage top_links".split():
+    _register(_name, getattr(routes, _name))
+_register("night_corridors", lambda t: routes.night_corridors(t).withColumns({c: F.round(c, 4) for c in ("avg_co2", "avg_distance")}))
+_register("night_shift_candidates", lambda t: routes.night_shift_candidates(t).withColumns({c: F.round(c, 4) for c in ("avg_co2", "avg_dist")}))
 _register("classification_summary", _rounded(dashboard.classification_summary, "mean_confidence"))
 _register("segment_night_share", _rounded(dashboard.segment_night_share, "night_pct"))
 _register("distance_segments", _rounded(dashboard.distance_segments, "night_pct"))

@@ -32,8 +32,16 @@ def _per_train(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys, "train_id", TYPE).agg(F.count("*").alias("rides"), F.sum("duration_min").alias("minutes"), F.count("duration_min").alias("timed"), F.sum("distance_km").alias("km"), F.count("distance_km").alias("measured"))
 
 
-def _distinct(kind: str | None = None) -> Column:
-    return F.countDistinct("train_id") if kind is None else F.countDistinct(F.when(F.col(TYPE) == kind, F.col("train_id")))
+def _distinct() -> Column:
+    return F.countDistinct("train_id")
+
+
+def _trains_of(df: DataFrame, *keys: str) -> DataFrame:
+    """Trains, day trains, night trains and services of each group: one row for each of its trains, then sums, so nothing is expanded."""
+    is_ = lambda kind: F.max((F.col(TYPE) == kind).cast("long")).alias(kind)
+    each = df.groupBy(*keys, "train_id").agg(F.count("*").alias("rides"), is_("day"), is_("night")).groupBy(*keys)
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(F.count("train_id").alias("trains"), whole("rides").alias("services"), whole("day").alias("day"), whole("night").alias("night"))
 
 
 def _mean(total: str, of: str, digits: int = 0) -> Column:
@@ -60,8 +68,7 @@ def country_train_counts(df: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def top_operators_summary(df: DataFrame, limit: int = 15) -> DataFrame:
-    each = _per_train(df.dropna(subset=["operator", "operator_country"]), "operator", "operator_country").groupBy("operator", F.col("operator_country").alias("country"))
-    out = each.agg(_distinct().alias("trains"), F.sum("rides").alias("services"), _distinct("day").alias("day"), _distinct("night").alias("night"))
+    out = _trains_of(df.dropna(subset=["operator", "operator_country"]), "operator", "operator_country").withColumnRenamed("operator_country", "country")
     return out.orderBy(F.desc("trains"), "operator", "country").limit(limit)
 
 
@@ -74,7 +81,7 @@ def operator_summary(df: DataFrame) -> DataFrame:
     """By operator, country and website; operators without a website vanish. Day and night trains are those of operator and country."""
     each = _per_train(df.dropna(subset=["operator", "operator_country", "website"]), "operator", "operator_country", "website")
     whole = each.groupBy("operator", "operator_country", "website").agg(_distinct().alias("nb_trains"), F.sum("rides").alias("nb_schedules"), _mean("minutes", "timed").alias("avg_duration"), _mean("km", "measured").alias("avg_distance"))
-    types = df.dropna(subset=["operator", "operator_country"]).groupBy("operator", "operator_country").agg(_distinct("day").alias("day_trains"), _distinct("night").alias("night_trains"))
+    types = _trains_of(df.dropna(subset=["operator", "operator_country"]), "operator", "operator_country").select("operator", "operator_country", F.col("day").alias("day_trains"), F.col("night").alias("night_trains"))
     out = whole.join(types, ["operator", "operator_country"], "left").withColumnsRenamed({"operator": "operator_name", "operator_country": "country"})
     return out.select("operator_name", "country", "website", "nb_trains", "day_trains", "night_trains", "nb_schedules", "avg_duration", "avg_distance").orderBy(F.desc("nb_trains"), "operator_name", "country", "website")
 
@@ -97,16 +104,16 @@ def network_kpis(df: DataFrame) -> DataFrame:
     return served.agg(count(F.expr("d and not n"), "only_day"), count(F.expr("n and not d"), "only_night"), count(F.expr("d and n"), "both"), total("dk", "day_km"), total("nk", "night_km"))
 
 
-def _label() -> Column:
+def label_of_type() -> Column:
     return F.when(F.col(TYPE) == "day", "Day").when(F.col(TYPE) == "night", "Night").alias("label")
 
 
 def od_coverage(df: DataFrame) -> DataFrame:
-    return routes_df(df).filter(F.col(TYPE).isNotNull()).groupBy(TYPE).agg(F.countDistinct("route").alias("nb_routes")).select("*", _label())
+    return routes_df(df).filter(F.col(TYPE).isNotNull()).groupBy(TYPE).agg(F.countDistinct("route").alias("nb_routes")).select("*", label_of_type())
 
 
 def service_km(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(TYPE).isNotNull()).groupBy(TYPE).agg(F.coalesce(F.sum("distance_km"), F.lit(0.0)).alias("total_km")).select("*", _label())
+    return df.filter(F.col(TYPE).isNotNull()).groupBy(TYPE).agg(F.coalesce(F.sum("distance_km"), F.lit(0.0)).alias("total_km")).select("*", label_of_type())
 
 
 def top_operators_by_type(df: DataFrame, top_n: int = 5) -> DataFrame:

@@ -59,9 +59,12 @@ def _by_country(t: Tables, **ends: str) -> DataFrame:
     )
     trains = _trains(t).join(t.operators.select("operator_id", F.col("country").alias("of")), "operator_id")
     held = trains.groupBy("of").agg(F.count("*").alias("trains"), _of_type("day").alias("day"), _of_type("night").alias("night"))
-    ridden = rides.join(trains.select("train_id", "of"), "train_id").groupBy("of").agg(*(F.sum(c).alias(c) for c in ("rides", "minutes", "timed", "km", "measured")), *(F.countDistinct(end).alias(name) for name, end in ends.items()))
+    of_country = rides.join(trains.select("train_id", "of"), "train_id")
+    ridden = of_country.groupBy("of").agg(*(F.sum(c).alias(c) for c in ("rides", "minutes", "timed", "km", "measured")))
+    # each distinct count from rows of its own: several in one aggregate would copy every row for each of them
+    counted = [of_country.select("of", end).distinct().groupBy("of").agg(F.count(end).alias(name)) for name, end in ends.items()]
     out = t.operators.groupBy("country").agg(F.count("*").alias("nb_operators"))
-    for part in (held, ridden):
+    for part in (held, ridden, *counted):
         out = out.join(part, F.col("country").eqNullSafe(F.col("of")), "left").drop("of")
     return out.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ends})
 

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from slipcoach.functions import timetable as tt
-from slipcoach.operators import classify, cleaning, dashboard, merge, ml, validate
-from slipcoach.plans import schemas
+from slipcoach.operators import classify, cleaning, dashboard, merge, ml, routes, validate, views
+from slipcoach.plans import lens, schemas
 from slipcoach.sources import feeds, store
 
 CALLS = "trip_id string, stop_id string, stop_sequence string, arrival_time string, departure_time string"
@@ -301,3 +301,30 @@ def test_columns_that_must_not_be_null():
         "schedules": ["schedule_id", "train_id", "origin_id", "destination_id", "departure_time", "arrival_time", "duration_min"],
     }
     assert schemas.SCHEMAS["trains"]["train_number"].metadata["role"] == "source_id"
+
+
+def test_route_figures_by_ids_are_those_by_names(spark):
+    t = lens.canonical(spark, "/root/testdata/sf0.001")
+    # stations that share names, that have none or a clock for a name, and that are not there
+    odd = F.when(F.col("station_id") % 7 == 0, "twin").when(F.col("station_id") % 11 == 0, " twin ").when(F.col("station_id") % 13 == 0, "12:30").when(F.col("station_id") % 17 != 0, F.col("name"))
+    t = t._replace(stations=t.stations.withColumn("name", odd).filter("station_id % 19 <> 0"), trains=t.trains.withColumn("operator_id", F.when(F.col("train_id") % 5 == 0, -1).otherwise(F.col("operator_id"))))
+    base = dashboard.analytics_base(t)
+    shown = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in (r[c] for c in sorted(df.columns))]) for r in df.collect())
+    for name, more in (("network_kpis", {}), ("od_coverage", {}), ("overview_kpis", {}), ("top_links", {"limit": 400}), ("night_corridors", {"limit": 400}), ("night_shift_candidates", {"limit": 4000})):
+        by_id, by_name = getattr(routes, name)(t, **more), getattr(dashboard, name)(base, **more)
+        assert shown(by_id) == shown(by_name.select(by_id.columns)), name
+
+
+def test_no_fact_row_is_expanded_and_names_come_last(spark):
+    t = lens.canonical(spark, "/root/testdata/sf0.001")
+    base = dashboard.analytics_base(t)
+    plans = {f.__name__: f(t) for f in (routes.network_kpis, routes.od_coverage, routes.overview_kpis, routes.top_links, routes.night_corridors, views.v_country_stats, views.stats_by_country)}
+    plans |= {f.__name__: f(base) for f in (dashboard.top_operators_summary, dashboard.operator_summary)}
+    for name, df in plans.items():
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in text and "Generate" not in text, name
+    # the sums by station are under the names: the first join with a name stands above the first aggregate
+    lines = plans["network_kpis"]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    sums = next(k for k, x in enumerate(lines) if "Aggregate [origin_id" in x)
+    assert not any("c_name" in x and "Relation" not in x for x in lines[sums + 1 : next((k for k in range(sums + 1, len(lines)) if depth(lines[k]) <= depth(lines[sums])), len(lines))])
