@@ -364,6 +364,26 @@ def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["replace_source_slice"] = _slice
 
 
+#: By which the schedules are looked up, and files of the clustered table.
+_LOOKED_UP, _CLUSTERED = ("train_id", "origin_id", "destination_id"), 64
+
+
+def _clustered(look: Callable[[schemas.Tables, Callable[..., DataFrame]], DataFrame]) -> Query:
+    """A detail query on the schedules written in a clustered layout: of 64 files those are read that may hold the id."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, path = lens.canonical(spark, sf_dir), place(spark, "clustered")
+        store.write_clustered(t.schedules, path, _LOOKED_UP, _CLUSTERED)
+        return look(t, lambda **values: store.lookup(spark, path, **values))
+
+    return query
+
+
+QUERIES["clustered_station_departures"] = _clustered(lambda t, look: views.station_departures(t._replace(schedules=look(origin_id=12)), 12, "day"))
+QUERIES["clustered_station_arrivals"] = _clustered(lambda t, look: views.station_arrivals(t._replace(schedules=look(destination_id=12)), 12))
+QUERIES["clustered_train_schedules"] = _clustered(lambda t, look: views.train_schedules(t._replace(schedules=look(train_id=8)), 8))
+
+
 def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = dashboard.analytics_base(lens.canonical(spark, sf_dir))
     return base.select("train_id", F.col("train_type_raw").alias("train_type"), "duration_hours", "distance_km", "operator", "website", "departure_station", "arrival_station")

@@ -154,6 +154,55 @@ def replace_source_slice(df: DataFrame, path: str) -> None:
             return
 
 
+#: Bits of a column's rank in a clustered table.
+RANK_BITS = 6
+
+
+def _ranks(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Each column's place among its own quantiles, in RANK_BITS bits; a fixed number of quantiles reaches the driver."""
+    shares = [k / (1 << RANK_BITS) for k in range(1, 1 << RANK_BITS)]
+    found = df.approxQuantile(list(columns), shares, 0.004)
+
+    def rank(column: str, bounds: list[float]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(column))) if bounds else F.lit(0)
+
+    return [rank(c, bounds) for c, bounds in zip(columns, found, strict=True)]
+
+
+def write_clustered(df: DataFrame, path: str, columns: Sequence[str], files: int) -> DataFrame:
+    """Writes the table so that rows near in any of the numeric columns stand together, and returns it.
+
+    Rows are dealt over so many files by the interleaved bits of the columns' ranks (a Z-order); the version keeps the range of
+    each column in each file, so that lookup() opens few of them.
+    """
+    ranks = _ranks(df, columns)
+    bits = [F.shiftleft(F.shiftright(rank, j).bitwiseAND(F.lit(1)), j * len(columns) + k) for k, rank in enumerate(ranks) for j in range(RANK_BITS)]
+    place = bits[0]
+    for b in bits[1:]:
+        place = place.bitwiseOR(b)
+    dealt = df.withColumn("__place", place).repartitionByRange(files, "__place", *columns).sortWithinPartitions("__place", *columns)
+    own = versions.write_rows(dealt.drop("__place").withColumn("__file", F.spark_partition_id()), path, "__file", False, dealt=True)
+    spark = df.sparkSession
+    jobs = {r.job for r in own}
+    if own:
+        each = spark.read.parquet(*(f"{path}/data/{job}" for job in jobs)).groupBy("__file").agg(*(x for c in columns for x in (F.min(c).alias(f"least {c}"), F.max(c).alias(f"most {c}"))))
+        ranges = {str(r["__file"]): {c: [r[f"least {c}"], r[f"most {c}"]] for c in columns} for r in each.collect()}  # a row for each file
+        own = [r._replace(ranges=ranges[r.part]) for r in own]
+
+    def attempt(before: versions.Version | None) -> tuple[versions.Version, list[versions.Rows]]:
+        return versions.Version(before.number + 1 if before else 0, df.schema.json(), [], "range", files, 1, own), []
+
+    return versions.read(spark, path, versions.retried(spark, path, attempt))
+
+
+def lookup(spark: SparkSession, path: str, **values: int | str) -> DataFrame:
+    """The rows that have these values; files whose ranges exclude one of them are not opened."""
+    out = versions.read(spark, path, versions.latest(spark, path), values=values)
+    for c, v in values.items():
+        out = out.filter(F.col(c) == v)
+    return out
+
+
 def _named(df: DataFrame) -> DataFrame:
     """Default country, trimmed names, no row without a name."""
     df = with_missing(df, "country")

@@ -163,3 +163,20 @@ def test_chain_twice(spark, tmp_path):
     again = run()
     assert [t.count() for t in again] == [1, 2, 2, 1] and again.schedules.first().schedule_id == ride.schedule_id
     assert again.schedules.first().distance_km == ride.distance_km
+
+
+def test_lookups_open_few_files(spark, tmp_path):
+    path = f"file://{tmp_path}/z"
+    rows = spark.range(20_000).select(F.col("id"), (F.col("id") * 7919 % 500).alias("a"), (F.col("id") * 104729 % 300).alias("b"), F.when(F.col("id") % 3 > 0, F.col("id") % 90).alias("c"))
+    out = store.write_clustered(rows, path, ["a", "b"], 64)
+    assert out.count() == 20_000 and sorted(out.columns) == ["a", "b", "c", "id"]
+    for values in ({"a": 17}, {"b": 250}, {"a": 17, "b": 250}, {"a": 499}, {"c": 5}):
+        got, want = store.lookup(spark, path, **values), rows
+        for k, v in values.items():
+            want = want.filter(F.col(k) == v)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+    opened = lambda **values: len(store.lookup(spark, path, **values).inputFiles())
+    assert len(out.inputFiles()) >= 60 and opened(a=17) <= 16 and opened(b=250) <= 16 and opened(a=17, b=250) <= 4 and opened(a=9999) == 0
+    assert opened(c=5) == len(out.inputFiles())  # a column without ranges
+    empty = store.write_clustered(rows.limit(0), f"file://{tmp_path}/e", ["a"], 4)
+    assert empty.count() == 0 and store.lookup(spark, f"file://{tmp_path}/e", a=1).count() == 0
