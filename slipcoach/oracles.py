@@ -322,5 +322,6 @@ stored_rides AS (
   JOIN placed x ON x.stop_id = o JOIN stored_stations a ON a.name = x.name JOIN placed y ON y.stop_id = e JOIN stored_stations b ON b.name = y.name WHERE a.name <> b.name)
 SELECT o.operator_id, o.name AS operator_name, o.country, {_SUMMARY}, count(s.train_id) AS total_schedules, round(avg(s.duration_min), 0) AS avg_duration_min, round(avg(s.km), 0) AS avg_distance_km
 FROM stored_ops o LEFT JOIN stored_trains t ON t.operator_id = o.operator_id LEFT JOIN stored_rides s ON s.train_id = t.train_id GROUP BY ALL"""
+_PLAIN["quality_metrics_observed"] = _PLAIN["quality_metrics_record"]
 _PLAIN |= {f"clustered_{k}": _PLAIN[k] for k in ("station_departures", "station_arrivals", "train_schedules")}
 ORACLE = {k: _sql(v) for k, v in _PLAIN.items()} | {k: _sql(v, _FEED) for k, v in _FEEDS.items()} | {k: _sql(v, _LOADED) for k, v in _LOADS.items()} | {"chain_operator_summary": f"WITH {lens.ORACLE},{_CHAIN}"}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slipcoach.functions import timetable as tt
-from slipcoach.operators import classify, cleaning, dashboard, merge, ml, routes, validate, views
+from slipcoach.operators import classify, cleaning, dashboard, merge, ml, observed, routes, validate, views
 from slipcoach.plans import lens, schemas
 from slipcoach.sources import feeds, store
 
@@ -328,3 +328,25 @@ def test_no_fact_row_is_expanded_and_names_come_last(spark):
     depth = lambda x: len(x) - len(x.lstrip(" :+-"))
     sums = next(k for k, x in enumerate(lines) if "Aggregate [origin_id" in x)
     assert not any("c_name" in x and "Relation" not in x for x in lines[sums + 1 : next((k for k in range(sums + 1, len(lines)) if depth(lines[k]) <= depth(lines[sums])), len(lines))])
+
+
+def test_quality_figures_on_the_way(spark):
+    rows = [(1, "A", "FR", "x"), (1, "A", "FR", "x"), (2, None, "FR", "x"), (3, "B", "long", "y"), (4, "C", None, None), (5, " ", "FR", "y")]
+    operators = spark.createDataFrame(rows, "operator_id long, name string, country string, source_name string")
+    stored, record = observed.process({"operators": operators}, ["x", "y", "z", None])
+    assert sorted(r.operator_id for r in stored["operators"].collect()) == [1, 4]
+    got = {(r.source_name, r.stage, r.metric): r.value for r in record.collect()}
+    assert {r[0] for r in got} == {"x", "y", None} and len(got) == 3 * 13
+    of = lambda s, *names: [got[s, *n.split(".")] for n in names]
+    assert of("x", "extraction.rows_extracted", "cleaning.duplicates_removed", "cleaning.nulls_found", "transformation.rows_rejected", "loading.rows_loaded") == [3, 1, 1, 1, 1]
+    assert of("y", "extraction.rows_extracted", "transformation.rows_rejected", "loading.rows_loaded") == [2, 2, 0] and of(None, "transformation.nulls_filled", "loading.rows_loaded") == [1, 1]
+    by_hand = validate.quality_metrics_record({"operators": operators}, {"operators": stored["operators"]})
+    assert got == {(r.source_name, r.stage, r.metric): r.value for r in by_hand.collect()}
+    with pytest.raises(ValueError):
+        observed.process({"operators": operators}, ["x", None])
+
+
+def test_observed_tables_are_read_once(spark, tmp_path):
+    spark.range(10).selectExpr("id AS operator_id", "'n' AS name", "'s' AS source_name").write.parquet(f"{tmp_path}/o")
+    plan = observed._flow(spark.read.parquet(f"{tmp_path}/o"), "operators", observed._Steps(["s"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("CollectMetrics") == 3
