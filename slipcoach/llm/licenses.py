@@ -1,10 +1,11 @@
 """License scan by a positional rare-token index.
 
-Templates are short passages of well-known licences. Of each template the words of its mandatory key phrase with the
-highest inverse document frequency (over all files) are looked up in a file, wherever they stand, so that no template
-depends on what else the file holds; postings that agree on where the template would begin are one candidate, and a
-candidate holds if enough of the template stands in place there and its mandatory key phrase does. A template that holds
-has all words of its key phrase in place, so none is lost. Besides, a few base phrases count wherever they stand.
+Templates are short passages and identifiers of well-known licences. Each is posted, with the place, under the word of its
+mandatory key phrase that has the highest inverse document frequency over all files. A file looks up those of its words that
+have postings, wherever they stand; a posting is a candidate if the key phrase's next rarest words stand at the same
+relative places, and holds if enough of the template does and the whole key phrase. A template that holds has all words of
+its key phrase in place, so none is lost; templates whose word no file of a batch has cost nothing. Besides, a few base
+phrases count wherever they stand.
 
 Words are runs of 0-9, letters a-z after lower-casing A-Z, and non-ASCII characters.
 
@@ -29,6 +30,11 @@ from slipcoach.plans import shared as scratch
 
 #: Phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+#: Identifiers that follow "SPDX-License-Identifier:"; their labels are they themselves in lower case.
+IDENTIFIERS = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "ISC", "Zlib", "BSL-1.0", "CC0-1.0", "Unlicense",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-ND-4.0",
+)
 #: Label, passage, mandatory key phrase (part of the passage).
 TEMPLATES = (
     ("mit", "released under the mit license", "the mit license"),
@@ -56,12 +62,16 @@ TEMPLATES = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages arising from the use of this software"),
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
     ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
-    ("mit", "spdx license identifier mit", "license identifier mit"),
-    ("apache-2.0", "spdx license identifier apache 2 0", "license identifier apache 2 0"),
-    ("gpl-2.0", "spdx license identifier gpl 2 0", "license identifier gpl 2 0"),
-    ("gpl-3.0", "spdx license identifier gpl 3 0", "license identifier gpl 3 0"),
-    ("bsd-3-clause", "spdx license identifier bsd 3 clause", "license identifier bsd 3 clause"),
-    ("mpl-2.0", "spdx license identifier mpl 2 0", "license identifier mpl 2 0"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4 0"),
+    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", "cc by nc nd 4 0"),
+    ("gpl-3.0", "the gnu general public license v3", "gnu general public license v3"),
+    ("gpl-2.0", "the gnu general public license v2", "gnu general public license v2"),
+    ("lgpl-3.0", "the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
+    ("lgpl-3.0", "the gnu lesser general public license v3", "gnu lesser general public license v3"),
+    ("agpl-3.0", "the gnu affero general public license v3", "gnu affero general public license v3"),
+) + tuple(
+    (label, f"spdx license identifier {' '.join(words)}", f"license identifier {' '.join(words)}") for label, words in ((x.lower(), x.lower().replace("-", " ").replace(".", " ").split()) for x in IDENTIFIERS)
 )
 #: Places of each key phrase, those of its rarest words, that must all vote for a candidate, and the part of a template that must stand in place.
 VOTES, IN_PLACE = 3, 0.7
@@ -92,6 +102,15 @@ class Index:
         at = np.arange(len(self.bodies[template]))[self.keys[template]]
         return at[np.argsort(-idf[self.bodies[template][at]], kind="stable")[:VOTES]]
 
+    def post(self, idf: np.ndarray) -> None:
+        """word -> (template, place, places of the other rare words) of the templates that it is the rarest key word of."""
+        self.postings: dict[int, list[tuple[int, int, list[int]]]] = {}
+        self.leads = np.zeros(len(self.words) + 1, bool)
+        for t, body in enumerate(self.bodies):
+            place, *others = (int(k) for k in self.rarest(t, idf))
+            self.postings.setdefault(int(body[place]), []).append((t, place, others))
+            self.leads[body[place]] = True
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for others."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -112,37 +131,38 @@ def _frequencies(index: Index) -> Callable:
     return run
 
 
-def _templates(index: Index, looked_up: list[np.ndarray], number: np.ndarray) -> dict[str, float]:
-    """label -> part of the template in place, of one file whose words have these numbers. looked_up: places by template."""
-    has = np.zeros(len(index.words), bool)
-    has[number[number >= 0]] = True
-    found: dict[int, np.ndarray] = {}
-    begin = []
-    for t, at in enumerate(looked_up):
-        body = index.bodies[t]
-        if not has[body[at]].all():
-            continue
-        start = None
-        for k in at:
-            if (w := int(body[k])) not in found:
-                found[w] = np.flatnonzero(number == w)
-            start = found[w] - k if start is None else start[np.isin(start, found[w] - k, assume_unique=True)]
-        begin += [(t, int(x)) for x in start]
-    out: dict[str, float] = {}
-    for t, start in begin:
-        body = index.bodies[t]
-        place = start + np.arange(len(body))
-        inside = (place >= 0) & (place < len(number))
-        same = np.zeros(len(body), bool)
-        same[inside] = number[place[inside]] == body[inside]
-        if same.mean() >= IN_PLACE and same[index.keys[t]].all():
-            out[index.labels[t]] = max(out.get(index.labels[t], 0.0), float(same.mean()))
+def _candidates(index: Index, number: np.ndarray, doc: np.ndarray, bound: np.ndarray) -> list[dict[str, float]]:
+    """By file: label -> part of the template in place. number: of each word of the files; bound: where each file begins and ends.
+
+    Only words that stand in the files are looked up: each under the templates that it is the rarest key word of.
+    """
+    out: list[dict[str, float]] = [{} for _ in range(len(bound) - 1)]
+    leads = np.flatnonzero(index.leads[number])  # -1 is none
+    for word in np.unique(number[leads]):
+        places = leads[number[leads] == word]
+        for t, place, others in index.postings[int(word)]:
+            at, start, body = places, places - place, index.bodies[t]
+            first, last = bound[doc[at]], bound[doc[at] + 1]
+
+            def stands(k: int, start: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+                inside = (start + k >= first) & (start + k < last)
+                return inside & (number[np.where(inside, start + k, 0)] == body[k])  # noqa: B023
+
+            for k in others:  # the places of the other rare words must be those relative to this one
+                held = stands(k, start, first, last)
+                at, start, first, last = at[held], start[held], first[held], last[held]
+            if not len(at):
+                continue
+            same = np.stack([stands(k, start, first, last) for k in range(len(body))])
+            part = same.mean(0)
+            for row in np.flatnonzero((part >= IN_PLACE) & same[index.keys[t]].all(0)):
+                of, label = out[doc[at[row]]], index.labels[t]
+                of[label] = max(of.get(label, 0.0), float(part[row]))
     return out
 
 
 def _scanned(index: Index, idf: np.ndarray) -> Callable:
-    looked_up = [index.rarest(t, idf) for t in range(len(index.bodies))]
-    least = min(map(len, looked_up))
+    index.post(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +179,8 @@ def _scanned(index: Index, idf: np.ndarray) -> Callable:
                         if w.doc[at] == w.doc[at + k - 1]:
                             base[w.doc[at]].add(label)
                             places[w.doc[at]].append(int(at - bound[w.doc[at]]))
-                marked = np.bincount(w.doc[number >= 0], minlength=w.rows)
                 labels, score = [], []
-                for r in range(w.rows):
-                    found = _templates(index, looked_up, number[bound[r] : bound[r + 1]]) if marked[r] >= least else {}
+                for r, found in enumerate(_candidates(index, number, w.doc, bound)):
                     labels.append(",".join(sorted(base[r] | set(found))))
                     score.append(max([1.0 if base[r] else 0.0, *found.values()]))
                 part = batch.slice(w.first, w.rows)

@@ -361,3 +361,22 @@ def test_columns_are_packed_without_loss():
     pairs = {"a": [b"a"] * 2, "b": [b"b"] * 2, "na": [3] * 2, "nb": [2] * 2, "block": [0] * 2, "ca": [jaccard._packed(near)] * 2, "cb": [jaccard._packed(near[1:]), jaccard._packed(near[1:] + np.uint64(1))]}
     got = next(jaccard._met(iter([pa.RecordBatch.from_pydict(pairs)])))
     assert got.column("met").to_pylist() == [2, 0]
+
+
+def test_identifiers_and_versions(spark):
+    texts = {
+        "SPDX-License-Identifier: LGPL-3.0": "lgpl-3.0", "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0", "licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0",
+        "See the GNU General Public License v3.": "gpl,gpl-3.0", "the GNU Lesser General Public License, version 3": "lgpl-3.0", "SPDX-License-Identifier: MIT": "mit", "spdx license": "", "license identifier": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == dict(enumerate(texts.values()))
+
+
+def test_templates_that_no_file_names_cost_nothing():
+    index = licenses.Index([("x", f"rare{k} word of a licence", f"rare{k} word") for k in range(5000)] + [("y", "a b c", "b c")])
+    index.post(np.array([float(w.startswith("rare")) for w in index.words]))
+    number = index.numbers(np.array([tokens.word_hash(w) for w in "a b c rare7 word of a licence a".split()], np.uint64))
+    tried = []
+    index.bodies = type("Watched", (list,), {"__getitem__": lambda self, k: tried.append(k) or list.__getitem__(self, k)})(index.bodies)
+    got = licenses._candidates(index, number, np.zeros(len(number), np.int64), np.array([0, len(number)]))
+    assert got == [{"x": 1.0, "y": 1.0}] and sorted(tried) == [7, 5000]
