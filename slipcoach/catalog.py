@@ -13,7 +13,7 @@ from slipcoach.operators import classify, cleaning, compare, dashboard, geo, mer
 from slipcoach.oracles import ORACLE
 from slipcoach.plans import chain, lens, schemas
 from slipcoach.plans.shared import place, remove, save
-from slipcoach.sources import feeds, store
+from slipcoach.sources import bucketed, feeds, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -393,6 +393,21 @@ QUERIES["clustered_station_arrivals"] = _clustered(lambda t, look: views.station
 QUERIES["clustered_train_schedules"] = _clustered(lambda t, look: views.train_schedules(t._replace(schedules=look(train_id=8)), 8))
 
 
+#: Buckets of the tables by train: one task each on both sides of a join.
+_BUCKETED = 64
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operators' summary from trains and schedules bucketed by train: their sums and their join shuffle nothing by train."""
+    t, path = lens.canonical(spark, sf_dir), place(spark, "bucketed")
+    label = path.rpartition("-")[2]
+    made = {k: bucketed.write_bucketed(getattr(t, k), f"{k}_{label}", f"{path}/{k}", "train_id", _BUCKETED) for k in ("trains", "schedules")}
+    return views.v_operator_summary(t._replace(**made))
+
+
+QUERIES["bucketed_operator_summary"] = _bucketed
+
+
 def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = dashboard.analytics_base(lens.canonical(spark, sf_dir))
     return base.select("train_id", F.col("train_type_raw").alias("train_type"), "duration_hours", "distance_km", "operator", "website", "departure_station", "arrival_station")

@@ -324,4 +324,5 @@ SELECT o.operator_id, o.name AS operator_name, o.country, {_SUMMARY}, count(s.tr
 FROM stored_ops o LEFT JOIN stored_trains t ON t.operator_id = o.operator_id LEFT JOIN stored_rides s ON s.train_id = t.train_id GROUP BY ALL"""
 _PLAIN["quality_metrics_observed"] = _PLAIN["quality_metrics_record"]
 _PLAIN |= {f"clustered_{k}": _PLAIN[k] for k in ("station_departures", "station_arrivals", "train_schedules")}
+_PLAIN["bucketed_operator_summary"] = _PLAIN["v_operator_summary"]
 ORACLE = {k: _sql(v) for k, v in _PLAIN.items()} | {k: _sql(v, _FEED) for k, v in _FEEDS.items()} | {k: _sql(v, _LOADED) for k, v in _LOADS.items()} | {"chain_operator_summary": f"WITH {lens.ORACLE},{_CHAIN}"}
