@@ -10,7 +10,12 @@ from all items' seeds, so one pass over the texts serves a benchmark of any size
 least ceil(coverage * n) / match of its places with the text, so its most frequent seeds, fewer places than that, need
 not be joined: a phrase that very many texts and items have brings no pairs.
 
-Defined results: a null or empty text leaks nothing; an item of fewer words than a seed is never found; repeated rows, of
+Items of fewer words than a seed are matched whole where `short` asks for it: such an item is its own seed, and a text leaks it
+if all its words stand there in a row. `clean` does not ask for it unless told to, since a phrase of one to three words stands in
+many texts that have nothing to do with a benchmark.
+
+Defined results: a null or empty text leaks nothing; an item of fewer words than a seed is found whole or, without
+`short`, not at all; an item without words is never found; repeated rows, of
 texts or of items, are judged each by itself, and null ids stay null; of matches of one length the one that begins first
 in the item, then in the text, is the tile; an empty table of texts or items gives an empty result (and drops nothing);
 other columns are ignored by `leaks` and pass through `clean`, whatever their names.
@@ -107,43 +112,45 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _itemised(match: int) -> Callable:
-    """(item, item_id, n, words, seeds: of every place)"""
+def _itemised(match: int, least: int) -> Callable:
+    """(item, item_id, n, words, seeds: of every place) of the items of that many words at least"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(r, w) for r, w in _sequences(batch.column("text")) if len(w) >= match]
+            got = [(r, w) for r, w in _sequences(batch.column("text")) if len(w) >= least]
             at = pa.array([r for r, _ in got], pa.int64())
-            seeds = _lists([tokens.grams(w, match) for _, w in got])
+            seeds = _lists([tokens.grams(w, min(match, len(w))) for _, w in got])
             yield pa.RecordBatch.from_arrays([batch.column("item").take(at), batch.column("item_id").take(at), pa.array([len(w) for _, w in got], pa.int64()), _blobs([w for _, w in got]), seeds], names=["item", "item_id", "n", "words", "seeds"])
 
     return run
 
 
-def _probed(match: int, shared) -> Callable:
-    """(id, digest, words, seeds) of the texts with seeds that pass the filter: the words of such seeds, with a 0 between runs."""
+def _probed(lengths: list[int], shared) -> Callable:
+    """(id, digest, words, seeds) of the texts with seeds of these lengths that pass the filter: the words of such seeds, with a 0 between runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, flags = shared.value
         for batch in batches:
             at, words, seeds = [], [], []
             for r, w in _sequences(batch.column("text")):
-                if len(w) < match:
-                    continue
-                grams = tokens.grams(w, match)
-                slot = (grams >> _U(64 - bits)).astype(np.int64)
-                hit = np.flatnonzero(flags[slot >> 3] >> (slot & 7) & 1)
-                if not len(hit):
+                kept, passed = np.zeros(len(w) + 1, bool), []
+                for length in lengths:
+                    if len(w) < length:
+                        continue
+                    grams = tokens.grams(w, length)
+                    slot = (grams >> _U(64 - bits)).astype(np.int64)
+                    hit = np.flatnonzero(flags[slot >> 3] >> (slot & 7) & 1)
+                    for k in range(length):
+                        kept[hit + k] = True
+                    passed.append(grams[hit])
+                if not kept.any():
                     continue
-                kept = np.zeros(len(w) + 1, bool)
-                for k in range(match):
-                    kept[hit + k] = True
                 gap = np.flatnonzero(kept[:-1] & ~kept[1:]) + 1  # behind each run
                 held = np.where(kept, np.append(w, _U(0)), _U(0))
                 kept[gap] = True
                 at.append(r)
                 words.append(held[kept])
-                seeds.append(np.unique(grams[hit]))
+                seeds.append(np.unique(np.concatenate(passed)))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("digest").take(rows), _blobs(words), _lists(seeds)], names=["id", "digest", "words", "seeds"])
 
@@ -156,13 +163,14 @@ def _tiled(match: int, coverage: float) -> Callable:
             keep, made = [], []
             for k, (x, y) in enumerate(zip(batch.column("item_words"), batch.column("text_words"), strict=True)):
                 item, text = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
-                both = np.isin(tokens.grams(item, match), tokens.grams(text, match)) if len(text) >= match else np.zeros(1, bool)
+                seed = min(match, len(item))
+                both = np.isin(tokens.grams(item, seed), tokens.grams(text, seed)) if len(text) >= seed else np.zeros(1, bool)
                 near = np.zeros(len(item), bool)
-                for j in range(match):
+                for j in range(seed):
                     near[np.flatnonzero(both) + j] = True
                 if near.sum() < coverage * len(item):  # no tile holds a word outside the seeds
                     continue
-                found = tiles(item, text, match)
+                found = tiles(item, text, seed)
                 if found and sum(found) >= coverage * len(item):
                     keep.append(k)
                     made.append((sum(found) / len(item), len(found), max(found)))
@@ -183,19 +191,21 @@ def _flags(spark: SparkSession, hashes: DataFrame, bits: int, column: str) -> np
     return out.view(np.uint8)
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, id_col: Column, text_col: str, item_col: str, item_text: str, match: int, coverage: float) -> DataFrame:
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: Column, text_col: str, item_col: str, item_text: str, match: int, coverage: float, short: bool) -> DataFrame:
     """(id, digest, item_id, item_words, coverage, n_tiles, longest_tile) of every text and item that it leaks."""
     spark = docs.sparkSession
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     of_item, of_text = dict(items.dtypes)["item_id"], docs.select(id_col.alias("id")).dtypes[0][1]
-    items = scratch.save(items.mapInArrow(_itemised(match), f"item long, item_id {of_item}, n long, words binary, seeds array<long>"), "items")
+    items = scratch.save(items.mapInArrow(_itemised(match, 1 if short else match), f"item long, item_id {of_item}, n long, words binary, seeds array<long>"), "items")
     seeds = items.select("item", "n", F.explode("seeds").alias("seed")).groupBy("seed", "item", "n").agg(F.count("*").alias("places"))
     seeds = scratch.save(seeds, "seeds")
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * seeds.count()).bit_length()))
     shared = spark.sparkContext.broadcast((bits, _flags(spark, seeds, bits, "seed")))
+    # lengths of seeds that items have: at most `match` of them
+    lengths = [r.length for r in items.select(F.least("n", F.lit(match)).alias("length")).distinct().orderBy("length").collect()]
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(id_col.alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
-    probed = rows.mapInArrow(_probed(match, shared), f"id {of_text}, digest string, words binary, seeds array<long>")
+    probed = rows.mapInArrow(_probed(lengths, shared), f"id {of_text}, digest string, words binary, seeds array<long>")
     hits = scratch.save(probed.withColumn("row", F.monotonically_increasing_id()), "hits")
     said = hits.select("row", F.explode("seeds").alias("seed"))
     often = said.groupBy("seed").agg(F.count("*").alias("texts"))
@@ -212,18 +222,18 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: Column, text_col: st
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE, short: bool = False) -> DataFrame:
     """One row per document and item that it leaks: id, item_id, item_words, coverage, n_tiles, longest_tile."""
-    found = _matches(docs, benchmark, F.col(f"`{id_col}`"), text_col, item_col, item_text, match, coverage)
+    found = _matches(docs, benchmark, F.col(f"`{id_col}`"), text_col, item_col, item_text, match, coverage, short)
     return found.select(F.col("id").alias(id_col), "item_id", "item_words", "coverage", "n_tiles", "longest_tile")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE, short: bool = False) -> DataFrame:
     """The documents that leak no item, as they are.
 
     A table of bits of a fixed size tells most texts that they are clean, so that only those that may leak are shuffled.
     """
-    leaky = _matches(docs, benchmark, F.lit(0), text_col, item_col, item_text, match, coverage).select(F.col("digest").alias("leaky")).distinct()
+    leaky = _matches(docs, benchmark, F.lit(0), text_col, item_col, item_text, match, coverage, short).select(F.col("digest").alias("leaky")).distinct()
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << LEAKY_BITS))
     set_ = leaky.select(slot("leaky").alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")).alias("digest"))

@@ -375,6 +375,26 @@ def test_tiling(spark, monkeypatch):
     assert tiling.leaks(docs, bench.limit(0)).count() == 0 and tiling.clean(docs, bench.limit(0)).count() == 9 and tiling.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_items_shorter_than_a_seed(spark):
+    rng = random.Random(8)
+    items = {10: "q1 q2", 11: "q3", 12: "q1 q2 q3", 13: "", 14: None, 15: "Q2, q2!", 16: "q1 q2 q3 q1", 17: "q1 q2 q3 q1 q2 q9"}
+    texts = [[f"q{rng.randrange(1, 4)}" if rng.random() < 0.5 else f"n{k}" for k in range(rng.randrange(30))] for _ in range(120)] + [["q3"], ["q1", "q2"], []]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)] + [(-1, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in tiling.leaks(docs, bench, short=True).collect()}
+    want = set()
+    for k, w in enumerate(texts):
+        for i, item in {10: "q1 q2", 11: "q3", 12: "q1 q2 q3", 15: "q2 q2", 16: "q1 q2 q3 q1"}.items():
+            n = len(item.split())
+            if any(" ".join(w[j : j + n]) == item for j in range(len(w) - n + 1)):
+                want.add((k, i))
+    assert {k for k in got if k[1] != 17} == want and len({i for _, i in want}) == 5
+    assert all((r.coverage, r.n_tiles, r.longest_tile) == (1.0, 1, r.item_words) for r in got.values() if r.item_id < 17)
+    long_ones = {(r.doc_id, r.item_id) for r in tiling.leaks(docs, bench).collect()}
+    assert long_ones == {k for k in got if k[1] > 15}
+    assert {r.doc_id for r in tiling.clean(docs, bench, short=True).collect()} == {-1, *range(len(texts))} - {k for k, _ in got}
+
+
 def test_tiles_are_greedy():
     def plain(a, b, least):
         used_a, used_b, out = set(), set(), []
