@@ -10,8 +10,11 @@ and after all its occurrences are counted, and it goes to the class in which the
 likely (all words of a sweep at once, as Uszkoreit and Brants, 2008). Only words that no training text has get the class
 that most training words of their last letters and length have.
 
-Counts and classes of the frequent words go along with the tasks (a table of at most HEAD rows); each other occurrence
-meets the table in a join by word, and comes back to its document.
+Counts and classes of the frequent words go along with the tasks (a table of at most HEAD rows). What stands beside the other
+words is gathered once, a row a word (such a word has at most about 1/HEAD of all tokens); in a sweep that row tells the words
+beside it the class of its own. Only contexts among frequent words are counted over the texts in each sweep, and added
+up by slices of the frequent words. For the scores, each occurrence of another word meets the table in a join by word, and
+comes back to its document.
 
 Probabilities are smoothed and sum to 1: an unseen word takes one place in its class, a class before another is mixed
 with the classes' own shares.
@@ -27,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +40,18 @@ from slipcoach.plans import shared as scratch
 #: Most words whose counts go along with the tasks (16 bytes each), most words that are units, units of other words, classes.
 HEAD, OWN_UNITS, TAIL_UNITS, CLASSES = 1 << 18, 512, 256, 48
 ROUNDS, PRIOR, ADD = 6, 5.0, 0.5
-#: Sweeps over all words; codes of a context: the class before, CLASSES + the class after, then the word itself and what marks it.
+#: Sweeps over all words; codes of a context: the class before, CLASSES + the class after, then the word itself.
 SWEEPS = 2
-SELF, CLASS, TAIL, LOW, HIGH = range(2 * CLASSES, 2 * CLASSES + 5)
+SELF = 2 * CLASSES
 _CONTEXT = np.dtype([("code", "u1"), ("n", "<u4")])
+#: Beside a word that is not frequent: 2 * place of a frequent word + side, or the word itself; any other word. Side: 0 before, 1 after.
+_NEAR, _FAR, OWN = np.dtype("<u4"), np.dtype([("word", "<u8"), ("side", "u1")]), 2**32 - 1
+_STATE, _STATE_SCHEMA = ["word", "tail", "n", "class", "near", "far"], "word long, tail int, n long, class int, near binary, far binary"
+#: Parts of it on their way to one another; mark: tail, n and class, in one part of each word.
+_PART, _PART_SCHEMA = ["word", "contexts", "mark", "near", "far"], "word long, contexts binary, mark binary, near binary, far binary"
+_MARK = np.dtype([("tail", "<i4"), ("n", "<i8"), ("class", "<i4")])
+#: Contexts of frequent words, in slices of 64 words: 128 * place in the slice + code, and how often.
+SLICE, _CELL, _CELLS = 64 * 128, np.dtype([("key", "<u2"), ("n", "<u4")]), "slice int, cells binary"
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text: a token with its own unit and class.
 END = tokens.word_hash("\n")
@@ -188,29 +200,34 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarr
     return of
 
 
-def _sequence(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of whole texts that follow one another, and of each token the number of the word before it and its own."""
-    word, at = np.unique(np.concatenate(parts), return_inverse=True)
-    return word, np.concatenate([[np.searchsorted(word, _U(END))], at[:-1]]), at
-
-
-def _in_turn(make: Callable) -> Callable:
-    """make(sequence) for bounded runs of whole texts; each text ends with END, so that the one after it begins after an end."""
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, but for the last one."""
+    parts, held = [], 0
+    for batch in batches:
+        if len(batch):
+            parts.append(batch)
+            held += len(batch)
+        if held >= rows:
+            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            parts, held = [], 0
+    if held:
+        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for w in tokens.words(batch.column("text")):
-                row = np.concatenate([w.doc, np.arange(w.rows)])
-                parts.append(np.concatenate([w.hash, np.full(w.rows, END, _U)])[np.argsort(row, kind="stable")])
-                held += len(row)
-                if held > 1 << 20:
-                    yield make(*_sequence(parts))
-                    parts, held = [], 0
-        if held:
-            yield make(*_sequence(parts))
 
-    return run
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Words of bounded runs of whole texts in order; each text ends with END, so that the one after it begins after an end."""
+    parts, held = [], 0
+    for batch in batches:
+        for w in tokens.words(batch.column("text")):
+            line = np.full(len(w.hash) + w.rows, END, _U)
+            line[np.arange(len(w.hash)) + w.doc] = w.hash
+            parts.append(line)
+            held += len(line)
+            if held > 1 << 20:
+                yield np.concatenate(parts)
+                parts, held = [], 0
+    if held:
+        yield np.concatenate(parts)
 
 
 def _known(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,122 +238,233 @@ def _known(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, words[at] == hashes
 
 
-def _packed(word: np.ndarray, at: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """(word, contexts): equal codes of a word added up, in order; at: number of the word of each entry."""
-    key = at * 128 + code
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    out = np.empty(len(first), _CONTEXT)
-    out["code"], out["n"] = key[first] & 127, np.add.reduceat(n[order], first) if len(key) else 0
-    of = key[first] >> 7
-    used = np.unique(of)
-    offsets = (np.concatenate([np.searchsorted(of, used), [len(of)]]) * _CONTEXT.itemsize).astype(np.int32)
-    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(word[used].view(np.int64)), blobs], names=["word", "contexts"])
+def _pairs(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before each word of a run; and the places of both among the frequent words, or -1."""
+    before = np.concatenate([[_U(END)], line[:-1]])
+    ends = np.concatenate([line, [_U(END)]]).view(np.int64)
+    place = pc.index_in(pa.array(ends), value_set=pa.array(words.view(np.int64))).fill_null(-1).to_numpy()
+    return before, np.concatenate([place[-1:], place[:-2]]), place[:-1]
 
 
-def _entries(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, n) of packed contexts."""
+def _summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their n (of ones, if there is no n)."""
+    if n is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+    if not len(key):
+        return key, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.diff(np.concatenate([first, [len(key)]])) if n is None else np.add.reduceat(n, first)
+
+
+def _blobs(offsets: np.ndarray, entries: np.ndarray) -> pa.Array:
+    """A binary column: row r has the entries offsets[r] .. offsets[r+1]-1."""
+    at = (offsets * entries.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(entries.tobytes())])
+
+
+def _entries(blobs: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entry) of a binary column of such entries."""
     _, offsets, data = blobs.buffers()
-    at = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // _CONTEXT.itemsize
-    flat = np.frombuffer(data, _CONTEXT)[at[0] : at[-1]] if len(blobs) else np.zeros(0, _CONTEXT)
-    return np.repeat(np.arange(len(blobs)), np.diff(at)), flat["code"].astype(np.int64), flat["n"].astype(np.int64)
+    at = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // kind.itemsize
+    n = int(at[-1] - at[0])
+    return np.repeat(np.arange(len(blobs)), np.diff(at)), np.frombuffer(data, kind, n, int(at[0]) * kind.itemsize) if n else np.zeros(0, kind)
+
+
+def _contexts_of(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n) of packed contexts."""
+    row, entry = _entries(blobs, _CONTEXT)
+    return row, entry["code"].astype(np.int64), entry["n"].astype(np.int64)
+
+
+def _packed(key: np.ndarray, n: np.ndarray, rows: int) -> pa.Array:
+    """Contexts of each row from distinct sorted keys 128 * row + code."""
+    out = np.empty(len(key), _CONTEXT)
+    out["code"], out["n"] = key & 127, n
+    return _blobs(np.searchsorted(key >> 7, np.arange(rows + 1)), out)
+
+
+def _nothing(rows: int) -> pa.Array:
+    """A binary column of empty values."""
+    return _blobs(np.zeros(rows + 1, np.int64), np.zeros(0, _NEAR))
+
+
+def _cells() -> tuple[Callable, Callable]:
+    """add(keys) for contexts of frequent words, 128 * place + code, and rest() at the end: both yield sums by slices of the words."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    def sliced(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        used, first = np.unique(key // SLICE, return_index=True)
+        out = np.empty(len(key), _CELL)
+        out["key"], out["n"] = key % SLICE, n
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), _blobs(np.concatenate([first, [len(key)]]), out)], names=["slice", "cells"])
+
+    def add(key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts.append(_summed(key.astype(np.uint32)))
+        if sum(len(p[0]) for p in parts) > 1 << 21:
+            parts[:] = [together()]
+            if len(parts[0][0]) > 1 << 20:
+                yield sliced(*parts.pop())
+
+    def rest() -> Iterator[pa.RecordBatch]:
+        if parts:
+            yield sliced(*together())
+
+    return add, rest
 
 
 def _contexts(shared) -> Callable:
-    """Classes before and after each word, as far as the neighbour is among the frequent words."""
+    """Classes before and after each frequent word, of the frequent words beside it."""
 
-    def make(word: np.ndarray, before: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        words, of = shared.value
-        place, known = _known(words, word)
-        kind = np.where(known, of[place] if len(of) else 0, -1)
-        other = before != at
-        left, right = np.flatnonzero(other & (kind[before] >= 0)), np.flatnonzero(other & (kind[at] >= 0))
-        whose = np.concatenate([at[left], before[right], at[~other]])
-        code = np.concatenate([kind[before[left]], CLASSES + kind[at[right]], np.full(int((~other).sum()), SELF)])
-        return _packed(word, whose, code, np.ones(len(code), np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, *_, of = shared.value
+        add, rest = _cells()
+        for line in _in_turn(batches):
+            _, before, at = _pairs(words, line)
+            both = (before >= 0) & (at >= 0)
+            before, at = before[both], at[both]
+            other = before != at
+            own, before, at = at[~other], before[other], at[other]
+            yield from add(np.concatenate([at * 128 + of[before], before * 128 + CLASSES + of[at], own * 128 + SELF]))
+        yield from rest()
 
-    return _in_turn(make)
+    return run
 
 
-def _rare_neighbours(shared) -> Callable:
-    """(word, of, after): each occurrence of a word that is not frequent as a neighbour of another word."""
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the other words are to the frequent words beside them."""
+    add, rest = _cells()
+    for batch in _larger(batches, 1 << 16):
+        row, near = _entries(batch.column("near"), _NEAR)
+        row, near = row[near != OWN], near[near != OWN].astype(np.int64)
+        yield from add((near >> 1) * 128 + (1 - (near & 1)) * CLASSES + batch.column("class").to_numpy()[row])
+    yield from rest()
 
-    def make(word: np.ndarray, before: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        rare = ~_known(shared.value[0], word)[1]
-        left, right = np.flatnonzero((before != at) & rare[before]), np.flatnonzero((before != at) & rare[at])
-        cols = [np.concatenate([before[left], at[right]]), np.concatenate([at[left], before[right]])]
-        after = np.repeat(np.array([0, CLASSES], np.int32), [len(left), len(right)])
-        return pa.RecordBatch.from_arrays([*(pa.array(word[c].view(np.int64)) for c in cols), pa.array(after)], names=["word", "of", "after"])
 
-    return _in_turn(make)
+def _frequent_words(shared) -> Callable:
+    """Frequent words with their contexts, from rows sorted by slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, tail, counts, of = shared.value
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs (word, code) rows."""
-    parts, held = [], 0
+        def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            used, at = np.unique(key >> 7, return_inverse=True)
+            cols = [pa.array(x) for x in (words[used].view(np.int64), tail[used], counts[used], of[used].astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*cols, _nothing(len(used)), _nothing(len(used)), _packed(at * 128 + (key & 127), n, len(used))], names=[*_STATE, "contexts"])
 
-    def packed() -> pa.RecordBatch:
-        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return _packed(word, at, np.concatenate([p[1] for p in parts]).astype(np.int64), np.ones(len(at), np.int64))
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            if len(batch):
+                at = batch.column("slice").to_numpy().astype(np.int64) * SLICE
+                row, cell = _entries(batch.column("cells"), _CELL)
+                key, n = _summed(np.concatenate([key, at[row] + cell["key"]]), np.concatenate([n, cell["n"].astype(np.int64)]))
+                over = int(np.searchsorted(key, at[-1]))
+                yield rows(key[:over], n[:over])
+                key, n = key[over:], n[over:]
+        if len(key):
+            yield rows(key, n)
 
-    for batch in batches:
-        parts.append((batch.column("word").to_numpy().view(_U), batch.column("code").to_numpy()))
-        held += len(batch)
-        if held > 1 << 20:
-            yield packed()
-            parts, held = [], 0
-    if held:
-        yield packed()
+    return run
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is known of each word, as contexts."""
-    for batch in batches:
-        if m := len(batch):
-            n = batch.column("n").to_numpy()
-            value = np.concatenate([batch.column("class").to_numpy(), batch.column("tail").to_numpy(), n & 0xFFFFFFFF, n >> 32])
-            yield _packed(batch.column("word").to_numpy().view(_U), np.tile(np.arange(m), 4), np.repeat([CLASS, TAIL, LOW, HIGH], m), value)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per word of rows sorted by word: (word, tail, n, class, contexts)."""
-
-    def rows(table: pa.RecordBatch) -> pa.RecordBatch:
-        word = table.column("word").to_numpy()
-        change = np.concatenate([[True], word[1:] != word[:-1]])
-        row, code, n = _entries(table.column("contexts"))
-        at = (np.cumsum(change) - 1)[row]
-        mark = np.zeros((int(change.sum()), 4), np.int64)
-        marked = code >= CLASS
-        mark[at[marked], code[marked] - CLASS] = n[marked]
-        # a word without another word beside it has no contexts: its mark stays as an entry that counts nothing
-        keep = ~marked | (code == CLASS)
-        packed = _packed(word[change].view(_U), at[keep], code[keep], np.where(marked, 0, n)[keep])
-        cols = [packed.column("word"), pa.array(mark[:, 1].astype(np.int32)), pa.array(mark[:, 2] + (mark[:, 3] << 32)), pa.array(mark[:, 0].astype(np.int32)), packed.column("contexts")]
-        return pa.RecordBatch.from_arrays(cols, names=["word", "tail", "n", "class", "contexts"])
-
-    rest = None
-    for batch in batches:
-        if not len(batch):
-            continue
+def _beside(shared) -> Callable:
+    """What stands beside each occurrence of a word that is not frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for line in _in_turn(batches):
+            before, before_at, at = _pairs(shared.value, line)
+            left, right = np.flatnonzero(at < 0), np.flatnonzero((before_at < 0) & (before != line))
+            word = np.concatenate([line[left], before[right]])
+            order = np.argsort(word)
+            word = word[order]
+            other, place = np.concatenate([before[left], line[right]])[order], np.concatenate([before_at[left], at[right]])[order]
+            side = np.repeat([0, 1], [len(left), len(right)])[order]
+            own = word == other
+            is_far = (place < 0) & ~own
+            far = np.empty(int(is_far.sum()), _FAR)
+            far["word"], far["side"] = other[is_far], side[is_far]
+            near = np.where(own, OWN, place.astype(np.int64) * 2 + side)[~is_far].astype(_NEAR)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            edges = np.concatenate([first, [len(word)]])
+            n_far = np.concatenate([[0], np.cumsum(is_far)])[edges]
+            nothing = _nothing(len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), nothing, nothing, _blobs(edges - n_far, near), _blobs(n_far, far)], names=_PART)
+
+    return run
+
+
+def _marks(batch: pa.RecordBatch, kind: np.ndarray) -> pa.Array:
+    out = np.empty(len(batch), _MARK)
+    out["tail"], out["n"], out["class"] = batch.column("tail").to_numpy(), batch.column("n").to_numpy(), kind
+    return _blobs(np.arange(len(batch) + 1), out)
+
+
+def _whole_words(rows: Callable) -> Callable:
+    """rows(batch, first) for batches of rows sorted by word, each with all rows of its words; first: where each word begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _larger(batches):
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            word = batch.column("word").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            if len(first) > 1:
+                yield rows(batch.slice(0, int(first[-1])), first[:-1])
+            rest = batch.slice(int(first[-1]))
         if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        word = batch.column("word").to_numpy()
-        last = int(np.searchsorted(word, word[-1]))
-        if last:
-            yield rows(batch.slice(0, last))
-        rest = batch.slice(last)
-    if rest is not None:
-        yield rows(rest)
+            yield rows(rest, np.zeros(1, np.int64))
+
+    return run
+
+
+def _spread(shared, more: bool) -> Callable:
+    """Each word that is not frequent with its contexts by frequent words, and what it is itself to the others beside it.
+
+    more: whether another sweep needs what stands beside the words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *_, of = shared.value
+        for batch in _larger(batches):
+            kind = batch.column("class").to_numpy().astype(np.int64)
+            row, near = _entries(batch.column("near"), _NEAR)
+            own = near == OWN
+            code = np.where(own, SELF, (near & 1) * CLASSES + of[np.where(own, 0, near >> 1)]) if len(of) else np.full(len(near), SELF)
+            beside = [batch.column("near"), batch.column("far")] if more else [_nothing(len(batch))] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _packed(*_summed(row * 128 + code), len(batch)), _marks(batch, kind), *beside], names=_PART)
+            row, far = _entries(batch.column("far"), _FAR)
+            other, at = np.unique(far["word"], return_inverse=True)
+            contexts = _packed(*_summed(at * 128 + (1 - far["side"].astype(np.int64)) * CLASSES + kind[row]), len(other))
+            yield pa.RecordBatch.from_arrays([pa.array(other.view(np.int64)), contexts, *[_nothing(len(other))] * 3], names=_PART)
+
+    return run
+
+
+def _merged(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+    """State and contexts of each word, of which one row has the mark."""
+    edges = np.concatenate([first, [len(batch)]])
+    _, mark = _entries(batch.column("mark"), _MARK)
+    beside = []
+    for name, kind in (("near", _NEAR), ("far", _FAR)):
+        row, entry = _entries(batch.column(name), kind)
+        beside.append(_blobs(np.searchsorted(row, edges), entry))
+    row, code, n = _contexts_of(batch.column("contexts"))
+    contexts = _packed(*_summed(np.repeat(np.arange(len(first)), np.diff(edges))[row] * 128 + code, n), len(first))
+    known = [pa.array(np.ascontiguousarray(mark[c])) for c in ("tail", "n", "class")]
+    return pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(first)), *known, *beside, contexts], names=[*_STATE, "contexts"])
 
 
 def _class_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(CLASSES * CLASSES, np.int64)
-    for batch in batches:
+    for batch in _larger(batches):
         of = batch.column("class").to_numpy()
-        row, code, n = _entries(batch.column("contexts"))
+        row, code, n = _contexts_of(batch.column("contexts"))
         before = np.where(code == SELF, of[row], code)
         use = (code < CLASSES) | (code == SELF)
         cells += np.bincount((before * CLASSES + of[row])[use], n[use], len(cells)).astype(np.int64)
@@ -386,62 +514,69 @@ def moves(table: np.ndarray, of: np.ndarray, row: np.ndarray, code: np.ndarray,
 
 def _moved(table: np.ndarray, tails: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                of = moves(table, batch.column("class").to_numpy().astype(np.int64), *_entries(batch.column("contexts")), tails[batch.column("tail").to_numpy()])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "tail", "n")), pa.array(of.astype(np.int32))], names=["word", "tail", "n", "class"])
+        for batch in _larger(batches, 2000):
+            of = moves(table, batch.column("class").to_numpy().astype(np.int64), *_contexts_of(batch.column("contexts")), tails[batch.column("tail").to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)) if c == "class" else batch.column(c) for c in _STATE], names=_STATE)
 
     return run
 
 
-def _first_classes(own: np.ndarray, of: np.ndarray) -> Callable:
+def _first_classes(own: np.ndarray, of: np.ndarray, marked: bool) -> Callable:
+    """States of words, or marks, without what stands beside them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word = batch.column("word").to_numpy().view(_U)
             at, known = _known(own, word)
             unit = np.where(known, at, len(own) + batch.column("tail").to_numpy())
             kind = np.where(word == _U(END), 0, of[unit]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "tail", "n")), pa.array(kind)], names=["word", "tail", "n", "class"])
+            nothing = _nothing(len(batch))
+            if marked:
+                yield pa.RecordBatch.from_arrays([batch.column("word"), nothing, _marks(batch, kind), nothing, nothing], names=_PART)
+            else:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "tail", "n")), pa.array(kind), nothing, nothing], names=_STATE)
 
     return run
 
 
-def _frequent(classed: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the steps from least, sorted by hash, with their counts and classes."""
-    got = classed.filter(_step() >= least).select("word", "n", "class").toArrow()
-    word = got.column("word").to_numpy().view(_U)
-    order = np.argsort(word)
-    return word[order], got.column("n").to_numpy()[order], got.column("class").to_numpy()[order].astype(np.int64)
+def _frequent(classed: DataFrame, least: int, names: tuple[str, ...] = ("word", "n", "class")) -> tuple[np.ndarray, ...]:
+    """Words of the steps from least, sorted by hash, with their counts and classes, or other columns."""
+    got = classed.filter(_step() >= least).select(*names).toArrow()
+    order = np.argsort(got.column("word").to_numpy().view(_U))
+    return tuple(got.column(c).to_numpy().astype({"word": _U, "tail": np.int32}.get(c, np.int64))[order] for c in names)
+
+
+def _together(parts: DataFrame) -> DataFrame:
+    """One row per word: state and contexts."""
+    return parts.repartition("word").sortWithinPartitions("word").mapInArrow(_whole_words(_merged), f"{_STATE_SCHEMA}, contexts binary")
 
 
 def classes(words: DataFrame, texts: DataFrame, least: int, sweeps: int = SWEEPS) -> DataFrame:
     """(word, tail, n, class) of all words (word, tail, n) of the texts; those of the steps from least go along with the tasks."""
     context = words.sparkSession.sparkContext
-    kinds = "word long, tail int, n long, class int"
     own, _, _ = _head(words.filter(F.col("word") != _signed(END)), OWN_UNITS)
     units = len(own) + TAIL_UNITS + 1
     size = -(-units * units // SLICES) * SLICES
     bigrams = dense.total(scratch.save(texts.mapInArrow(_bigrams(context.broadcast(own), units), dense.SCHEMA), "bigrams"), size, SLICES)
     of = exchange(bigrams[: units * units].reshape(units, units), CLASSES)
-    out = scratch.save(words.mapInArrow(_first_classes(own, of), kinds), "classes")
-    rare = None
-    for _ in range(sweeps):
-        word, _, kind = _frequent(out, least)
-        shared = context.broadcast((word, kind))
-        if rare is None:
-            rare = scratch.save(texts.mapInArrow(_rare_neighbours(shared), "word long, of long, after int"), "rare")
-        packed = "word long, contexts binary"
-        met = rare.join(out.filter(_step() < least).select("word", "class"), "word").select(F.col("of").alias("word"), (F.col("after") + F.col("class")).alias("code"))
-        parts = texts.mapInArrow(_contexts(shared), packed).union(met.mapInArrow(_met, packed)).union(out.mapInArrow(_marks, packed))
-        merged = parts.repartition("word").sortWithinPartitions("word").mapInArrow(_merged, f"{kinds}, contexts binary")
-        merged = scratch.save(merged, "contexts")
+    state = words.mapInArrow(_first_classes(own, of, False), _STATE_SCHEMA)
+    if sweeps:
+        (frequent,) = _frequent(words, least, ("word",))
+        beside = texts.mapInArrow(_beside(context.broadcast(frequent)), _PART_SCHEMA)
+        rare = words.filter(_step() < least).mapInArrow(_first_classes(own, of, True), _PART_SCHEMA).union(beside)
+        state = state.filter(_step() >= least).union(_together(rare).drop("contexts"))
+    state = scratch.save(state, "classes")
+    for sweep in range(sweeps):
+        shared = context.broadcast(_frequent(state, least, ("word", "tail", "n", "class")))
+        rare = state.filter(_step() < least)
+        cells = texts.mapInArrow(_contexts(shared), _CELLS).union(rare.select("class", "near").mapInArrow(_given, _CELLS))
+        frequent = cells.repartition("slice").sortWithinPartitions("slice").mapInArrow(_frequent_words(shared), f"{_STATE_SCHEMA}, contexts binary")
+        merged = scratch.save(frequent.union(_together(rare.mapInArrow(_spread(shared, sweep < sweeps - 1), _PART_SCHEMA))), "contexts")
         table = dense.total(merged.mapInArrow(_class_bigrams, dense.SCHEMA), CLASSES * CLASSES, SLICES).reshape(CLASSES, CLASSES).astype(float)
-        new = scratch.save(merged.mapInArrow(_moved(table, of[len(own) : -1]), kinds), "classes")
-        scratch.drop(merged, out)
-        out = new
-    if rare is not None:
-        scratch.drop(rare)
-    return out
+        new = scratch.save(merged.mapInArrow(_moved(table, of[len(own) : -1]), _STATE_SCHEMA), "classes")
+        scratch.drop(merged, state)
+        state = new
+    return state.select("word", "tail", "n", "class")
 
 
 class Model:

@@ -307,6 +307,57 @@ def test_every_word_is_clustered(spark):
         assert sum(max(share[c, k] for k in range(3)) for c in set(held.values())) >= 0.95 * len(held) > 1400
 
 
+def test_a_sweep_by_brute_force_and_what_it_shuffles(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [None, ""]
+    for k in range(150):
+        a, b = f"r{2 * k}x{k % 7}", f"r{2 * k + 1}x{k % 5}"
+        texts.append(" ".join(w for _ in range(60) for w in ("ab", a, "cd", *((a, b) if rng.random() < 0.1 else (b,)), *rng.choice([["ef"], ["ef", "ef"], [b]]))))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).cache()
+    words = docs.mapInArrow(brown._counted, "word long, tail int, n long").groupBy("word").agg({"tail": "first", "n": "sum"}).toDF("word", "tail", "n").cache()
+    lines = [[brown._signed(tokens.word_hash(w)) for w in [*(t or "").split(), "\n"]] for t in texts]
+    end, size, table = lines[0][0], brown.CLASSES, {r["word"]: r for r in words.collect()}
+    place = {w: k for k, w in enumerate(sorted(table))}
+    monkeypatch.setattr(brown, "exchange", lambda counts, classes: np.append(1 + np.arange(len(counts) - 1) % (classes - 1), 0))
+    first_of = 1 + np.arange(brown.OWN_UNITS + brown.TAIL_UNITS) % (size - 1)
+    tails = first_of[len(table) - 1 :][: brown.TAIL_UNITS]  # all words but the end are units of their own
+
+    def shuffled():
+        jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        stages, total = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none).iterator(), 0
+        while stages.hasNext():
+            total += stages.next().shuffleWriteRecords()
+        return total
+
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        for most in (0, 2, 3, brown.HEAD):
+            _, _, least = brown._head(words, most)
+            first = {r["word"]: r["class"] for r in brown.classes(words, docs, least, 0).collect()}
+            before = shuffled()
+            got = {r["word"]: r["class"] for r in brown.classes(words, docs, least, 1).collect()}
+            if most == 3:
+                assert sum(r["n"] for r in table.values() if r["n"] < 200) > 18_000 > 9000 > shuffled() - before
+            of = np.array([first[w] for w in place])
+            wide, pairs = np.zeros((len(place), 2 * size + 1), np.int64), np.zeros((size, size))
+            for line in lines:
+                for a, b in itertools.pairwise([place[end], *(place[w] for w in line)]):
+                    pairs[of[a], of[b]] += 1
+                    if a == b:
+                        wide[a, 2 * size] += 1
+                    else:
+                        wide[a, size + of[b]] += 1
+                        wide[b, of[a]] += 1
+            row, code = np.nonzero(wide)
+            want = brown.moves(pairs, of, row, code, wide[row, code], tails[[table[w]["tail"] for w in place]])
+            assert got == dict(zip(place, want.tolist(), strict=True)) and got != first
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+
+
 def test_moves_are_the_likeliest():
     rng = np.random.default_rng(2)
     counts, size = rng.poisson(2, (21, 21)), 5
