@@ -350,3 +350,21 @@ def test_observed_tables_are_read_once(spark, tmp_path):
     spark.range(10).selectExpr("id AS operator_id", "'n' AS name", "'s' AS source_name").write.parquet(f"{tmp_path}/o")
     plan = observed._flow(spark.read.parquet(f"{tmp_path}/o"), "operators", observed._Steps(["s"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("CollectMetrics") == 3
+
+
+def test_clocks_of_rides_are_read_once_a_trip(spark):
+    """Above the aggregate of the calls a filter on the minutes took a copy of each clock's parser for each place it is used in."""
+    two = {"renfe": feed(spark), "sncb": feed(spark, "South")}
+    trains = spark.createDataFrame([(1, "renfe_t"), (2, "sncb_t")], "train_id long, trip_id string")
+    stations = spark.createDataFrame([(1, "renfe_a"), (2, "renfe_b"), (3, "sncb_a"), (4, "sncb_b")], "station_id long, stop_id string")
+    rides = merge.merge_schedules(two, trains, stations)
+    assert sorted((r.train_id, r.origin_id, r.destination_id, r.duration_min) for r in rides.collect()) == [(1, 1, 2, 420), (2, 3, 4, 420)]
+    assert rides._jdf.queryExecution().optimizedPlan().toString().count("[0-5]?\\d$)") == 2
+
+
+def test_clocks_that_are_numbers_or_timestamps(spark):
+    calls = [("t", "a", "1", "600", "600"), ("t", "b", "2", "4200", "4200"), ("u", "a", "1", "2025-01-01T22:00:00", "2025-01-01T22:00:00"), ("u", "b", "2", "23:30:00", "23:30:00"), ("v", "a", "1", "x", "x"), ("v", "b", "2", "10:00:00", "10:00:00")]
+    trains = spark.createDataFrame([(1, "renfe_t"), (2, "renfe_u"), (3, "renfe_v")], "train_id long, trip_id string")
+    stations = spark.createDataFrame([(1, "renfe_a"), (2, "renfe_b")], "station_id long, stop_id string")
+    rides = merge.merge_schedules({"renfe": {"stop_times": spark.createDataFrame(calls, CALLS)}}, trains, stations)
+    assert sorted((r.train_id, r.duration_min) for r in rides.collect()) == [(1, 60), (2, 90)]
