@@ -180,3 +180,11 @@ def test_lookups_open_few_files(spark, tmp_path):
     assert opened(c=5) == len(out.inputFiles())  # a column without ranges
     empty = store.write_clustered(rows.limit(0), f"file://{tmp_path}/e", ["a"], 4)
     assert empty.count() == 0 and store.lookup(spark, f"file://{tmp_path}/e", a=1).count() == 0
+
+
+def test_one_layer_is_read_without_an_aggregate(spark, tmp_path):
+    rows = spark.createDataFrame([(None, 1, 1), ("a", 1, 1), ("b", 1, 1)], "k string, v int, w int")
+    store.write_canonical_upsert(rows, str(tmp_path), conflict_columns=["k"], update_columns=["v"])
+    out = store.write_canonical_upsert(spark.createDataFrame([(None, 2, 2), ("c", 2, 2)], "k string, v int, w int"), str(tmp_path), conflict_columns=["k"], update_columns=["v"])
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, 2, 1), ("a", 1, 1), ("b", 1, 1), ("c", 2, 2)], key=str)
