@@ -88,3 +88,29 @@ def test_states_by_hand():
     assert splits.csv_step('a,"b', False) == (True, 0) and splits.csv_step('b",c', True) == (False, 0)
     assert splits.csv_step('5" x,"a""', False) == (True, 0) and splits.csv_step('x"y,"z"w', False) == (False, 0) and splits.csv_step('""', True) == (True, 0)
     assert splits.json_step('{"a": {"b": "c"', False) == (False, 1) and splits.json_step('x\\"', True) == (True, 0) and splits.json_step('", "k": "{', True) == (True, 0) and splits.json_step("", False) == (False, -1)
+
+
+def test_pieces_of_json_in_bulk():
+    """The same as piece by piece, from outside of quotes and from inside, over any run of pieces."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    pieces = ["".join(rng.choice('{{""\\ax,:é\n') for _ in range(rng.randrange(9))) for _ in range(3000)]
+    for inside in (False, True):
+        after, change = splits._walk(splits.JSON, pa.array(pieces), inside)
+        state, depth = inside, 0
+        for k, piece in enumerate(pieces):
+            state, more = splits.json_step(piece, state)
+            depth += more
+            assert (bool(after[k]), int(change[k])) == (state, depth), (k, piece)
+    assert len(splits._walk(splits.JSON, pa.array([], pa.string()), True)[0]) == 0 and np.asarray(after).dtype == bool
+
+
+def test_files_of_one_split_are_cut_once_and_parsed_once(spark, tmp_path):
+    (tmp_path / "trips.json").mkdir()
+    for k in range(3):
+        (tmp_path / "trips.json" / f"{k}.json").write_text(json.dumps({f"{k}-{n}": {"trip_id": str(n)} for n in range(50)}))
+    assert splits.records(spark, str(tmp_path / "trips.json"), splits.JSON)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    trips = feeds.read_keyed_json(spark, str(tmp_path), ["trips"])["trips"]
+    assert "MapInArrow" not in trips._jdf.queryExecution().optimizedPlan().toString() and trips.count() == 150
