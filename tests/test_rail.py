@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slipcoach.functions import timetable as tt
-from slipcoach.operators import classify, cleaning, dashboard, merge, ml, observed, routes, validate, views
+from slipcoach.operators import classify, cleaning, compare, dashboard, merge, ml, observed, routes, validate, views
 from slipcoach.plans import lens, schemas
 from slipcoach.sources import feeds, store
 
@@ -368,3 +368,18 @@ def test_clocks_that_are_numbers_or_timestamps(spark):
     stations = spark.createDataFrame([(1, "renfe_a"), (2, "renfe_b")], "station_id long, stop_id string")
     rides = merge.merge_schedules({"renfe": {"stop_times": spark.createDataFrame(calls, CALLS)}}, trains, stations)
     assert sorted((r.train_id, r.duration_min) for r in rides.collect()) == [(1, 60), (2, 90)]
+
+
+def test_comparisons_in_one_table_are_those_by_themselves(spark):
+    t = lens.canonical(spark, "/root/testdata/sf0.001")
+    # trains of no operator, without rides and without a type, stations that are not there, rides that have no station
+    t = t._replace(
+        trains=t.trains.withColumns({"operator_id": F.when(F.col("train_id") % 5 == 0, -1).otherwise(F.col("operator_id")), "train_type": F.when(F.col("train_id") % 7 != 0, F.col("train_type"))}),
+        stations=t.stations.filter("station_id % 19 <> 0").withColumn("country", F.when(F.col("station_id") % 11 != 0, F.col("country"))),
+        schedules=t.schedules.filter("train_id % 3 <> 0").withColumns({"origin_id": F.when(F.col("schedule_id") % 13 != 0, F.col("origin_id")), "duration_min": F.when(F.col("schedule_id") % 17 != 0, F.col("duration_min"))}),
+    )
+    shown = lambda df: [str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.collect()]
+    alone = {"basic_counts": compare.cmp_basic_counts, "frequency": compare.cmp_frequency, "distance": compare.cmp_distance_segment, "international": compare.cmp_international, "connectivity": compare.cmp_connectivity}
+    for name, df in compare.cmp_all(t).items():
+        assert df.columns == alone[name](t).columns and shown(df) == shown(alone[name](t)), name
+        assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() and "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString(), name
