@@ -383,3 +383,18 @@ def test_comparisons_in_one_table_are_those_by_themselves(spark):
     for name, df in compare.cmp_all(t).items():
         assert df.columns == alone[name](t).columns and shown(df) == shown(alone[name](t)), name
         assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() and "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_a_forest_on_groups_is_one_on_rows(spark):
+    """The fit reads a row a group, and its draws add up to the rows of a bootstrap."""
+    rows = [("night" if k % 3 == 0 else "day", 600 if k % 3 == 0 else 60 + k % 5, 22 if k % 3 == 0 else 9, 0) for k in range(3000)] + [("day", 600, 22, 0)] * 200
+    trips = spark.createDataFrame(rows, "train_type string, duration_min int, departure_hour int, has_couchette int")
+    by = trips.columns
+    groups = trips.groupBy(*by).agg(F.count("*").alias("n"))
+    assert groups.count() == 7
+    model = ml.forest(groups, by, 5, 42)
+    assert len(model.trees) == 5 and abs(sum(model.featureImportances) - 1) < 1e-9
+    out = model.transform(ml._simple(groups))
+    assert {(r.train_type, r.duration_min): r.prediction for r in out.collect()} == {("night", 600): 1.0, ("day", 600): 1.0} | {("day", 60 + k): 0.0 for k in range(5)}
+    again = ml.forest(groups.repartition(3), by, 5, 42)
+    assert [m.featureImportances for m in again.trees] == [m.featureImportances for m in model.trees]
