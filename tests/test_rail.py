@@ -398,3 +398,10 @@ def test_a_forest_on_groups_is_one_on_rows(spark):
     assert {(r.train_type, r.duration_min): r.prediction for r in out.collect()} == {("night", 600): 1.0, ("day", 600): 1.0} | {("day", 60 + k): 0.0 for k in range(5)}
     again = ml.forest(groups.repartition(3), by, 5, 42)
     assert [m.featureImportances for m in again.trees] == [m.featureImportances for m in model.trees]
+
+
+def test_model_support_reads_its_evidence_once(spark):
+    f = lens.feed(spark, "/root/testdata/sf0.001")
+    out = ml.support(classify.evidence(f["stop_times"], f["trips"], f["routes"]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and out.count() == f["trips"].count()
