@@ -114,3 +114,10 @@ def test_files_of_one_split_are_cut_once_and_parsed_once(spark, tmp_path):
     assert splits.records(spark, str(tmp_path / "trips.json"), splits.JSON)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     trips = feeds.read_keyed_json(spark, str(tmp_path), ["trips"])["trips"]
     assert "MapInArrow" not in trips._jdf.queryExecution().optimizedPlan().toString() and trips.count() == 150
+
+
+def test_a_csv_file_of_one_split_is_cut_once(spark, tmp_path):
+    (tmp_path / "f.txt").write_text('id,v\n1,"a\nb"\n2,"open')
+    df = feeds._csv(spark, str(tmp_path / "f.txt"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.id, r.v) for r in df.collect()) == sorted((r.id, r.v) for r in one_task(spark, str(tmp_path / "f.txt")).collect())
