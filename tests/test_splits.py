@@ -121,3 +121,11 @@ def test_a_csv_file_of_one_split_is_cut_once(spark, tmp_path):
     df = feeds._csv(spark, str(tmp_path / "f.txt"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted((r.id, r.v) for r in df.collect()) == sorted((r.id, r.v) for r in one_task(spark, str(tmp_path / "f.txt")).collect())
+
+
+def test_endpoints_are_counted_without_parsing(spark, tmp_path):
+    for name in ("trips", "stops"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({str(n): {"a": "}"} for n in range(7)}))
+    counts = feeds.endpoint_row_counts(feeds.read_keyed_json(spark, str(tmp_path)))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "from_json" not in plan and {r.endpoint: r.rows for r in counts.collect()} == {"trips": 7, "stops": 7}
