@@ -405,3 +405,12 @@ def test_model_support_reads_its_evidence_once(spark):
     out = ml.support(classify.evidence(f["stop_times"], f["trips"], f["routes"]))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and out.count() == f["trips"].count()
+
+
+def test_known_night_trains_by_a_forest_on_groups(spark):
+    trains = spark.range(300).select(F.col("id").alias("train_id"), F.lit(1).alias("operator_id"), F.when(F.col("id") % 3 == 0, "night").otherwise("day").alias("train_type"), F.lit("couchette").alias("category"), F.when(F.col("id") % 6 == 0, "back_on_track").otherwise("x").alias("source_name"))
+    night = F.col("train_id") % 3 == 0
+    rides = trains.select("train_id", F.when(night, F.lit("2025-01-01 22:00:00")).otherwise(F.lit("2025-01-01 09:00:00")).cast("timestamp_ntz").alias("departure_time"), F.when(night, 480).otherwise(60).alias("duration_min"), F.lit(100.0).alias("distance_km"))
+    t = schemas.Tables(None, None, trains, rides)
+    model = ml.ml_validate(t, trees=3)[0]
+    assert isinstance(model, ml.Forest) and tuple(ml.ml_validate_known_night(t, model).first()) == (50, 50, 100.0)
